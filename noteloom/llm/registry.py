@@ -17,6 +17,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.simhash import near_duplicate_report
+
+    return near_duplicate_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.decontaminate import contamination_report
 
@@ -37,7 +43,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op6_decontamination, op7_exact_dedup)}
+    return {f.__name__: f for f in (op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
