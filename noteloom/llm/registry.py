@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.lm_score import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.packing import pack
 
@@ -43,7 +49,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
