@@ -41,6 +41,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.secret_scan import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.url_filter import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
@@ -49,7 +61,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
