@@ -41,6 +41,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.quality_crf import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.secret_scan import secret_report
 
@@ -61,7 +67,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
