@@ -23,6 +23,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.simhash import near_duplicate_report
 
@@ -67,7 +73,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_packing, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
