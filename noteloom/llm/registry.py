@@ -17,6 +17,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.suffix_dedup import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.packing import pack
 
@@ -73,7 +79,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
