@@ -16,7 +16,7 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", wher
     q = F.array(*[F.lit(float(x)) for x in query])
     dist = l2_squared(F.col("embedding"), q) if metric == "l2" else cosine_distance(F.col("embedding"), q)
     rows = vectors if where is None else vectors.filter(where)
-    return rows.select("chunk_id", dist.alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    return rows.select("chunk_id", F.round(dist, 9).alias("distance")).orderBy("distance", "chunk_id").limit(k)
 
 
 def vector_of(vectors: DataFrame, chunk_id) -> list[float]:
