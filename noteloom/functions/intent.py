@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteloom.functions.text import CAPITALISED
+
 # Patterns and scores of the intents, in order of preference on ties.
 TAG_PATTERN = r"#(\w+)|tag[s]?\s*[:=]\s*(\w+)|tagged\s+with\s+(\w+)"
 INTENTS = (
@@ -65,7 +67,7 @@ def intent(query: Column) -> dict[str, Column]:
 def complexity(question: Column) -> Column:
     low = F.lower(question)
     count = lambda marks: F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: low.contains(m)))
-    names = F.regexp_count(question, F.lit(r"\b[A-Z][a-z]+\b")) > 2
+    names = F.regexp_count(question, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?![\p{L}\p{N}_])")) > 2
     inner = F.substring(question, 1, 1 << 30).rlike(r"(?s)\?.")
     return F.when((count(COMPLEX_MARKS) > count(SIMPLE_MARKS)) | names | inner, "complex").otherwise("simple")
 
@@ -73,5 +75,5 @@ def complexity(question: Column) -> Column:
 def wants_agent(question: Column) -> Column:
     low = F.lower(question)
     pattern = reduce(lambda a, b: a | b, [low.rlike(p) for p in AGENT_PATTERNS])
-    names = F.regexp_count(question, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")) > 2
+    names = F.regexp_count(question, F.lit(CAPITALISED)) > 2
     return pattern | names | (F.regexp_count(question, F.lit(r"\?")) > 1) | low.contains(" and ")

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINK = r"\[\[([^\]]+)\]\]"
+#: Words of one ASCII capital and small letters, in sequence, bounded as in Unicode text.
+CAPITALISED = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"
 TAG = r"(?U)#(\w[\w/-]+)"
 
 
@@ -69,7 +71,12 @@ def tag_relevance(entities: list[str], tags: Column) -> Column:
     """Mean over entities of the best match among an array of tags."""
     if not entities:
         return F.lit(0.0)
-    best = [F.coalesce(F.array_max(F.transform(tags, lambda t, e=e: tag_match(e, t))), F.lit(0.0)) for e in entities]
+
+
+    def best_of(entity: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(tags, lambda t: tag_match(entity, t))), F.lit(0.0))
+
+    best = [best_of(e) for e in entities]
     return reduce(lambda a, b: a + b, best) / len(entities)
 
 
@@ -133,7 +140,7 @@ def dates(text: Column, n: int = 3) -> Column:
 
 def capitalised_phrases(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct capitalised word sequences of more than three characters, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 3) & ~x.isin(list(stop)) if stop else F.length(x) > 3)))
 
 

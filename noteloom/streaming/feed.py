@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet folder as a stream of changes."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64, name: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder (by name pattern) as a stream of changes."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name).parquet(path)
 
 
 def last_change(batch: DataFrame, key: str = "note_id", time: str = "changed_at") -> DataFrame:
