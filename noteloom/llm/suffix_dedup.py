@@ -406,11 +406,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, spans): per keyed row its runs of repeated window starts, as array of (lo, hi) start positions."""
     named = written(rows.mapInArrow(_name(length, gram), "name long, digest long, k1 long, k2 long, start long, starts long"), "segments")
-    twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    # written, so that both sides of the join are plain exchanges and a frequent name's rows can be split
+    twice = written(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "names")
     named = written(named.join(twice, "name", "left_semi"), "repeated")
     folded = named.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("k1", "k2", "start", "starts")])
     folded = written(folded, "folded")
-    sizes = folded.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    sizes = written(folded.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "contested")
     contested = folded.join(sizes, "name").withColumn("parts", F.ceil(F.col("kinds") / SHARD_SEGMENTS))
     wanted = contested.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "digest", "parts", "start", "starts", "copies")).alias("wanted"))
     fetched = rows.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut(length), "name long, digest long, parts long, starts long, copies long, bytes binary")
