@@ -4,7 +4,9 @@ Large-star joins every larger neighbour of a node to the least of its
 neighbourhood, small-star every smaller one; repeated, each component becomes a
 star around its least node.  Every round is two aggregations with map-side
 combination and two joins over the edges, written to the shared folder; nothing
-but two numbers reaches the driver.
+but two numbers reaches the driver.  Least neighbours are written before they
+are joined, so that both sides are plain exchanges and the rows of a star's
+centre can be split.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from noteloom.llm.common import written
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 

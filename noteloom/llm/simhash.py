@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from noteloom.llm.common import LOWER, slices, texts_of, written
 from noteloom.llm.components import components
@@ -204,19 +205,43 @@ def links(codes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
 
 
+def _named(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (fp, doc_id): (fp, root) of every fingerprint, and (root, component_id, chosen fp) of every component."""
+    nodes = written(pairs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    named = written(nodes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    order = F.struct(F.col("least").isNull().alias("null"), "least", "fp")
+    first = named.groupBy("root").agg(F.min(order).alias("first"))
+    return named, written(first.select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("fp")), "components")
+
+
 def near_duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    named = nodes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_code = named.join(first, "root").select("fp", "component_id")
+    named, first = _named(rows)
+    of_code = named.join(first.select("root", "component_id"), "root").select("fp", "component_id")
     return rows.join(of_code, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns; of repeated ids one row stays."""
-    report = near_duplicate_report(docs, id_col, text_col)
-    stay = report.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that name their component, one for each component, with all their columns.
+
+    That is the row of the least id (null ids come last); of rows that share it,
+    the least fingerprint's, and of rows equal in both, any one.
+    """
+    mark, stay, many = "__fingerprint", "__stay", "__many"
+
+    def run(batches):
+        for part in slices(batches, text_col):
+            fp = np.array([fingerprint(t or "") for t in part.column(text_col).to_pylist()], dtype=np.uint64)
+            yield part.append_column(mark, pa.array(fp.view(np.int64)))
+
+    keyed = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType())])), "keyed")
+    pairs = keyed.select(F.col(mark).alias("fp"), F.col(f"`{id_col}`").alias("doc_id"))
+    _, first = _named(pairs)
+    count = pairs.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = first.join(count, (first["fp"] == count["fp"]) & first["component_id"].eqNullSafe(count["doc_id"])).select(first["fp"].alias(stay), F.col("component_id").alias("__id"), (F.col("n") > 1).alias(many))
+    kept = keyed.join(chosen, (F.col(mark) == F.col(stay)) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    # only rows that are really repeated take another exchange
+    once = kept.filter(~F.col(many)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(kept.filter(many).dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns]))
