@@ -63,12 +63,13 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    mark, place = "__digest", "__place"
+    mark, place, best = "__digest", "__place", "__best"
     ids = F.col(f"`{id_col}`")
     digests = texts_of(docs, id_col, text_col).select("doc_id", _digest().alias("digest"))
     winners = written(heavy_digests(digests, "doc_id", support), "heavy")
     keyed = docs.withColumn(mark, F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
-    heavy = keyed.join(F.broadcast(winners.select(F.col("digest").alias(mark), "top")), mark).filter(ids.eqNullSafe(F.col("top"))).drop("top").dropDuplicates([mark])
+    heavy = keyed.join(F.broadcast(winners.select(F.col("digest").alias(mark), F.col("top").alias(best))), mark).filter(ids.eqNullSafe(F.col(best))).dropDuplicates([mark])
     light = keyed.join(F.broadcast(winners.select(F.col("digest").alias(mark))), mark, "left_anti")
     light = light.withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(ids.desc_nulls_last()))).filter(F.col(place) == 1)
-    return heavy.select(*docs.columns).unionByName(light.select(*docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return heavy.select(*own).unionByName(light.select(*own))

@@ -21,7 +21,6 @@ tables give no rows; labels, language, source and id are no inputs.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -192,59 +191,61 @@ class Network:
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network fitted to documents labelled 1 (toxic) or 0."""
-    split = [words(t) or [b" "] for t in texts]
+    number: dict[bytes, int] = {}
+    flat = [np.fromiter((number.setdefault(x, len(number)) for x in words(t) or [b" "]), dtype=np.int32) for t in texts]
+    names = list(number)
+    seen = [np.zeros(len(names)), np.zeros(len(names))]
+    for ids, y in zip(flat, labels):
+        seen[y][np.unique(ids)] += 1
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    seen = [Counter(), Counter()]
-    for w, y in zip(split, labels):
-        seen[y].update(set(w))
-    common = Counter(seen[0])
-    common.update(seen[1])
-    vocabulary = [w for w, c in sorted(common.items(), key=lambda x: (-x[1], x[0])) if c >= 3][:VOCABULARY]
-    odds = {w: math.log((seen[1][w] + 0.5) / (n[1] + 1)) - math.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in vocabulary}
-    net = Network(vocabulary, np.array([odds[w] for w in vocabulary]), seed)
+    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    common = sorted(np.flatnonzero(seen[0] + seen[1] >= 3).tolist(), key=lambda i: (-(seen[0][i] + seen[1][i]), names[i]))[:VOCABULARY]
+    net = Network([names[i] for i in common], odds[common], seed)
+    hint = np.zeros(len(names))
+    hint[common] = odds[common]
     r = np.random.default_rng(seed)
     adam = {k: Adam(v, RATE) for k, v in net.p.items()}
-    every = [[w[s:e] for s, e in windows(len(w))] for w in split]
     for turn in range(rounds):
-        if turn:
-            logit, first, _ = net.logits(texts)
-            value = np.split(logit, first[1:])
-        else:
-            value = [np.array([max(odds.get(x, 0.0) for x in w) for w in ws]) for ws in every]
         picked, target = [], []
-        for ws, v, y in zip(every, value, labels):
-            order = np.argsort(-v, kind="stable")
-            some = order[:1] if y else {*order[:2].tolist(), int(r.integers(len(ws)))}
-            for i in some:
-                picked.append(ws[i])
-                target.append(y)
+        for i in range(0, len(texts), 100):
+            logit, first, _ = net.logits(texts[i : i + 100]) if turn else (np.empty(0), np.zeros(len(texts[i : i + 100]), int), [])
+            for ids, value, y in zip(flat[i : i + 100], np.split(logit, first[1:]), labels[i : i + 100]):
+                cut = windows(len(ids))
+                v = value if turn else np.array([hint[ids[s:e]].max() for s, e in cut])
+                order = np.argsort(-v, kind="stable")
+                for k in order[:1] if y else {*order[:2].tolist(), int(r.integers(len(cut)))}:
+                    picked.append(ids[cut[k][0] : cut[k][1]])
+                    target.append(y)
         target = np.array(target, dtype=np.float32)
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
         for _ in range(epochs):
             order = r.permutation(len(picked))
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
-                number: dict[bytes, int] = {}
-                at = np.zeros((len(part), WINDOW), dtype=np.int64)
-                mask = np.zeros((len(part), WINDOW), np.float32)
-                for k, j in enumerate(part):
-                    ids = [number.setdefault(x, len(number)) for x in picked[j]]
-                    at[k, : len(ids)] = ids
-                    mask[k, : len(ids)] = 1
-                looked = net.lookup(list(number))
-                x, tape = net.embed(looked), {}
-                d = (_sigmoid(net.forward(x, at, mask, tape)) - target[part]) * weight[part] / len(part)
-                g, d_x = net.gradients(x, at, mask, d.astype(np.float32), tape)
-                own, bucket, first = looked
-                m = np.diff(np.append(first, len(bucket)))
-                g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-                np.add.at(g["word"], own, d_x[:, :WORD_DIM])
-                np.add.at(g["char"], bucket, np.repeat(d_x[:, WORD_DIM:] / m[:, None], m, axis=0))
-                for k, v in g.items():
-                    net.p[k] -= adam[k].step(v + 1e-5 * net.p[k]).astype(np.float32)
+                own, at = np.unique(np.concatenate([picked[j] for j in part]), return_inverse=True)
+                size = np.array([len(picked[j]) for j in part])
+                mask = (np.arange(WINDOW) < size[:, None]).astype(np.float32)
+                place = np.zeros((len(part), WINDOW), dtype=np.int64)
+                place[mask > 0] = at
+                _step(net, adam, [names[j] for j in own], place, mask, target[part], weight[part])
     return net
 
 
+def _step(net: Network, adam: dict, names: list[bytes], at: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+    """One batch of windows: forward, back, update."""
+    looked = net.lookup(names)
+    x, tape = net.embed(looked), {}
+    d = (_sigmoid(net.forward(x, at, mask, tape)) - target) * weight / len(at)
+    g, d_x = net.gradients(x, at, mask, d.astype(np.float32), tape)
+    own, bucket, first = looked
+    m = np.diff(np.append(first, len(bucket)))
+    g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
+    np.add.at(g["word"], own, d_x[:, :WORD_DIM])
+    np.add.at(g["char"], bucket, np.repeat(d_x[:, WORD_DIM:] / m[:, None], m, axis=0))
+    for k, v in g.items():
+        net.p[k] -= adam[k].step(v + 1e-5 * net.p[k]).astype(np.float32)
+
+
 def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_rows: int):
     """Broadcast (network or None, score without one)."""
     texts, y = labelled_sample(docs, labels, "toxic", train_rows, id_col, text_col)
