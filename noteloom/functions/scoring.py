@@ -48,7 +48,8 @@ def importance(level: Column, place: Column, total: Column, kind: Column, n_link
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Null stays null (greatest and least would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def confidence(mean_distance: Column, completeness: Column, answer: Column, citations: Column) -> Column:
