@@ -21,6 +21,7 @@ tables give no rows; labels, language, source and id are no inputs.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,13 @@ CHUNK = 8192
 _KEEP = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 or b in b"@$!*" else 32 for b in range(256))
 
 
+_bare = bytes.strip
+
+
 def words(text: str) -> list[bytes]:
-    """A-Z lower-cased; letters, digits, non-ASCII characters and the signs that stand in for letters."""
-    return text.encode("utf-8", "surrogatepass").translate(_KEEP).split()
+    """A-Z lower-cased; letters, digits, non-ASCII characters and, inside words, the signs that stand in for letters."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_KEEP)
+    return [w for w in map(_bare, raw.split(), repeat(b"@$!*")) if w]
 
 
 def trigrams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +223,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, epochs: in
                     target.append(y)
         target = np.array(target, dtype=np.float32)
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
+        batch = min(BATCH, max(32, len(picked) // 24))  # few windows still make a few hundred steps
         for _ in range(epochs):
             order = r.permutation(len(picked))
-            for i in range(0, len(order), BATCH):
-                part = order[i : i + BATCH]
+            for i in range(0, len(order), batch):
+                part = order[i : i + batch]
                 own, at = np.unique(np.concatenate([picked[j] for j in part]), return_inverse=True)
                 size = np.array([len(picked[j]) for j in part])
                 mask = (np.arange(WINDOW) < size[:, None]).astype(np.float32)
