@@ -65,6 +65,8 @@ def _alphabet_of(flags: int) -> bytes:
     """The smallest usual alphabet with all characters flagged."""
     digits, upper = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lower = upper.lower()
+    if flags & 128 and flags & 64:
+        return upper + lower + digits + b"+/-_"
     if flags & 128:
         return upper + lower + digits + b"-_"
     if flags & 64:
@@ -189,7 +191,8 @@ FOUND = "doc_id {id}, base array<struct<start:int,kind:int,end:int>>, more array
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     rows = texts_of(docs, id_col, text_col)
-    pairs = pair_counts(rows) + 0.5
+    # one less of each pair: a token is not evidence of being text by itself
+    pairs = np.maximum(pair_counts(rows) - 1, 0) + 0.5
     shared = docs.sparkSession.sparkContext.broadcast(np.log10(pairs / pairs.sum(axis=1, keepdims=True)))
     least = np.array(STRATA)
 
