@@ -1,10 +1,11 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 Each partition of the documents is one stream of ids, in the order in which it
-is stored.  Cuts may fall at the ends of documents and of sentences (and inside
-a sentence only where it alone exceeds the window).  The cost of a cutting is
-the padding of its windows plus a penalty for each cut inside a document; a
-window whose length is a power of two is not padded.  With b the position of a
+is stored.  Cuts may fall at the ends of documents and of sentences, and inside a
+sentence where that fills a window from such an end exactly, or where the
+sentence alone exceeds the window.  The cost of a cutting is the padding of its
+windows plus a penalty for each cut inside a document; a window whose length is
+a power of two is not padded.  With b the position of a
 boundary,
 
     best[j] = penalty[j] + min over i with b[j] - b[i] <= size of
@@ -39,9 +40,9 @@ SIZE = 1024
 #: Ids that are cut at a time.
 BLOCK = 400_000
 #: Cost, in padded ids, of a cut at a sentence's end and inside a sentence.
-SENTENCE_CUT, HARD_CUT = 1.0, 16.0
+SENTENCE_CUT, HARD_CUT = 1.0, 8.0
 #: Cost of each window, so that short unpadded ones are not made for nothing.
-EACH = 0.5
+EACH = 4.0
 #: Id after each document.
 END = 0
 
@@ -77,12 +78,11 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, size:
     gap = np.diff(at)
     wide = np.flatnonzero(gap > size)
     hard = [np.arange(at[i] + size, at[i + 1], size) for i in wide]
-    if hard:
-        hard = np.concatenate(hard)
-        at = np.unique(np.concatenate([at, hard]))
-    penalty = np.full(len(at), SENTENCE_CUT)
-    if len(hard):
-        penalty[np.searchsorted(at, hard)] = HARD_CUT
+    natural = at
+    at = np.unique(np.concatenate([at, at[:-1] + size, *hard]))
+    at = at[at <= len(ids)]
+    penalty = np.full(len(at), HARD_CUT)
+    penalty[np.searchsorted(at, natural)] = SENTENCE_CUT
     penalty[np.searchsorted(at, doc_ends)] = 0.0
     return at, penalty + EACH
 
