@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteloom.schema import DEEP_LINK
+
 LINK = r"\[\[([^\]]+)\]\]"
 #: Words of one ASCII capital and small letters, in sequence, bounded as in Unicode text.
 CAPITALISED = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"
@@ -123,7 +125,7 @@ def chunk_uri(vault: Column, path: Column, header: Column, roots: tuple[str, ...
     anchor = F.regexp_replace(F.regexp_replace(trimmed(F.coalesce(header, F.lit(""))), r"\s+", " "), r"[\x00-\x1F]", "")
     name = F.regexp_extract(vault, r"([^/\\]*)[/\\]*$", 1)
     tail = F.when(anchor == "", "").otherwise(F.concat(F.lit("#"), percent_encoded(anchor, False)))
-    return F.concat(F.lit("obsidian://open?vault="), percent_encoded(name, False), F.lit("&file="), percent_encoded(p, True), tail)
+    return F.concat(F.lit(f"{DEEP_LINK}?vault="), percent_encoded(name, False), F.lit("&file="), percent_encoded(p, True), tail)
 
 
 def headings(text: Column, n: int = 3) -> Column:

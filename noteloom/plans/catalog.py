@@ -868,6 +868,74 @@ def session(spark, d):
     return feed.sessions(table(spark, d, "events"), "2 hours")
 
 
+# --- further functions --------------------------------------------------------------------------
+
+
+@query()
+def pack_paragraphs(spark, d):
+    """(doc_id, place, content): texts above the chunk limit split at natural boundaries."""
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([(i, k, c) for i, t in zip(pdf.doc_id, pdf.text) for k, c in enumerate(chunking.split_large(t))], columns=["doc_id", "place", "content"])
+
+    return rows.mapInPandas(run, "doc_id long, place int, content string")
+
+
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), 'how.*(?:relate|connect|influence|lead|cause)') OR regexp_matches(lower(text), 'what.*(?:relationship|connection|difference|similarity)')
+  OR regexp_matches(lower(text), 'explain.*(?:why|how|relationship|connection)') OR regexp_matches(lower(text), 'compare.*(?:and|with|to|between)') OR regexp_matches(lower(text), 'trace.*(?:development|evolution|history|progression)')
+  OR regexp_matches(lower(text), 'analyze.*(?:impact|effect|influence|relationship)') OR length(text) - length(replace(text, '?', '')) > 1 OR contains(lower(text), ' and ') AS plain FROM conversations""")
+def wants_agent(spark, d):
+    """Without the test for names, which SQL has no look-behind for."""
+    low = F.lower("text")
+    from functools import reduce
+
+    pattern = reduce(lambda a, b: a | b, [low.rlike(p) for p in intents.AGENT_PATTERNS])
+    return table(spark, d, "conversations").select("conv_id", "turn", (pattern | (F.regexp_count("text", F.lit(r"\?")) > 1) | low.contains(" and ")).alias("plain"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(coalesce(text, ''), '[^\pL\pN_]+'))) AS w FROM documents)
+  SELECT doc_id, count(*) AS capitals FROM c WHERE regexp_full_match(w, '[A-Z][a-z]{3,}') GROUP BY doc_id""")
+def capitalised_words(spark, d):
+    """Distinct capitalised words of more than three letters."""
+    words = F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}_]+")
+    n = F.size(F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]{3,}$")))).cast("long")
+    return table(spark, d, "documents").select("doc_id", n.alias("capitals")).filter("capitals > 0")
+
+
+@query(r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\n,]'), lambda x: regexp_replace(regexp_replace(x, '[#''"]', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents""")
+def split_tags(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.split_tags(F.col("text")).alias("parts"))
+
+
+@query("SELECT p_partkey, regexp_replace(replace(lower(p_name), ' ', '-'), '[^a-z0-9-]', '', 'g') AS slug, p_name AS title FROM part")
+def slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"), text.safe_title(F.col("p_name")).alias("title"))
+
+
+@query("SELECT doc_id, list_has_any(string_split(source || '/' || lang, '/'), ['src3', 'de']) AS protected FROM documents")
+def protected_paths(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.protected_path(F.concat_ws("/", "source", "lang"), ("src3", "de")).alias("protected"))
+
+
+@query(f"WITH {TURNS}, {EDGES} SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY ord, dst)::INT AS place FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY ord, dst) <= 3")
+def first_neighbors(spark, d):
+    c = turns(spark, d)
+    return graph.first_neighbors(structure.chunk_edges(c), 3).select("src", "dst", "rel", "place")
+
+
+@query()
+def engine_search(spark, d):
+    """One question through the whole engine: routed, expanded, hydrated, ranked."""
+    from noteloom.operators.engine import Engine
+
+    c = passages(spark, d)
+    return Engine(c, structure.chunk_edges(c)).smart_search("what links to src3?", 6).hits.select("chunk_id", "rank_score", "retrieval_method")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

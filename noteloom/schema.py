@@ -26,6 +26,7 @@ EXTENSIONS = (".md", ".markdown", ".txt", ".excalidraw", ".base")
 CHUNK_SIZE, CHUNK_OVERLAP = 1800, 200
 MAX_CHUNK, MERGE_BELOW, LEAST_PARAGRAPH = 3000, 200, 50
 CONFIDENCE_THRESHOLD = 0.55
+DEEP_LINK = "obsidian://open"  # scheme of links that open a note
 ARCHIVE_FOLDER = "Archive"
 INBOX_FOLDER = "00 Inbox"
 RELATION_WEIGHTS = {"sequential_next": 0.8, "sequential_prev": 0.8, "parent": 0.9, "child": 0.7, "sibling": 0.6, "content_link": 0.9}
