@@ -90,13 +90,21 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, size:
 def cuts(at: np.ndarray, penalty: np.ndarray, size: int, free_tail: bool) -> list[int]:
     """Indexes into ``at`` of the cheapest cutting; ``free_tail``: the last window costs no padding (it goes on)."""
     m = len(at)
-    powers: dict[int, list[int]] = {}
+    base = int(at[0])
+    place = np.full(int(at[-1]) - base + 1, -1, dtype=np.int64)
+    place[at - base] = np.arange(m)
+    ends, starts = [], []  # transitions at powers of two
     p = size
     while p:
-        i = np.searchsorted(at, at - p)
-        for j in np.flatnonzero((at >= p) & (at[np.minimum(i, m - 1)] == at - p)):
-            powers.setdefault(int(j), []).append(int(i[j]))
+        j = np.flatnonzero(at >= base + p)
+        i = place[at[j] - base - p]
+        ends.append(j[i >= 0])
+        starts.append(i[i >= 0])
         p >>= 1
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(ends, kind="stable")
+    first = np.searchsorted(ends[order], np.arange(m + 1)).tolist()
+    free = starts[order].tolist()
     b, pen = at.tolist(), penalty.tolist()
     best, back = [0.0] * m, [0] * m
     queue: deque[int] = deque()
@@ -111,15 +119,16 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, free_tail: bool) -> lis
             queue.popleft()
         i = queue[0]
         cost = value[i] + size - b[j]
-        for k in powers.get(j, ()):
+        for q in range(first[j], first[j + 1]):
+            k = free[q]
             if best[k] <= cost:
                 cost, i = best[k], k
         best[j], back[j] = cost + pen[j], i
         value[j] = best[j] + b[j]
     j = m - 1
     if free_tail:
-        first = int(np.searchsorted(at, at[-1] - size))
-        back[j] = min(range(min(first, m - 2), m - 1), key=best.__getitem__) if m > 1 else 0
+        low = int(np.searchsorted(at, at[-1] - size))
+        back[j] = min(range(min(low, m - 2), m - 1), key=best.__getitem__) if m > 1 else 0
     out = []
     while j > 0:
         out.append(j)
