@@ -8,7 +8,8 @@ next rarest first.  Since a match never crosses documents, the shards need no
 exchange and the answer does not depend on how documents are dealt out.
 
 The test set reaches the tasks in blocks of bounded size, each broadcast by
-itself and searched against all documents; no limit on its total size is assumed.
+itself and searched against all documents; a task holds one block at a time
+where there are several, so no limit on the total size is assumed.
 
 Defined results: null or empty texts have no words and no matches; an item of
 fewer words than the window is one window; an item without words never
@@ -176,13 +177,17 @@ def _search(batches: Iterator[pa.RecordBatch], blocks) -> Iterator[tuple[pa.Reco
     """Index each slice of documents once and hand out its test blocks one after another."""
     for part in slices(batches):
         index = PositionalIndex(part.column("text").to_pylist())
+        yield part, index, _used(index, blocks)
 
-        def each(index=index):
-            for b in blocks:
-                index.use(b.value)
-                yield b.value
 
-        yield part, index, each()
+def _used(index: PositionalIndex, blocks) -> Iterator[TestWindows]:
+    """Each block in turn, with its terms' postings stored in ``index``."""
+    for b in blocks:
+        tw = b.value
+        index.use(tw)
+        yield tw
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)  # read again from the executor's disk for the next documents
 
 
 REPORT = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -253,9 +258,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             texts = [t or "" for t in part.column(text_col).to_pylist()]
             index = PositionalIndex(texts)
             bad = np.zeros(len(texts), dtype=bool)
-            for b in blocks:
-                index.use(b.value)
-                _, p = index.phrases(b.value)
+            for tw in _used(index, blocks):
+                _, p = index.phrases(tw)
                 bad[np.searchsorted(index.ends, p, side="right") - 1] = True
             yield part.filter(pa.array(~bad))
 
