@@ -53,21 +53,22 @@ def headers(typed: DataFrame) -> DataFrame:
     return found.select("note_id", "line", F.length(F.regexp_extract("content", pattern, 1)).alias("level"), trimmed(F.regexp_extract("content", pattern, 2)).alias("header_text"))
 
 
+def _spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at + size < len(text):
+        room = text[at : at + size]
+        blank = max(map(room.rfind, " \n"))
+        stop = at + (blank if blank > 0 else size)
+        yield at, stop
+        at = max(at + 1, stop - overlap)
+    yield at, len(text)
+
+
 def split_characters(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
-    """Windows of ``size`` characters, cut at the last space or newline in them, the next starting ``overlap`` before the cut."""
+    """Windows of ``size`` characters, ended at their last space or newline, each next one ``overlap`` before that; blank ones drop out."""
     if len(text) <= size:
         return [text]
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            cut = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
-            end = cut if cut > start else end
-        out.append(text[start:end].strip())
-        if end >= len(text):
-            break
-        start = max(start + 1, end - overlap)
-    return out
+    return [piece for a, b in _spans(text, size, overlap) if (piece := text[a:b].strip())]
 
 
 def character_chunks(docs: DataFrame, id_col: str = "note_id", text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
