@@ -51,7 +51,7 @@ class Engine:
         return Routed(r.intent_type, r.intent_confidence, r.strategy, list(r.entities) or list(r.first))
 
     def near(self, question: str, k: int, where: Column | None = None) -> DataFrame:
-        return search.knn(self.chunks, self.embed([question])[0], k, "cosine", where)
+        return search.settled(search.knn(self.chunks, self.embed([question])[0], k, "cosine", where))
 
     def tagged(self, entities: list[str], k: int, where: Column | None = None) -> DataFrame:
         rows = self.chunks if where is None else self.chunks.filter(where)

@@ -11,12 +11,22 @@ from noteloom.functions.text import tag_relevance, text_relevance
 from noteloom.operators.graph import chunk_neighbors, first_neighbors
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """The ``k`` nearest rows: chunk_id, distance; ties by id.  Filters reach the scan; only k rows per task are kept."""
+def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` nearest rows: chunk_id, distance and columns to ``keep``; ties by id.  Filters reach the scan; only k rows per task are kept."""
     q = F.array(*[F.lit(float(x)) for x in query])
     dist = l2_squared(F.col("embedding"), q) if metric == "l2" else cosine_distance(F.col("embedding"), q)
     rows = vectors if where is None else vectors.filter(where)
-    return rows.select("chunk_id", F.round(dist, 9).alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    return rows.select("chunk_id", *keep, F.round(dist, 9).alias("distance")).orderBy("distance", "chunk_id").limit(k)
+
+
+def settled(hits: DataFrame) -> DataFrame:
+    """A search's few hits as a local table, so that what uses them several times does not search again."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def around(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of the hits' notes (hits with note_id).  Chunk relations never leave a note, so no others matter to an expansion."""
+    return chunks.join(F.broadcast(hits.select("note_id").distinct()), "note_id", "left_semi")
 
 
 def vector_of(vectors: DataFrame, chunk_id) -> list[float]:

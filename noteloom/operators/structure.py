@@ -23,10 +23,10 @@ def sequential_edges(chunks: DataFrame) -> DataFrame:
 
 
 def with_parent(chunks: DataFrame) -> DataFrame:
-    """Adds parent_seq and parent_id: the nearest earlier chunk of a lesser header level (1 to 6)."""
+    """Adds parent_seq, parent_id and parent_level: the nearest earlier chunk of a lesser header level (1 to 6)."""
     before = _by_note().rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.col("header_level") > k, F.last(F.when(F.col("header_level") == k, F.struct("seq", "chunk_id")), ignorenulls=True).over(before)) for k in range(1, LEVELS)]
-    return chunks.withColumn("__p", F.greatest(*last)).withColumn("parent_seq", F.col("__p.seq")).withColumn("parent_id", F.col("__p.chunk_id")).drop("__p")
+    last = [F.when(F.col("header_level") > k, F.last(F.when(F.col("header_level") == k, F.struct("seq", "chunk_id", "header_level")), ignorenulls=True).over(before)) for k in range(1, LEVELS)]
+    return chunks.withColumn("__p", F.greatest(*last)).withColumn("parent_seq", F.col("__p.seq")).withColumn("parent_id", F.col("__p.chunk_id")).withColumn("parent_level", F.col("__p.header_level")).drop("__p")
 
 
 def parent_edges(chunks: DataFrame) -> DataFrame:
@@ -35,9 +35,8 @@ def parent_edges(chunks: DataFrame) -> DataFrame:
 
 def child_edges(chunks: DataFrame) -> DataFrame:
     """From a parent to the chunks exactly one level below it, up to the next chunk of its own level or less."""
-    p = with_parent(chunks)
-    up = p.select(F.col("chunk_id").alias("parent_id"), F.col("header_level").alias("above"))
-    return p.join(up, "parent_id").filter("header_level = above + 1").select(F.col("parent_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("child").alias("rel"))
+    p = with_parent(chunks).filter("header_level = parent_level + 1")
+    return p.select(F.col("parent_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("child").alias("rel"))
 
 
 def sibling_edges(chunks: DataFrame) -> DataFrame:
@@ -49,7 +48,16 @@ def sibling_edges(chunks: DataFrame) -> DataFrame:
 
 def chunk_edges(chunks: DataFrame) -> DataFrame:
     """All relations, with ``ord``: place of the relation in a chunk's list of neighbours."""
-    every = sequential_edges(chunks).unionByName(parent_edges(chunks)).unionByName(child_edges(chunks)).unionByName(sibling_edges(chunks))
+    w = _by_note()
+    rows = with_parent(chunks.select("chunk_id", "note_id", "seq", "header_level").withColumn("sequential_next", F.lead("chunk_id").over(w)).withColumn("sequential_prev", F.lag("chunk_id").over(w)))
+    edge = lambda src, dst, rel: F.struct(src.alias("src"), F.col(dst).alias("dst"), F.lit(rel).alias("rel"))
+    here = F.col("chunk_id")
+    own = F.array(
+        edge(here, "sequential_next", "sequential_next"), edge(here, "sequential_prev", "sequential_prev"), edge(here, "parent_id", "parent"),
+        edge(F.when(F.col("header_level") == F.col("parent_level") + 1, F.col("parent_id")), "chunk_id", "child"),
+    )
+    near = rows.select(F.explode(F.filter(own, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())).alias("e")).select("e.src", "e.dst", "e.rel")
+    every = near.unionByName(sibling_edges(chunks))
     return every.withColumn("ord", F.array_position(F.array(*[F.lit(r) for r in RELATIONS]), F.col("rel")).cast("int"))
 
 

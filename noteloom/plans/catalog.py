@@ -454,8 +454,12 @@ def ext_shortest_path(spark, d):
 
 
 def _near(spark, d, k=8):
+    """The nearest passages of one, all passages, those of the same notes, and the relations among these."""
     v = passages(spark, d)
-    return search.knn(v, search.vector_of(v, "vec-7"), k), v
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), F.concat(F.lit("note-"), F.floor(F.col("vec_id") / 10).cast("string")).alias("note_id"), "embedding")
+    near = search.settled(search.knn(e, search.vector_of(e, "vec-7"), k, keep=("note_id",)))
+    local = search.around(near, v)
+    return near.select("chunk_id", "distance"), v, local, structure.chunk_edges(local)
 
 
 @query("SELECT 'vec-' || vec_id AS chunk_id, round(pow(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2), 6) AS distance FROM embeddings ORDER BY distance, chunk_id LIMIT 10")
@@ -544,8 +548,8 @@ _CANDIDATES = f"""{PASSAGES}, {NEAR}, cand AS (SELECT chunk_id, distance, round(
 
 @query(f"WITH {_CANDIDATES} SELECT chunk_id, round(distance, 6) AS distance, round(score, 6) AS score FROM cand")
 def expansion_candidates(spark, d):
-    near, c = _near(spark, d)
-    return search.expansion_candidates(near, c, QUERY_TEXT, 6).withColumn("distance", F.round("distance", 6)).withColumn("score", F.round("score", 6))
+    near, c, local, edges = _near(spark, d)
+    return search.expansion_candidates(near, local, QUERY_TEXT, 6).withColumn("distance", F.round("distance", 6)).withColumn("score", F.round("score", 6))
 
 
 def _level(n: int) -> str:
@@ -563,15 +567,15 @@ expanded AS (SELECT u.chunk_id, level, score * CASE WHEN level = 0 THEN 1.2 ELSE
 
 @query(f"WITH {_EXPANDED} SELECT chunk_id, level, round(final_score, 6) AS final_score, source, rel FROM expanded")
 def expand_rank(spark, d):
-    near, c = _near(spark, d)
-    return search.expand_rank(near, structure.chunk_edges(c), c, QUERY_TEXT).withColumn("final_score", F.round("final_score", 6))
+    near, c, local, edges = _near(spark, d)
+    return search.expand_rank(near, edges, local, QUERY_TEXT).withColumn("final_score", F.round("final_score", 6))
 
 
 @query()
 def mmr(spark, d):
-    near, c = _near(spark, d)
-    found = search.expand_rank(near, structure.chunk_edges(c), c, QUERY_TEXT).withColumn("qid", F.lit("q1"))
-    return search.mmr(found.join(c.select("chunk_id", "note_id", "chunk_type", "header_text"), "chunk_id").select("qid", "chunk_id", "note_id", "chunk_type", "header_text", "final_score"), 6)
+    near, c, local, edges = _near(spark, d)
+    found = search.expand_rank(near, edges, local, QUERY_TEXT).withColumn("qid", F.lit("q1"))
+    return search.mmr(found.join(local.select("chunk_id", "note_id", "chunk_type", "header_text"), "chunk_id").select("qid", "chunk_id", "note_id", "chunk_type", "header_text", "final_score"), 6)
 
 
 _GRAPH = f"""{PASSAGES}, {NEAR}, {EDGES}, listed AS (SELECT src, dst, rel, ord, c.importance_score AS i FROM edges JOIN chunks c ON c.chunk_id = dst WHERE src IN (SELECT chunk_id FROM near8) QUALIFY row_number() OVER (PARTITION BY src ORDER BY ord, dst) <= 3),
@@ -581,8 +585,8 @@ hits AS (SELECT chunk_id, distance, 1 - distance AS final_score, 'vector_search'
 
 @query(f"WITH {_GRAPH} SELECT chunk_id, round(distance, 6) AS distance, round(final_score, 6) AS final_score, retrieval_method, relationships, ord::INT AS ord FROM hits")
 def graph_search(spark, d):
-    near, c = _near(spark, d)
-    return search.graph_search(near, structure.chunk_edges(c), c).withColumn("distance", F.round("distance", 6)).withColumn("final_score", F.round("final_score", 6))
+    near, c, local, edges = _near(spark, d)
+    return search.graph_search(near, edges, local).withColumn("distance", F.round("distance", 6)).withColumn("final_score", F.round("final_score", 6))
 
 
 _DEDUPED = """best AS (SELECT chunk_id, distance, final_score, retrieval_method, ord FROM hits QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY coalesce(final_score, 0) DESC, ord) = 1),
@@ -591,8 +595,8 @@ rels AS (SELECT chunk_id, list_sort(list_distinct(flatten(list(relationships))))
 
 @query(f"WITH {_GRAPH}, {_DEDUPED} SELECT chunk_id, round(distance, 6) AS distance, round(final_score, 6) AS final_score, retrieval_method, relationships, ord::INT AS ord FROM best JOIN rels USING (chunk_id)")
 def dedupe_hits(spark, d):
-    near, c = _near(spark, d)
-    return search.dedupe_hits(search.graph_search(near, structure.chunk_edges(c), c)).select("chunk_id", F.round("distance", 6).alias("distance"), F.round("final_score", 6).alias("final_score"), "retrieval_method", "relationships", "ord")
+    near, c, local, edges = _near(spark, d)
+    return search.dedupe_hits(search.graph_search(near, edges, local)).select("chunk_id", F.round("distance", 6).alias("distance"), F.round("final_score", 6).alias("final_score"), "retrieval_method", "relationships", "ord")
 
 
 _HYBRID = f"""{PASSAGES}, {NEAR}, {EDGES}, one AS (SELECT chunk_id FROM near8 ORDER BY distance, chunk_id LIMIT 1),
@@ -604,9 +608,9 @@ _HITS = "SELECT chunk_id, round(coalesce(final_score, 1 - distance, 0), 6) AS ra
 
 
 def _hybrid(spark, d):
-    near, c = _near(spark, d)
+    near, c, local, edges = _near(spark, d)
     tagged = search.fuzzy_tag_search(c.select(F.col("chunk_id").alias("note_id"), "tags"), ENTITIES, 20).withColumnRenamed("note_id", "chunk_id")
-    return search.hybrid_search(near, tagged, structure.chunk_edges(c), c, 6), c
+    return search.hybrid_search(near, tagged, edges, local, 6), c
 
 
 @query(f"WITH {_HYBRID} {_HITS}")
@@ -622,14 +626,14 @@ def hydrate_hits(spark, d):
 
 @query(f"WITH {_HYBRID}, top AS ({_HITS}) SELECT chunk_id, round(importance_score, 6) AS importance_score FROM chunks WHERE chunk_id IN (SELECT dst FROM edges WHERE src IN (SELECT chunk_id FROM near8)) AND chunk_id NOT IN (SELECT chunk_id FROM top) AND importance_score >= 0.3 ORDER BY importance_score DESC, chunk_id LIMIT 1000")
 def related_minus_primary(spark, d):
-    near, c = _near(spark, d)
-    return search.related_minus_primary(search.related_chunks(near, structure.chunk_edges(c), c, n=1000), _hybrid(spark, d)[0]).select("chunk_id", F.round("importance_score", 6).alias("importance_score"))
+    near, c, local, edges = _near(spark, d)
+    return search.related_minus_primary(search.related_chunks(near, edges, local, n=1000), _hybrid(spark, d)[0]).select("chunk_id", F.round("importance_score", 6).alias("importance_score"))
 
 
 @query(f"WITH {PASSAGES}, {NEAR}, {EDGES} SELECT dst AS chunk_id, round(max(c.importance_score), 6) AS importance_score, min(rel) AS rel FROM edges JOIN chunks c ON c.chunk_id = dst WHERE src IN (SELECT chunk_id FROM near8) AND c.importance_score >= 0.3 GROUP BY dst ORDER BY max(c.importance_score) DESC, dst LIMIT 10")
 def related_chunks(spark, d):
-    near, c = _near(spark, d)
-    return search.related_chunks(near, structure.chunk_edges(c), c).withColumn("importance_score", F.round("importance_score", 6))
+    near, c, local, edges = _near(spark, d)
+    return search.related_chunks(near, edges, local).withColumn("importance_score", F.round("importance_score", 6))
 
 
 _INTENT = {n: p for n, _, p, _ in intents.INTENTS}
@@ -660,7 +664,7 @@ def complexity(spark, d):
 @query(f"WITH {_HYBRID}, top AS ({_HITS}) SELECT round(least(1.0, greatest(0.0, 1 - (SELECT avg(distance) FROM near8)) + 0.05), 6)::DOUBLE AS confidence, CASE WHEN least(1.0, greatest(0.0, 1 - (SELECT avg(distance) FROM near8)) + 0.05) < 0.55 THEN 'degraded' ELSE 'ok' END AS status, CASE WHEN (SELECT avg(distance) FROM near8) > 0.55 THEN ['rephrase_question', 'add_entities', 'narrow_with_tag'] ELSE ['rephrase_question', 'narrow_with_tag', 'increase_k'] END AS advice")
 def smart_search(spark, d):
     """Confidence, status and advice over the hits of one routed question."""
-    near, _ = _near(spark, d)
+    near = _near(spark, d)[0]
     row = near.agg(F.avg("distance").alias("mean"), F.count(F.lit(1)).alias("n"))
     c = scoring.confidence(F.col("mean"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("n"))
     score, status = scoring.search_status(F.col("n"), c, F.lit(False))
