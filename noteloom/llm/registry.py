@@ -78,9 +78,24 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS key FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT row, s, n, array_to_string(w[s:s + n - 1], ' ') AS key FROM d, sizes, unnest(range(1, len(w) - n + 2)) t(s)),
+found AS (SELECT row, s, n, item FROM places JOIN windows USING (n, key)),
+hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT row, s, n FROM found) f, unnest(range(s, s + n)) t(p) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
