@@ -11,14 +11,18 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): nodes within ``depth`` steps of the seeds (node), either direction, at their least depth; seeds at 0."""
-    both = undirected(edges)
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    """(node, depth): nodes within ``depth`` steps of the seeds (node), either direction, at their least depth; seeds at 0.
+
+    A level is what one more step reaches, seen before or not; the least depth
+    settles it in one aggregation at the end instead of an anti-join per level.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    level = seeds.select("node").distinct()
+    reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        frontier = both.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
+        level = both.join(level.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
+    return reached.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
