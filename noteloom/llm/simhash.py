@@ -16,6 +16,8 @@ spanning forest; only its edges leave the task.  A block value held by so many
 fingerprints that its group would be large is split by a second round of blocks
 over its other 48 bits, on the same argument.
 
+The pipeline's stage (``near_dedup``) does not use fingerprints: see ``near_links``.
+
 Defined results: A-Z is lower-cased; null or empty texts have fingerprint zero
 and link like any other; the component is named by the least id in it (null ids
 do not name one unless no other is there); repeated rows share a component;
@@ -24,7 +26,7 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,13 +34,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from noteloom.llm.common import LOWER, slices, texts_of, written
 from noteloom.llm.components import components
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
+#: The near-duplicate stage of a pipeline: words of a shingle, least Jaccard similarity as a fraction.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+#: Texts of the sample that finds common shingles, and how many of those are kept.
+SAMPLE_ROWS, SAMPLE_HASHES = 20_000, 1_000_000
+#: Buckets of the sketch that rules pairs out before their texts are fetched (a power of two).
+SKETCH = 128
 #: Members of an index node.
 FAN = 16
 #: Fingerprints that share a block before it is split again: this many, or this share of all (so the split ones stay few).
@@ -205,10 +213,10 @@ def links(codes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
 
 
-def _named(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _named(pairs: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> tuple[DataFrame, DataFrame]:
     """From (fp, doc_id): (fp, root) of every fingerprint, and (root, component_id, chosen fp) of every component."""
     nodes = written(pairs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    joined = components(linked(nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = written(nodes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     order = F.struct(F.col("least").isNull().alias("null"), "least", "fp")
     first = named.groupBy("root").agg(F.min(order).alias("first"))
@@ -223,22 +231,194 @@ def near_duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(of_code, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct shingle hashes that the near-duplicate stage compares, ascending."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
+
+
+def _near(common: int, n: int, m: int) -> bool:
+    """Jaccard similarity of sets of n and m members is NEAR or more; two empty sets are equal."""
+    return NEAR[1] * common >= NEAR[0] * (n + m - common)
+
+
+def _sketch(members: np.ndarray) -> bytes:
+    """The size of a set (8 bytes), then how many of its hashes fall in each of SKETCH buckets (255 at most)."""
+    held = np.bincount((members >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
+    return np.int64(len(members)).tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def _sketches(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 8 + SKETCH)
+    return raw[:, :8].copy().view(np.int64)[:, 0], raw[:, 8:].astype(np.int16)
+
+
+def _may(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False only where sets cannot reach NEAR: their buckets differ by no more than the sets do."""
+    return np.abs(x - y).sum(axis=1) * (NEAR[1] + NEAR[0]) <= (n + m) * (NEAR[1] - NEAR[0])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            at = pa.array(np.flatnonzero(_may(*_sketches(b.column("x").to_pylist()), *_sketches(b.column("y").to_pylist()))))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) that repeat in a sample of the texts, and how often; it only orders shingles, so no result depends on it."""
+
+    def run(batches):
+        for part in slices(batches):
+            sets = [shingle_set(t or "") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
+
+    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
+    counted = (texts.sample(share, seed=SEED) if share < 1 else texts).mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    got = counted.orderBy(F.desc("n"), "hash").limit(SAMPLE_HASHES).toArrow()
+    hashes = got.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], got.column("n").to_numpy()[order]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, n) sorted by key and fp whose key has several sets, with the key's first set as hub."""
+    last = None  # the open group's hub row
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, fp, n = (b.column(c).to_numpy() for c in ("key", "fp", "n"))
+        if last is not None:
+            key, fp, n = np.append(last[0], key), np.append(last[1], fp), np.append(last[2], n)
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        hub = np.repeat(first, np.diff(np.append(first, len(key))))
+        joins = (fp != fp[hub]) & np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
+        out = np.flatnonzero(joins)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[out], fp[out], n[out], fp[hub[out]], n[hub[out]])], ["key", "fp", "n", "hub", "hub_n"])
+        last = (key[first[-1]], fp[first[-1]], n[first[-1]])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within each key of sets that different components hold and whose sizes and sketches permit NEAR; rows come sorted by key and size."""
+
+    def pairs(rows: list[tuple]):
+        fp, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+        n, held_in = _sketches([r[2] for r in rows])
+        names, held = np.unique(root, return_counts=True)
+        most = names[held.argmax()]  # the largest component's sets are not compared with each other
+        for i in np.flatnonzero(root != most):
+            begin, end = np.searchsorted(n, -(-n[i] * NEAR[0] // NEAR[1])), np.searchsorted(n, n[i] * NEAR[1] // NEAR[0], side="right")
+            r = root[begin:end]
+            to = begin + np.flatnonzero((r != root[i]) & ((r == most) | (np.arange(begin, end) > i)))
+            to = to[_may(n[i], held_in[i], n[to], held_in[to])]
+            if len(to):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[to], fp[i])), pa.array(np.maximum(fp[to], fp[i]))], ["a", "b"])
+
+    at, rows = None, []
+    for b in batches:
+        for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "fp", "root", "sketch"))):
+            if key != at:
+                yield from pairs(rows) if len(rows) > 1 else ()
+                at, rows = key, []
+            rows.append(row)
+    yield from pairs(rows) if len(rows) > 1 else ()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard similarity NEAR or more; ``texts`` (fp, text) gives any text of each set."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(slices([batch], "x"), "y"):
+                known: dict[str, np.ndarray] = {}
+                keep = []
+                for k, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist())):
+                    s, t = (known.get(v) if v in known else known.setdefault(v, shingle_set(v)) for v in (x, y))
+                    if _near(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                        keep.append(k)
+                if keep:
+                    at = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    of = written(texts.join(asked, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "asked")
+    with_a = pairs.join(of.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
+    return written(with_a.join(of.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
+
+
+def near_links(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect whatever sets of ``texts`` (fp, text, sketch) have Jaccard similarity NEAR or more.
+
+    Under any one order of all shingles, two such sets of n and m share one of the
+    first n - ceil(NEAR n) + 1 and m - ceil(NEAR m) + 1 (prefix filter), so none is
+    missed; the order puts those last that a sample finds common.  First each set is
+    compared with the first one under each shared key; then only pairs that are in
+    different components still are listed.
+    """
+    shared_order = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts.select("text")))
+
+    def prefixes(batches):
+        hashes, often = shared_order.value
+        seen: set[int] = set()
+        for part in slices(batches):
+            keys, of, sizes = [], [], []
+            for fp, text in zip(part.column("fp").to_pylist(), part.column("text").to_pylist()):
+                if fp in seen:
+                    continue
+                seen.add(fp)
+                s = shingle_set(text or "")
+                if not len(s):
+                    continue
+                n = np.zeros(len(s), dtype=np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                    n = np.where(hashes[at] == s, often[at], 0)
+                first = s[np.lexsort((s, n))[: len(s) + 1 - -(-NEAR[0] * len(s) // NEAR[1])]]
+                keys.append(first)
+                of.append(np.full(len(first), fp))
+                sizes.append(np.full(len(first), len(s)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of)), pa.array(np.concatenate(sizes))], ["key", "fp", "n"])
+
+    rows = texts.mapInArrow(prefixes, "key long, fp long, n long")
+    kind = "key long, fp long, n long, hub long, hub_n long"
+    shared = written(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, kind), "shared")
+    fits = (F.greatest("n", "hub_n") * NEAR[0]) <= (F.least("n", "hub_n") * NEAR[1])
+    sketches = written(texts.groupBy("fp").agg(F.any_value("sketch").alias("sketch")), "sketches")
+    stars = shared.filter(fits).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    stars = stars.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    stars = written(stars.select("a", "b", "x", "y").mapInArrow(_possible, "a long, b long"), "stars")
+    edges = _verified(stars, texts)
+    roots = components(edges)
+    members = shared.select("key", "fp", "n").unionByName(shared.select("key", F.col("hub").alias("fp"), F.col("hub_n").alias("n")).distinct())
+    members = written(members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high and many > 2").select("key")
+    rest = members.join(mixed, "key", "left_semi").join(sketches, "fp").repartition("key").sortWithinPartitions("key", "n").mapInArrow(_across, "a long, b long").distinct()
+    more = _verified(written(rest.join(stars, ["a", "b"], "left_anti"), "pairs"), texts)
+    return edges.unionByName(more)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component, one for each component, with all their columns.
 
-    That is the row of the least id (null ids come last); of rows that share it,
-    the least fingerprint's, and of rows equal in both, any one.
+    Components are those of Jaccard similarity NEAR over sets of NEAR_SHINGLE words;
+    equal sets are folded by a 64-bit digest.  The row that stays is that of the
+    least id (null ids come last); of rows that share it, the least digest's, and
+    of rows equal in both, any one.
     """
-    mark, stay, many = "__fingerprint", "__stay", "__many"
+    mark, sketch, stay, many = "__set", "__sketch", "__stay", "__many"
 
     def run(batches):
         for part in slices(batches, text_col):
-            fp = np.array([fingerprint(t or "") for t in part.column(text_col).to_pylist()], dtype=np.uint64)
-            yield part.append_column(mark, pa.array(fp.view(np.int64)))
+            sets = [shingle_set(t or "") for t in part.column(text_col).to_pylist()]
+            fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
+            yield part.append_column(mark, pa.array(fp.view(np.int64))).append_column(sketch, pa.array(map(_sketch, sets), pa.binary()))
 
-    keyed = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType())])), "keyed")
+    keyed = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType()), StructField(sketch, BinaryType())])), "keyed")
     pairs = keyed.select(F.col(mark).alias("fp"), F.col(f"`{id_col}`").alias("doc_id"))
-    _, first = _named(pairs)
+    texts = keyed.select(F.col(mark).alias("fp"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(sketch).alias("sketch"))
+    _, first = _named(pairs, lambda _: near_links(texts))
     count = pairs.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     chosen = first.join(count, (first["fp"] == count["fp"]) & first["component_id"].eqNullSafe(count["doc_id"])).select(first["fp"].alias(stay), F.col("component_id").alias("__id"), (F.col("n") > 1).alias(many))
     kept = keyed.join(chosen, (F.col(mark) == F.col(stay)) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))

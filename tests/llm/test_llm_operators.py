@@ -406,6 +406,50 @@ def test_gray_index_prunes_nothing_that_links():
         assert len(set(names.values())) == len(names)
 
 
+def near_copies():
+    """Texts with copies at many similarities, a large cluster whose members differ from each other, and lines that many texts share."""
+    r = random.Random(8)
+    out, line = [], "permission is granted free of charge to any person obtaining a copy of these files and notes"
+    for seed in range(40):
+        words = prose(1000 + seed, r.randrange(4, 200)).split()
+        out.append(" ".join(words) + (f" {line}" if seed % 3 else ""))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(r.randrange(1, 2 + len(words) // 20)):
+                copy[r.randrange(len(copy))] = "changed"
+            out.append(" ".join(copy) + (f" {line}" if seed % 3 else ""))
+    words = prose(999, 150).split()
+    for k in range(60):
+        copy = list(words)
+        for _ in range(k % 5):
+            copy[r.randrange(len(copy))] = f"own{k}"
+        out.append(" ".join(copy))
+    return out + ["", None, " \n", "a b", "A B", line, line.upper()]
+
+
+def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
+    texts = near_copies()
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").translate(LOWER).split()) else set() for t in texts]
+    root, near, far = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * common >= 4 * union:
+                near += 1
+                far += (simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).bit_count() > 3
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert near > 100 and far > 20  # pairs that no three bits reach
+    order = random.Random(9).sample(range(len(texts)), len(texts))
+    want = {min(order[k] for k in range(len(texts)) if root[k] == r) for r in set(root)}
+    docs = docs_of(list(zip(order, texts)))
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    monkeypatch.setattr(simhash, "SAMPLE_HASHES", 1)  # another order of shingles, the same rows
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
+
+
 def test_near_duplicates_empty(docs_of):
     assert simhash.near_duplicate_report(docs_of([])).collect() == []
     assert simhash.near_dedup(docs_of([])).collect() == []
