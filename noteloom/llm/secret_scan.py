@@ -4,7 +4,7 @@ A token (16 characters or more of an encoding's alphabet) is tested under the
 encoding that its characters suggest.  Two questions are asked of it.
 
 * Could it be written text?  Null hypothesis: it comes from the corpus's own
-  character pairs, counted over all documents.  The likelihood ratio of uniform
+  character pairs, counted over all documents, each distinct token once.  The likelihood ratio of uniform
   draws to that model has mean 1 at most under the null, so its inverse is a
   valid p-value, and longer tokens carry more evidence by themselves.
 * Could it be uniform draws?  Chi-squared uniformity over the alphabet, the
@@ -44,6 +44,7 @@ ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+PIECE = re.compile(r"[A-Za-z0-9]{2,}")
 #: Least lengths of the strata.
 STRATA = (16, 24, 32, 48, 64, 128)
 #: Share of false discoveries in each stratum, and level of the battery's rejections.
@@ -55,6 +56,8 @@ _ALPHABET = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_
 _CODE = np.zeros(256, dtype=np.int64)
 _CODE[list(_ALPHABET)] = np.arange(1, len(_ALPHABET) + 1)
 CODES = len(_ALPHABET) + 1
+#: Codes from 1 to this are letters and digits.
+PLAIN = 62
 # flags: digit 0-1 and 8-9, digit 2-7, a-f, g-z, A-F, G-Z, +/, -_
 _FLAG = np.zeros(256, dtype=np.int64)
 for _chars, _bit in ((b"0189", 1), (b"234567", 2), (b"abcdef", 4), (b"ghijklmnopqrstuvwxyz", 8), (b"ABCDEF", 16), (b"GHIJKLMNOPQRSTUVWXYZ", 32), (b"+/", 64), (b"-_", 128)):
@@ -142,18 +145,60 @@ def battery_p(token: bytes, alphabet: bytes) -> float:
     return min(1.0, 3 * min(chi_squared_p(v, len(alphabet)), runs_p(v, len(alphabet)), serial_p(v, len(alphabet))))
 
 
+def _pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of neighbouring characters (pair), and whether both are letters or digits."""
+    code = _CODE[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    plain = (code > 0) & (code <= PLAIN)
+    return code[:-1] * CODES + code[1:], plain[:-1] & plain[1:]
+
+
+def _counted(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
 def pair_counts(rows: DataFrame) -> np.ndarray:
-    """Corpus counts of neighbouring characters by code (0: any other character), CODES x CODES."""
+    """Corpus counts of neighbouring characters by code (0: any other character), CODES x CODES.
 
-    def run(batches):
+    What lies outside tokens counts as often as it occurs.  A token counts once
+    however many rows hold it, and so does each piece of letters and digits, in
+    whatever tokens it stands: copies do not turn a secret into written text.
+    """
+
+    def outside(batches):
         total = np.zeros(CODES * CODES, dtype=np.int64)
         for part in slices(batches):
-            code = _CODE[np.frombuffer(("\n" + "\n".join(part.column("text").to_pylist())).encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-            total += np.bincount(code[:-1] * CODES + code[1:], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+            pair, _ = _pairs("\n" + "\n".join(TOKEN.sub("\n", t) for t in part.column("text").to_pylist()))
+            total += np.bincount(pair, minlength=len(total))
+        yield _counted(total)
+
+    def tokens(batches):
+        for part in slices(batches):
+            once = {m for t in part.column("text").to_pylist() for m in TOKEN.findall(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(once, pa.string())], ["text"])
 
-    got = rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    def pieces(batches):
+        for part in slices(batches):
+            once = {m for t in part.column("text").to_pylist() for m in PIECE.findall(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(once, pa.string())], ["text"])
+
+    def inside(plain: bool):
+        def run(batches):
+            total = np.zeros(CODES * CODES, dtype=np.int64)
+            for part in slices(batches):
+                pair, both = _pairs("\n" + "\n".join(part.column("text").to_pylist()) + "\n")
+                total += np.bincount(pair[both == plain], minlength=len(total))
+            yield _counted(total)
+
+        return run
+
+    kind = "pair long, n long"
+    texts = rows.select("text")
+    distinct = written(texts.mapInArrow(tokens, "text string").distinct(), "tokens")
+    inner = distinct.mapInArrow(pieces, "text string").distinct().mapInArrow(inside(True), kind)
+    every = texts.mapInArrow(outside, kind).unionByName(distinct.mapInArrow(inside(False), kind)).unionByName(inner)
+    # of a piece, only pairs of letters and digits count; its ends are counted with the token
+    got = every.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CODES * CODES)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(CODES, CODES)

@@ -598,6 +598,17 @@ def test_alphabets():
         assert f & int(np.bitwise_or.reduce(secret_scan._FLAG[list(a)])) == f
 
 
+@pytest.mark.parametrize("shape", ["{}", "/srv/{k}/{}"])
+def test_secret_in_a_third_of_the_rows(docs_of, shape):
+    r = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = "".join(r.choice(alphabet) for _ in range(40))
+    docs = [(k, prose(5000 + k, 40) + (" " + shape.replace("{k}", str(k)).replace("{}", secret) if k % 3 == 0 else "")) for k in range(900)]
+    got = {x.doc_id: x.n_random for x in secret_scan.secret_report(docs_of(docs)).collect()}
+    assert [got[k] for k in range(0, 900, 3)] == [1] * 300
+    assert not any(n for k, n in got.items() if k % 3)
+
+
 def test_secret_scan_empty(docs_of):
     assert secret_scan.secret_report(docs_of([])).collect() == []
 
