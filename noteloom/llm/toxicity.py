@@ -68,7 +68,7 @@ def trigrams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(n: int) -> list[tuple[int, int]]:
-    """(start, end) of all overlapping windows of n words; together they cover every word."""
+    """(start, end) of overlapping windows of n words, one at every STRIDE words and one at the end; together they cover every word."""
     if n <= WINDOW:
         return [(0, n)]
     out = [(s, s + WINDOW) for s in range(0, n - WINDOW, STRIDE)]
