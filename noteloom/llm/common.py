@@ -45,6 +45,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(columns: list[str], n: int) -> list[str]:
+    """``n`` column names that none of ``columns`` is equal to, whatever their case."""
+    used = {c.lower() for c in columns}
+    free = (f"own_{k}" for k in range(len(columns) + n))
+    return [c for c in free if c not in used][:n]
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns whatever else ``docs`` holds: doc_id as it is, text with null as ''."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

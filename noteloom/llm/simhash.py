@@ -34,19 +34,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from noteloom.llm.common import LOWER, slices, texts_of, written
+from noteloom.llm.common import LOWER, fresh, slices, texts_of, written
 from noteloom.llm.components import components
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: The near-duplicate stage of a pipeline: words of a shingle, least Jaccard similarity as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: Texts of the sample that finds common shingles, and how many of those are kept.
-SAMPLE_ROWS, SAMPLE_HASHES = 20_000, 1_000_000
-#: Buckets of the sketch that rules pairs out before their texts are fetched (a power of two).
-SKETCH = 128
+#: Texts of the sample that finds common shingles (so many, or this share of all), and how many of those are kept.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_HASHES = 20_000, 1 / 16, 1_000_000
+#: Share of the sample (and texts of it, at least) from which a shingle's rows are pre-aggregated.
+HOT_SHARE, HOT_LEAST = 1 / 500, 8
+#: Sets of one key that a task compares; more are dealt out in blocks of this size.
+GROUP_ROWS = 4000
+#: Rows of a table that is broadcast rather than exchanged, at most (three longs a row).
+BROADCAST_ROWS = 500_000
 #: Members of an index node.
 FAN = 16
 #: Fingerprints that share a block before it is split again: this many, or this share of all (so the split ones stay few).
@@ -241,43 +244,113 @@ def _near(common: int, n: int, m: int) -> bool:
     return NEAR[1] * common >= NEAR[0] * (n + m - common)
 
 
-def _sketch(members: np.ndarray) -> bytes:
-    """The size of a set (8 bytes), then how many of its hashes fall in each of SKETCH buckets (255 at most)."""
-    held = np.bincount((members >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
-    return np.int64(len(members)).tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes()
+def parity_sketch(members: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls in each bucket: a bit each, two buckets a member or more.
 
+    Two sketches of one width differ in no more bits than their sets in members; the
+    halves of a sketch, added, are the sketch of half the width.
+    """
+    width = max(64, 1 << (2 * len(members) - 1).bit_length()) if len(members) else 64
+    odd = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) at the lesser width of ``words`` words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of two blocks of sketches, row by row (or one row against all)."""
+    words = min(x.shape[1], y.shape[1])
+    return np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=1, dtype=np.int64)
 
-def _sketches(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 8 + SKETCH)
-    return raw[:, :8].copy().view(np.int64)[:, 0], raw[:, 8:].astype(np.int16)
 
+def _may(apart: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only where sets of n and m members that differ in ``apart`` members at least cannot reach NEAR."""
+    return apart * (NEAR[1] + NEAR[0]) <= (n + m) * (NEAR[1] - NEAR[0])
 
-def _may(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """False only where sets cannot reach NEAR: their buckets differ by no more than the sets do."""
-    return np.abs(x - y).sum(axis=1) * (NEAR[1] + NEAR[0]) <= (n + m) * (NEAR[1] - NEAR[0])
+
+def _stacked(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(width of each sketch in words, the sketches of each width as one block in their order)."""
+    width = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches)) // 8
+    return width, {w: np.frombuffer(b"".join(s for s, v in zip(sketches, width) if v == w), dtype=np.uint64).reshape(-1, w) for w in np.unique(width).tolist()}
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            at = pa.array(np.flatnonzero(_may(*_sketches(b.column("x").to_pylist()), *_sketches(b.column("y").to_pylist()))))
+    """Of the pairs (a, b, n, m, x, y) with sizes and sketches, those that may reach NEAR."""
+    for batch in batches:
+        for b in slices(slices([batch], "x"), "y"):
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            wide = np.array([(len(p), len(q)) for p, q in zip(x, y)])
+            keep = np.zeros(len(x), dtype=bool)
+            for p, q in np.unique(wide, axis=0).tolist():
+                at = np.flatnonzero((wide == (p, q)).all(axis=1))
+                left, right = (np.frombuffer(b"".join(v[i] for i in at), dtype=np.uint64).reshape(len(at), -1) for v in (x, y))
+                keep[at] = _may(_apart(left, right), n[at], m[at])
+            at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
 
-def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) that repeat in a sample of the texts, and how often; it only orders shingles, so no result depends on it."""
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (ascending) that repeat in a sample of the texts, how often, and the sample's size.
+
+    They only order shingles and deal out frequent ones, so no result depends on them.
+    """
 
     def run(batches):
         for part in slices(batches):
-            sets = [shingle_set(t or "") for t in part.column("text").to_pylist()]
+            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
 
-    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
+    total = texts.count()
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(total, 1)))
     counted = (texts.sample(share, seed=SEED) if share < 1 else texts).mapInArrow(run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     got = counted.orderBy(F.desc("n"), "hash").limit(SAMPLE_HASHES).toArrow()
     hashes = got.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], got.column("n").to_numpy()[order]
+    return hashes[order], got.column("n").to_numpy()[order], int(total * share)
+
+
+SETS = "doc_id {id}, mark long, fp long, n long, sketch binary, rare array<long>, often array<long>"
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, fp, n, sketch, rare, often) of each row (doc_id, text, mark).
+
+    fp is the digest of the row's shingle set, n its size; rare and often make up
+    the set's prefix, often being what a sample finds in HOT_SHARE of the texts or
+    more.  Of equal sets in one task the first alone carries a prefix.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows.select("text")))
+
+    def run(batches):
+        hashes, count, sampled = shared.value
+        hot = max(HOT_LEAST, HOT_SHARE * sampled)
+        seen: set[int] = set()
+        for part in slices(batches):
+            out: list[tuple] = []
+            for text in part.column("text").to_pylist():
+                s = shingle_set(text)
+                fp = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+                rare = often = s[:0]
+                if len(s) and fp not in seen:
+                    seen.add(fp)
+                    c = np.zeros(len(s), dtype=np.int64)
+                    if len(hashes):
+                        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                        c = np.where(hashes[at] == s, count[at], 0)
+                    first = np.lexsort((s, c))[: len(s) + 1 - -(-NEAR[0] * len(s) // NEAR[1])]
+                    rare, often = s[first[c[first] < hot]], s[first[c[first] >= hot]]
+                out.append((fp, len(s), parity_sketch(s), rare.view(np.int64), often.view(np.int64)))
+            fp, n, sketch, rare, often = zip(*out)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "n", "sketch", "rare", "often"])
+
+    return rows.mapInArrow(run, SETS.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +362,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp, n = (b.column(c).to_numpy() for c in ("key", "fp", "n"))
         if last is not None:
             key, fp, n = np.append(last[0], key), np.append(last[1], fp), np.append(last[2], n)
-        new = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         hub = np.repeat(first, np.diff(np.append(first, len(key))))
         joins = (fp != fp[hub]) & np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
         out = np.flatnonzero(joins)
@@ -300,33 +372,70 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within each key of sets that different components hold and whose sizes and sketches permit NEAR; rows come sorted by key and size."""
+    """Pairs within each key of sets that different components hold and whose sizes and sketches permit NEAR.
+
+    Rows come sorted by key, its two blocks and size; sets of one block are compared
+    with each other where the two are the same, else with those of the other block.
+    """
 
-    def pairs(rows: list[tuple]):
-        fp, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
-        n, held_in = _sketches([r[2] for r in rows])
-        names, held = np.unique(root, return_counts=True)
-        most = names[held.argmax()]  # the largest component's sets are not compared with each other
+    def pairs(mark: tuple, rows: list[tuple]):
+        fp, root, n, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 4))
+        width, held = _stacked([r[3] for r in rows])
+        names, times = np.unique(root, return_counts=True)
+        most = names[times.argmax()]  # the largest component's sets are not compared with each other
+        inner = mark[1] == mark[2]
+        begins = {w: np.flatnonzero(width == w) for w in held}
+        a, b = [], []
         for i in np.flatnonzero(root != most):
             begin, end = np.searchsorted(n, -(-n[i] * NEAR[0] // NEAR[1])), np.searchsorted(n, n[i] * NEAR[1] // NEAR[0], side="right")
             r = root[begin:end]
-            to = begin + np.flatnonzero((r != root[i]) & ((r == most) | (np.arange(begin, end) > i)))
-            to = to[_may(n[i], held_in[i], n[to], held_in[to])]
-            if len(to):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[to], fp[i])), pa.array(np.maximum(fp[to], fp[i]))], ["a", "b"])
+            open_ = (r != root[i]) & ((r == most) | (np.arange(begin, end) > i))
+            to = begin + np.flatnonzero(open_ if inner else open_ & (side[begin:end] != side[i]))
+            own = held[width[i]][np.searchsorted(begins[width[i]], [i])]
+            for w in np.unique(width[to]).tolist():
+                j = to[width[to] == w]
+                j = j[_may(_apart(own, held[w][np.searchsorted(begins[w], j)]), n[i], n[j])]
+                a.append(np.minimum(fp[j], fp[i]))
+                b.append(np.maximum(fp[j], fp[i]))
+        return a, b
+
+    held_a: list[np.ndarray] = []
+    held_b: list[np.ndarray] = []
+
+    def out():
+        both = np.unique(np.stack([np.concatenate(held_a), np.concatenate(held_b)], axis=1), axis=0)
+        held_a.clear()
+        held_b.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     at, rows = None, []
-    for b in batches:
-        for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "fp", "root", "sketch"))):
-            if key != at:
-                yield from pairs(rows) if len(rows) > 1 else ()
-                at, rows = key, []
-            rows.append(row)
-    yield from pairs(rows) if len(rows) > 1 else ()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have Jaccard similarity NEAR or more; ``texts`` (fp, text) gives any text of each set."""
+    for batch in batches:
+        for part in slices([batch], "sketch"):
+            for key, low, high, *row in zip(*(part.column(c).to_pylist() for c in ("key", "low", "high", "fp", "root", "n", "sketch", "side"))):
+                if (key, low, high) != at:
+                    if len(rows) > 1:
+                        a, b = pairs(at, rows)
+                        held_a += a
+                        held_b += b
+                        if sum(map(len, held_a)) > PAIRS * 50:
+                            yield out()
+                    at, rows = (key, low, high), []
+                rows.append(row)
+    if len(rows) > 1:
+        a, b = pairs(at, rows)
+        held_a += a
+        held_b += b
+    if held_a:
+        yield out()
+
+
+def _few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has BROADCAST_ROWS rows at most; else as it is."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard similarity NEAR or more; ``rows`` (doc_id, text, mark) are the texts of ``sets``."""
 
     def run(batches):
         for batch in batches:
@@ -341,61 +450,58 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     at = pa.array(keep)
                     yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    of = written(texts.join(asked, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "asked")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = sets.join(named, "fp").groupBy("fp").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
+    asked = written(asked.select("fp", F.col("row.mark").alias("asked"), F.col("row.doc_id").alias("asked_id")), "asked")
+    found = rows.join(_few(asked), (F.col("mark") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    of = written(found.groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
     with_a = pairs.join(of.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
     return written(with_a.join(of.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
 
 
-def near_links(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect whatever sets of ``texts`` (fp, text, sketch) have Jaccard similarity NEAR or more.
+def _with_hubs(sets: DataFrame) -> DataFrame:
+    """(key, fp, n, hub, hub_n): each set under each prefix key that several sets hold, with the key's least set; hubs have no row."""
+
+    def rows(column: str) -> DataFrame:
+        return sets.select(F.explode(column).alias("key"), "fp", "n")
+
+    kind = "key long, fp long, n long, hub long, hub_n long"
+    rare = rows("rare").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, kind)
+    # frequent keys: least sets are combined map-side, and both sides of the join are plain exchanges
+    often = written(rows("often").distinct(), "often")
+    hubs = written(often.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub")).select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    return written(rare.unionByName(often.join(hubs, "key").filter("fp <> hub").select("key", "fp", "n", "hub", "hub_n")), "shared")
+
+
+def near_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect whatever ``sets`` have Jaccard similarity NEAR or more; ``rows`` (doc_id, text, mark) are their texts.
 
     Under any one order of all shingles, two such sets of n and m share one of the
     first n - ceil(NEAR n) + 1 and m - ceil(NEAR m) + 1 (prefix filter), so none is
     missed; the order puts those last that a sample finds common.  First each set is
-    compared with the first one under each shared key; then only pairs that are in
-    different components still are listed.
+    compared with the least one under each shared key; then only pairs that are in
+    different components still are listed.  Of keys that the same sets hold one
+    is searched, and a key with more than GROUP_ROWS sets is searched in pairs of blocks.
     """
-    shared_order = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts.select("text")))
-
-    def prefixes(batches):
-        hashes, often = shared_order.value
-        seen: set[int] = set()
-        for part in slices(batches):
-            keys, of, sizes = [], [], []
-            for fp, text in zip(part.column("fp").to_pylist(), part.column("text").to_pylist()):
-                if fp in seen:
-                    continue
-                seen.add(fp)
-                s = shingle_set(text or "")
-                if not len(s):
-                    continue
-                n = np.zeros(len(s), dtype=np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    n = np.where(hashes[at] == s, often[at], 0)
-                first = s[np.lexsort((s, n))[: len(s) + 1 - -(-NEAR[0] * len(s) // NEAR[1])]]
-                keys.append(first)
-                of.append(np.full(len(first), fp))
-                sizes.append(np.full(len(first), len(s)))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of)), pa.array(np.concatenate(sizes))], ["key", "fp", "n"])
-
-    rows = texts.mapInArrow(prefixes, "key long, fp long, n long")
-    kind = "key long, fp long, n long, hub long, hub_n long"
-    shared = written(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared, kind), "shared")
+    shared = _with_hubs(sets)
     fits = (F.greatest("n", "hub_n") * NEAR[0]) <= (F.least("n", "hub_n") * NEAR[1])
-    sketches = written(texts.groupBy("fp").agg(F.any_value("sketch").alias("sketch")), "sketches")
-    stars = shared.filter(fits).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    sketches = written(sets.groupBy("fp").agg(F.any_value("sketch").alias("sketch")), "sketches")
+    low = F.col("fp") < F.col("hub")
+    stars = shared.filter(fits).select(F.when(low, F.col("fp")).otherwise(F.col("hub")).alias("a"), F.when(low, F.col("hub")).otherwise(F.col("fp")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("n"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("m")).distinct()
     stars = stars.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-    stars = written(stars.select("a", "b", "x", "y").mapInArrow(_possible, "a long, b long"), "stars")
-    edges = _verified(stars, texts)
+    stars = written(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"), "stars")
+    edges = _verified(stars, sets, rows)
     roots = components(edges)
     members = shared.select("key", "fp", "n").unionByName(shared.select("key", F.col("hub").alias("fp"), F.col("hub_n").alias("n")).distinct())
     members = written(members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high and many > 2").select("key")
-    rest = members.join(mixed, "key", "left_semi").join(sketches, "fp").repartition("key").sortWithinPartitions("key", "n").mapInArrow(_across, "a long, b long").distinct()
-    more = _verified(written(rest.join(stars, ["a", "b"], "left_anti"), "pairs"), texts)
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"), F.expr("bit_xor(xxhash64(fp))").alias("s"), F.expr("bit_xor(xxhash64(n, fp))").alias("t")).filter("low < high and many > 2")
+    mixed = written(mixed.groupBy("many", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("many") / GROUP_ROWS).alias("blocks")), "mixed")
+    block = F.pmod(F.xxhash64("fp"), "blocks")
+    dealt = members.join(mixed, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "fp", "root", "n", "side")
+    dealt = dealt.join(sketches, "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n")
+    rest = dealt.mapInArrow(_across, "a long, b long").distinct()
+    more = _verified(written(rest.join(stars, ["a", "b"], "left_anti"), "pairs"), sets, rows)
     return edges.unionByName(more)
 
 
@@ -405,23 +511,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Components are those of Jaccard similarity NEAR over sets of NEAR_SHINGLE words;
     equal sets are folded by a 64-bit digest.  The row that stays is that of the
     least id (null ids come last); of rows that share it, the least digest's, and
-    of rows equal in both, any one.
+    of rows equal in both, the one whose text has the least hash (of equal texts any one).
     """
-    mark, sketch, stay, many = "__set", "__sketch", "__stay", "__many"
-
-    def run(batches):
-        for part in slices(batches, text_col):
-            sets = [shingle_set(t or "") for t in part.column(text_col).to_pylist()]
-            fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
-            yield part.append_column(mark, pa.array(fp.view(np.int64))).append_column(sketch, pa.array(map(_sketch, sets), pa.binary()))
-
-    keyed = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(mark, LongType()), StructField(sketch, BinaryType())])), "keyed")
-    pairs = keyed.select(F.col(mark).alias("fp"), F.col(f"`{id_col}`").alias("doc_id"))
-    texts = keyed.select(F.col(mark).alias("fp"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(sketch).alias("sketch"))
-    _, first = _named(pairs, lambda _: near_links(texts))
-    count = pairs.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    chosen = first.join(count, (first["fp"] == count["fp"]) & first["component_id"].eqNullSafe(count["doc_id"])).select(first["fp"].alias(stay), F.col("component_id").alias("__id"), (F.col("n") > 1).alias(many))
-    kept = keyed.join(chosen, (F.col(mark) == F.col(stay)) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    # only rows that are really repeated take another exchange
-    once = kept.filter(~F.col(many)).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(kept.filter(many).dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    mark, row_id, lost = fresh(docs.columns, 3)
+    rows = texts_of(docs, id_col, text_col).withColumn("mark", _mark("text", "doc_id"))
+    sets = written(_sets(rows), "sets")
+    _, first = _named(sets.select("fp", "doc_id"), lambda _: near_links(sets, rows))
+    chosen = first.select(F.col("fp").alias("of"), "component_id")
+    stays = sets.join(chosen, (F.col("fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp").agg(F.min("mark").alias("mark"), F.any_value("doc_id").alias("doc_id"))
+    stays = stays.select(F.col("mark").alias("stay"), F.col("doc_id").alias("stay_id"))
+    rest = sets.groupBy("mark", "doc_id").agg(F.count(F.lit(1)).alias("times")).join(stays, (F.col("mark") == F.col("stay")) & F.col("doc_id").eqNullSafe(F.col("stay_id")), "left")
+    # rows that go, and those that stay once of several
+    rest = rest.filter("stay is null or times > 1").select(F.col("mark").alias(mark), F.col("doc_id").alias(row_id), F.col("stay").isNull().alias(lost))
+    rest = written(rest, "rest")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(_few(rest), (_mark(text, F.col(f"`{id_col}`")) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(row_id)), "left")
+    out = joined.filter(F.col(lost).isNull()).select(*own)
+    if rest.filter(~F.col(lost)).isEmpty():
+        return out
+    return out.unionByName(joined.filter(~F.col(lost)).dropDuplicates([mark, row_id]).select(*own))
+
+
+def _mark(text, ids):
+    """What tells rows of one id apart: a hash of id and text."""
+    return F.xxhash64(text, ids)

@@ -446,8 +446,31 @@ def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
-    monkeypatch.setattr(simhash, "SAMPLE_HASHES", 1)  # another order of shingles, the same rows
-    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
+    # another order of shingles; frequent keys; groups in blocks; exchanges in place of broadcasts: the same rows
+    for settings in ({"SAMPLE_HASHES": 1}, {"HOT_LEAST": 2, "HOT_SHARE": 0}, {"GROUP_ROWS": 2, "BROADCAST_ROWS": 0}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(simhash, name, value)
+            assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    text = prose(3, 30)
+    rows = [(1, text, 7, "a"), (1, text, 7, "b"), (2, text + " tail", 8, None), (None, text, 9, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_0 long, __fingerprint string")
+    (kept,) = simhash.near_dedup(docs).collect()
+    assert (kept.doc_id, kept.text, kept.own_0) == (1, text, 7) and kept["__fingerprint"] in "ab"
+
+
+def test_parity_sketches_bound_differences():
+    r = random.Random(4)
+    for _ in range(60):
+        n = r.randrange(1, 300)
+        a = np.unique(np.array([r.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+        b = np.unique(np.append(a[: r.randrange(len(a) + 1)], np.array([r.getrandbits(64) for _ in range(r.randrange(90))], dtype=np.uint64)))
+        x, y = (np.frombuffer(simhash.parity_sketch(s), dtype=np.uint64)[None] for s in (a, b))
+        assert simhash._apart(x, y)[0] <= len(np.setxor1d(a, b))
+        assert simhash._apart(x, x)[0] == 0
 
 
 def test_near_duplicates_empty(docs_of):
