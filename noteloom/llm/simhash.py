@@ -48,6 +48,8 @@ SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_HASHES = 20_000, 1 / 16, 1_000_000
 HOT_SHARE, HOT_LEAST = 1 / 500, 8
 #: Sets of one key that a task compares; more are dealt out in blocks of this size.
 GROUP_ROWS = 4000
+#: Pairs a set that a group may list, and shingles that a block of a group holds where it is settled in place.
+DENSE, GROUP_MEMBERS = 2, 500_000
 #: Rows of a table that is broadcast rather than exchanged, at most (three longs a row).
 BROADCAST_ROWS = 500_000
 #: Members of an index node.
@@ -371,21 +373,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[first[-1]], fp[first[-1]], n[first[-1]])
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], heavy: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, low, high), rows) of each group; rows come sorted by it and are read in slices by the bytes of ``heavy``."""
+    at, rows = None, []
+    for batch in batches:
+        for part in slices([batch], heavy):
+            for key, low, high, *row in zip(*(part.column(c).to_pylist() for c in ("key", "low", "high", *names))):
+                if (key, low, high) != at:
+                    if len(rows) > 1:
+                        yield at, rows
+                    at, rows = (key, low, high), []
+                rows.append(row)
+    if len(rows) > 1:
+        yield at, rows
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within each key of sets that different components hold and whose sizes and sketches permit NEAR.
+    """Pairs (a, b, null) within each key of sets that different components hold and whose sizes and sketches permit NEAR.
 
     Rows come sorted by key, its two blocks and size; sets of one block are compared
     with each other where the two are the same, else with those of the other block.
+    Where a group would list more than DENSE pairs a set, (null, null, key) stands instead.
     """
 
-    def pairs(mark: tuple, rows: list[tuple]):
+    def pairs(mark: tuple, rows: list[tuple]) -> tuple[list, list] | None:
         fp, root, n, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 4))
         width, held = _stacked([r[3] for r in rows])
         names, times = np.unique(root, return_counts=True)
         most = names[times.argmax()]  # the largest component's sets are not compared with each other
         inner = mark[1] == mark[2]
         begins = {w: np.flatnonzero(width == w) for w in held}
-        a, b = [], []
+        a, b, listed = [], [], 0
         for i in np.flatnonzero(root != most):
             begin, end = np.searchsorted(n, -(-n[i] * NEAR[0] // NEAR[1])), np.searchsorted(n, n[i] * NEAR[1] // NEAR[0], side="right")
             r = root[begin:end]
@@ -397,36 +415,56 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = j[_may(_apart(own, held[w][np.searchsorted(begins[w], j)]), n[i], n[j])]
                 a.append(np.minimum(fp[j], fp[i]))
                 b.append(np.maximum(fp[j], fp[i]))
+                listed += len(j)
+            if listed > DENSE * len(rows):
+                return None
         return a, b
 
-    held_a: list[np.ndarray] = []
-    held_b: list[np.ndarray] = []
-
-    def out():
-        both = np.unique(np.stack([np.concatenate(held_a), np.concatenate(held_b)], axis=1), axis=0)
-        held_a.clear()
-        held_b.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    at, rows = None, []
-    for batch in batches:
-        for part in slices([batch], "sketch"):
-            for key, low, high, *row in zip(*(part.column(c).to_pylist() for c in ("key", "low", "high", "fp", "root", "n", "sketch", "side"))):
-                if (key, low, high) != at:
-                    if len(rows) > 1:
-                        a, b = pairs(at, rows)
-                        held_a += a
-                        held_b += b
-                        if sum(map(len, held_a)) > PAIRS * 50:
-                            yield out()
-                    at, rows = (key, low, high), []
-                rows.append(row)
-    if len(rows) > 1:
-        a, b = pairs(at, rows)
-        held_a += a
-        held_b += b
-    if held_a:
-        yield out()
+    def out(a: list, b: list, keys: list):
+        both = np.unique(np.stack([np.concatenate([*a, none]), np.concatenate([*b, none])], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(both[:, k]), pa.nulls(len(keys), pa.int64())]) for k in (0, 1)] + [pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(keys, pa.int64())])], ["a", "b", "dense"])
+
+    none = np.empty(0, dtype=np.int64)
+    a, b, keys, size = [], [], [], 0
+    for mark, rows in _grouped(batches, ("fp", "root", "n", "sketch", "side"), "sketch"):
+        found = pairs(mark, rows)
+        if found is None:
+            keys.append(mark[0])
+        else:
+            a, b, size = a + found[0], b + found[1], size + sum(map(len, found[0]))
+        if size + len(keys) > PAIRS * 20:
+            yield out(a, b, keys)
+            a, b, keys, size = [], [], [], 0
+    yield out(a, b, keys)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a forest over the links of each group, by exact similarity of its sets; what one component holds is not compared."""
+    for mark, rows in _grouped(batches, ("fp", "root", "n", "members", "side"), "members"):
+        fp, root, n, side = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2, 4))
+        names, place = np.unique(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64), return_inverse=True)
+        first = np.cumsum(n) - n
+        inner = mark[1] == mark[2]
+        held = np.zeros(len(names), dtype=np.int64)
+        a, b = [], []
+        for i in range(len(rows) - 1):
+            end = int(np.searchsorted(n, n[i] * NEAR[1] // NEAR[0], side="right"))
+            open_ = root[i + 1 : end] != root[i]
+            if not inner:
+                open_ &= side[i + 1 : end] != side[i]
+            if not open_.any():
+                continue
+            own = place[first[i] : first[i] + n[i]]
+            held[own] = 1
+            common = np.add.reduceat(held[place[first[i + 1] : first[end - 1] + n[end - 1]]], first[i + 1 : end] - first[i + 1])
+            held[own] = 0
+            for j in i + 1 + np.flatnonzero(open_ & (NEAR[1] * common >= NEAR[0] * (n[i] + n[i + 1 : end] - common))):
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    a.append(fp[i])
+                    b.append(fp[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _few(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -434,8 +472,16 @@ def _few(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
+def _texts(fps: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(fp, text) of each set named in ``fps`` (fp, distinct); ``rows`` (doc_id, text, mark) are the texts of ``sets``."""
+    asked = sets.join(fps, "fp").groupBy("fp").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
+    asked = written(asked.select("fp", F.col("row.mark").alias("asked"), F.col("row.doc_id").alias("asked_id")), "asked")
+    found = rows.join(_few(asked), (F.col("mark") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    return written(found.groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have Jaccard similarity NEAR or more; ``rows`` (doc_id, text, mark) are the texts of ``sets``."""
+    """The pairs (a, b) whose sets have Jaccard similarity NEAR or more."""
 
     def run(batches):
         for batch in batches:
@@ -450,15 +496,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
                     at = pa.array(keep)
                     yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = sets.join(named, "fp").groupBy("fp").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
-    asked = written(asked.select("fp", F.col("row.mark").alias("asked"), F.col("row.doc_id").alias("asked_id")), "asked")
-    found = rows.join(_few(asked), (F.col("mark") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
-    of = written(found.groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
+    of = _texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), sets, rows)
     with_a = pairs.join(of.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
     return written(with_a.join(of.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
 
 
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` (with fp) and the component (root) that each set is in under ``edges``."""
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    return members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _in_blocks(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """``members`` of ``keys`` (key, blocks), each once per pair of blocks (low, high) that its own (side) is in."""
+    dealt = members.join(keys, "key").withColumn("side", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "fp", "root", "n", "side")
+
+
+def _gathered(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n")
+
+
+def _in_dense(dense: DataFrame, members: DataFrame, edges: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges that connect what the ``dense`` keys (key) link, each group settled from its sets."""
+
+    def run(batches):
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([shingle_set(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["fp", "members"])
+
+    own = written(_rooted(members.join(dense, "key", "left_semi"), edges), "dense")
+    sizes = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low < high")
+    dealt = _in_blocks(own, sizes.select("key", F.ceil(F.col("total") / GROUP_MEMBERS).alias("blocks")))
+    whole = written(_texts(own.select("fp").distinct(), sets, rows).mapInArrow(run, "fp long, members binary"), "members")
+    return written(_gathered(dealt.join(whole, "fp")).mapInArrow(_settled, "a long, b long"), "settled")
+
+
 def _with_hubs(sets: DataFrame) -> DataFrame:
     """(key, fp, n, hub, hub_n): each set under each prefix key that several sets hold, with the key's least set; hubs have no row."""
 
@@ -482,6 +554,8 @@ def near_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     compared with the least one under each shared key; then only pairs that are in
     different components still are listed.  Of keys that the same sets hold one
     is searched, and a key with more than GROUP_ROWS sets is searched in pairs of blocks.
+    Where a key's sets are so much alike that the pairs would outnumber them, they are
+    compared in place and only a forest of their links leaves the task.
     """
     shared = _with_hubs(sets)
     fits = (F.greatest("n", "hub_n") * NEAR[0]) <= (F.least("n", "hub_n") * NEAR[1])
@@ -491,18 +565,15 @@ def near_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     stars = stars.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
     stars = written(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"), "stars")
     edges = _verified(stars, sets, rows)
-    roots = components(edges)
-    members = shared.select("key", "fp", "n").unionByName(shared.select("key", F.col("hub").alias("fp"), F.col("hub_n").alias("n")).distinct())
-    members = written(members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"), F.expr("bit_xor(xxhash64(fp))").alias("s"), F.expr("bit_xor(xxhash64(n, fp))").alias("t")).filter("low < high and many > 2")
+    members = written(shared.select("key", "fp", "n").unionByName(shared.select("key", F.col("hub").alias("fp"), F.col("hub_n").alias("n")).distinct()), "members")
+    rooted = written(_rooted(members, edges), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"), F.expr("bit_xor(xxhash64(fp))").alias("s"), F.expr("bit_xor(xxhash64(n, fp))").alias("t")).filter("low < high and many > 2")
     mixed = written(mixed.groupBy("many", "s", "t").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("many") / GROUP_ROWS).alias("blocks")), "mixed")
-    block = F.pmod(F.xxhash64("fp"), "blocks")
-    dealt = members.join(mixed, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "fp", "root", "n", "side")
-    dealt = dealt.join(sketches, "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n")
-    rest = dealt.mapInArrow(_across, "a long, b long").distinct()
-    more = _verified(written(rest.join(stars, ["a", "b"], "left_anti"), "pairs"), sets, rows)
-    return edges.unionByName(more)
+    found = written(_gathered(_in_blocks(rooted, mixed).join(sketches, "fp")).mapInArrow(_across, "a long, b long, dense long"), "found")
+    pairs = written(found.filter("dense is null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.unionByName(_verified(pairs, sets, rows))
+    dense = written(found.filter("dense is not null").select(F.col("dense").alias("key")).distinct(), "dense")
+    return edges if dense.isEmpty() else edges.unionByName(_in_dense(dense, members, edges, sets, rows))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -447,7 +447,7 @@ def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
     # another order of shingles; frequent keys; groups in blocks; exchanges in place of broadcasts: the same rows
-    for settings in ({"SAMPLE_HASHES": 1}, {"HOT_LEAST": 2, "HOT_SHARE": 0}, {"GROUP_ROWS": 2, "BROADCAST_ROWS": 0}):
+    for settings in ({"SAMPLE_HASHES": 1}, {"HOT_LEAST": 2, "HOT_SHARE": 0}, {"GROUP_ROWS": 2, "BROADCAST_ROWS": 0}, {"DENSE": 0}, {"DENSE": 0, "GROUP_MEMBERS": 400}):
         with monkeypatch.context() as m:
             for name, value in settings.items():
                 m.setattr(simhash, name, value)
