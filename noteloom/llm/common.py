@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as objects at a time.
 SLICE_BYTES = 4 << 20
+#: Rows of a table of keys that is broadcast rather than exchanged, at most (each takes some 100 bytes).
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +47,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (a written table of keys) marked for broadcast if it has BROADCAST_ROWS rows at most; else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fresh(columns: list[str], n: int) -> list[str]:
     """``n`` column names that none of ``columns`` is equal to, whatever their case."""
     used = {c.lower() for c in columns}

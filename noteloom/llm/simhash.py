@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import LOWER, fresh, slices, texts_of, written
+from noteloom.llm.common import LOWER, few, fresh, slices, texts_of, written
 from noteloom.llm.components import components
 
 #: Words of a shingle, seed of its hash, and differing bits of a link.
@@ -50,8 +50,6 @@ HOT_SHARE, HOT_LEAST = 1 / 500, 8
 GROUP_ROWS = 4000
 #: Pairs a set that a group may list, and shingles that a block of a group holds where it is settled in place.
 DENSE, GROUP_MEMBERS = 2, 500_000
-#: Rows of a table that is broadcast rather than exchanged, at most (three longs a row).
-BROADCAST_ROWS = 500_000
 #: Members of an index node.
 FAN = 16
 #: Fingerprints that share a block before it is split again: this many, or this share of all (so the split ones stay few).
@@ -467,16 +465,11 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _few(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has BROADCAST_ROWS rows at most; else as it is."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
-
-
 def _texts(fps: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(fp, text) of each set named in ``fps`` (fp, distinct); ``rows`` (doc_id, text, mark) are the texts of ``sets``."""
     asked = sets.join(fps, "fp").groupBy("fp").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
     asked = written(asked.select("fp", F.col("row.mark").alias("asked"), F.col("row.doc_id").alias("asked_id")), "asked")
-    found = rows.join(_few(asked), (F.col("mark") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    found = rows.join(few(asked), (F.col("mark") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
     return written(found.groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
 
 
@@ -597,7 +590,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = written(rest, "rest")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(_few(rest), (_mark(text, F.col(f"`{id_col}`")) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(row_id)), "left")
+    joined = docs.join(few(rest), (_mark(text, F.col(f"`{id_col}`")) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(row_id)), "left")
     out = joined.filter(F.col(lost).isNull()).select(*own)
     if rest.filter(~F.col(lost)).isEmpty():
         return out

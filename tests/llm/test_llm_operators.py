@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from noteloom.llm import decontaminate as dec
-from noteloom.llm import exact_dedup, lattice, lm_score, packing, secret_scan, simhash, suffix_dedup
+from noteloom.llm import common, exact_dedup, lattice, lm_score, packing, secret_scan, simhash, suffix_dedup
 from noteloom.llm import quality_crf as crf
 from noteloom.llm import toxicity as tox
 from noteloom.llm.common import SLICE_BYTES, slices
@@ -450,7 +450,7 @@ def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
     for settings in ({"SAMPLE_HASHES": 1}, {"HOT_LEAST": 2, "HOT_SHARE": 0}, {"GROUP_ROWS": 2, "BROADCAST_ROWS": 0}, {"DENSE": 0}, {"DENSE": 0, "GROUP_MEMBERS": 400}):
         with monkeypatch.context() as m:
             for name, value in settings.items():
-                m.setattr(simhash, name, value)
+                m.setattr(common if name == "BROADCAST_ROWS" else simhash, name, value)
             assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
 
 
@@ -535,8 +535,9 @@ def test_contamination_empty(spark, docs_of):
 # --- 7 ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("support", [1e-3, 0.2])
-def test_exact_duplicates(docs_of, awkward, support):
+@pytest.mark.parametrize("support,broadcast", [(1e-3, 1000), (0.2, 0)])
+def test_exact_duplicates(docs_of, awkward, support, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     cases = [*awkward, *[(100 + i, "heavy") for i in range(30)]]
     got = exact_dedup.duplicate_report(docs_of(cases), support=support).collect()
     groups = defaultdict(list)
@@ -553,6 +554,18 @@ def test_exact_duplicates(docs_of, awkward, support):
     assert bag((r.doc_id, r.text or "") for r in left.collect()) == Counter((best[t], t) for t in groups)
 
 
+def test_exact_duplicates_keep_clashing_columns(spark):
+    rows = [(1, "t", "mine", 5), (2, "t", "yours", 6), (2, "t", "yours", 6), (3, None, "null", 7), (None, "", "none", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string, own_0 long")
+    assert bag(exact_dedup.exact_dedup(docs).collect()) == Counter([(2, "t", "yours", 6), (3, None, "null", 7)])
+
+
+def test_exact_duplicates_no_task_holds_a_digest(docs_of):
+    """Rows of one digest are never gathered: no window, and aggregates are combined before their exchange."""
+    for df in (exact_dedup.duplicate_report(docs_of([(i, "same") for i in range(50)])), exact_dedup.exact_dedup(docs_of([(i, "same") for i in range(50)]))):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_duplicates_empty(docs_of):
     assert exact_dedup.duplicate_report(docs_of([])).collect() == []
     assert exact_dedup.exact_dedup(docs_of([])).collect() == []
