@@ -13,8 +13,8 @@ their common mask.  The group is joined with itself from its top node down;
 the bits settled at one level are part of the next one's mask, so differences
 accumulate, and whole groups are pruned.  Found links are folded in place to a
 spanning forest; only its edges leave the task.  A block value held by so many
-fingerprints that its group would be large is split by a second round of blocks
-over its other 48 bits, on the same argument.
+fingerprints that its group would be large is split by another round of blocks
+over its other 48 bits, on the same argument, and again until no group is large.
 
 The pipeline's stage (``near_dedup``) does not use fingerprints: see ``near_links``.
 
@@ -52,8 +52,8 @@ GROUP_ROWS = 4000
 DENSE, GROUP_MEMBERS = 2, 500_000
 #: Members of an index node.
 FAN = 16
-#: Fingerprints that share a block before it is split again: this many, or this share of all (so the split ones stay few).
-SPLIT_ROWS, SPLIT_SHARE = 200_000, 1 / 5000
+#: Fingerprints of a group, at most; larger ones are split again.
+SPLIT_ROWS = 200_000
 #: Fingerprints that a task indexes at a time (whole groups).
 BATCH = 500_000
 #: Node pairs that are opened at a time.
@@ -194,26 +194,40 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(code[a]), pa.array(code[b])], ["a", "b"])
 
 
+def _cut(rows: DataFrame, free: int) -> tuple[DataFrame, int]:
+    """Each row (fp, key, rest) once per quarter of its ``free`` unsettled bits: the quarter joins the key, the others stay."""
+    width = free // (DISTANCE + 1)
+    places = []
+    for k in range(DISTANCE + 1):
+        begin = k * width
+        value = F.shiftrightunsigned("rest", begin).bitwiseAND((1 << width) - 1)
+        above = F.shiftleft(F.shiftrightunsigned("rest", begin + width), begin) if begin + width < 64 else F.lit(0).cast("long")
+        below = F.col("rest").bitwiseAND((1 << begin) - 1)
+        places.append(F.struct(F.xxhash64("key", F.lit(k), value).alias("key"), above.bitwiseOR(below).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*places)).alias("at")).select("fp", "at.key", "at.rest"), free - width
+
+
 def links(codes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect whatever distinct fingerprints ``codes`` (fp) link; no group's pairs are listed."""
-
-    def part(col, begin: int, bits: int):
-        return F.shiftrightunsigned(col, begin).bitwiseAND((1 << bits) - 1)
-
-    fp = F.col("fp")
-    keyed = codes.select("fp", F.explode(F.array(*[(part(fp, 16 * k, 16) + k * 65536) for k in range(4)])).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [r.key for r in sizes.filter(F.col("n") > max(SPLIT_ROWS, total * SPLIT_SHARE)).select("key").collect()]
-    if large:  # at most 1 / SPLIT_SHARE keys
-        # the 48 bits outside block k, in four parts of 12: rotate the block away, then cut
-        k = F.floor(F.col("key") / 65536).cast("int")
-        rest = F.expr("shiftleft(fp, cast(48 - 16 * floor(key / 65536) as int))")
-        turned = F.when(k == 3, fp).otherwise(rest.bitwiseOR(F.expr("shiftrightunsigned(fp, cast(16 + 16 * floor(key / 65536) as int))")))
-        hot = keyed.filter(F.col("key").isin(large)).withColumn("turned", turned)
-        again = hot.select("fp", F.explode(F.array(*[F.col("key") + (part(F.col("turned"), 12 * j, 12) + j * 4096 + 1) * (1 << 20) for j in range(4)])).alias("key"))
-        keyed = keyed.filter(~F.col("key").isin(large)).unionByName(again)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
+    """Edges (a, b) that connect whatever distinct fingerprints ``codes`` (fp) link; no group's pairs are listed.
+
+    Groups of more than SPLIT_ROWS are cut again by quarters of the bits that their
+    key leaves open, until none is left: 16 open bits cannot hold so many.
+    """
+    keyed, free = _cut(codes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), 64)
+    settled = []
+    while True:
+        hot = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS).select("key"), "hot")
+        if free <= 16 or hot.isEmpty():
+            settled.append(keyed)
+            break
+        hot = few(hot)
+        settled.append(keyed.join(hot, "key", "left_anti"))
+        keyed, free = _cut(keyed.join(hot, "key", "left_semi"), free)
+        keyed = written(keyed, "split")
+    every = settled[0].select("fp", "key")
+    for more in settled[1:]:
+        every = every.unionByName(more.select("fp", "key"))
+    return every.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
 
 
 def _named(pairs: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> tuple[DataFrame, DataFrame]:

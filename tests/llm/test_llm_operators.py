@@ -373,11 +373,9 @@ def clustered(seed, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("split", [200_000, 60, 20])
 def test_links_connect_like_brute_force(spark, monkeypatch, split):
-    if split:
-        monkeypatch.setattr(simhash, "SPLIT_ROWS", 20)
-        monkeypatch.setattr(simhash, "SPLIT_SHARE", 0)
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
     codes = clustered(6, 600)
     signed = [int(np.uint64(c).astype(np.int64)) for c in codes]
     edges = simhash.links(spark.createDataFrame([(c,) for c in signed], "fp long"))
