@@ -16,9 +16,9 @@ shard, so that its repeats meet there:
    alone) and finds common prefixes by Kasai's walk, in lanes; suffixes that
    share ``length`` bytes are repeats.
 4. A name with many different segments is dealt over several shards.  Each
-   sends its sorted window digests, cut into ranges by binary search; the
-   ranges are merged pairwise by binary search, and what occurs in two shards
-   goes back to both.
+   sends its sorted window digests, cut by binary search into ranges, one for
+   every RANGE_SHARDS shards; in a range the shards' lists are merged pairwise by
+   binary search, round by round, and what two of them hold goes back to both.
 5. Repeated starts return to their documents and become byte spans.
 
 Texts travel only in one exchange by document, which the fetch and the final
@@ -46,8 +46,8 @@ from noteloom.llm.common import texts_of, written
 LENGTH, GRAM = 400, 128
 #: Bytes that are named, and sorted, at a time.
 NAME_BYTES, SHARD_BYTES = 1 << 21, 3 << 20
-#: Different segments of one name in a shard, at most.
-SHARD_SEGMENTS = 4000
+#: Different segments of one name in a shard, at most, and shards whose digests meet in one range.
+SHARD_SEGMENTS, RANGE_SHARDS = 500, 8
 #: Lanes of Kasai's walk.
 LANES = 2048
 
@@ -251,7 +251,7 @@ def _window_digests(rows: list[dict], length: int):
 
 
 def _send_digests(length: int):
-    """Step 4, out: per name and part the sorted digests of its windows, cut into as many ranges as there are parts."""
+    """Step 4, out: per name and part the sorted digests of its windows, cut into ranges."""
 
     def run(batches):
         for rows in _shards(batches):
@@ -261,11 +261,11 @@ def _send_digests(length: int):
                 while j < len(rows) and (rows[j]["name"], rows[j]["part"]) == (rows[i]["name"], rows[i]["part"]):
                     j += 1
                 d = np.unique(_window_digests(rows[i:j], length))
-                parts = rows[i]["parts"]
-                cut = np.searchsorted(d, np.array([k * (1 << 64) // parts for k in range(1, parts)], dtype=np.uint64))
+                ranges = -(-rows[i]["parts"] // RANGE_SHARDS)
+                cut = np.searchsorted(d, np.array([k * (1 << 64) // ranges for k in range(1, ranges)], dtype=np.uint64))
                 pieces = np.split(d, cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[i]["name"]] * parts), pa.array(range(parts), pa.int64()), pa.array([rows[i]["part"]] * parts, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())],
+                    [pa.array([rows[i]["name"]] * ranges), pa.array(range(ranges), pa.int64()), pa.array([rows[i]["part"]] * ranges, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())],
                     ["name", "range", "part", "digests"],
                 )
                 i = j
@@ -277,23 +277,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4, back: of the lists of one name and range, the digests that another part holds too."""
 
     def done(name, lists):
-        every: list[np.ndarray] = [np.frombuffer(x, dtype=np.uint64) for _, x in lists]
-        hit = [np.zeros(len(x), dtype=bool) for x in every]
-        merged = np.empty(0, dtype=np.uint64)
-        first: np.ndarray = np.empty(0, dtype=np.int64)  # which list brought it
-        for k, x in enumerate(every):
-            at = np.searchsorted(merged, x)
-            both = np.flatnonzero((at < len(merged)) & (merged[np.minimum(at, max(len(merged) - 1, 0))] == x)) if len(merged) else np.empty(0, np.int64)
-            hit[k][both] = True
-            for o in np.unique(first[at[both]]) if len(both) else ():
-                mine = x[both[first[at[both]] == o]]
-                hit[o][np.searchsorted(every[o], mine)] = True
-            new = np.ones(len(x), dtype=bool)
-            new[both] = False
-            merged, first = np.insert(merged, at[new], x[new]), np.insert(first, at[new], k)
-        parts = [p for (p, _), h in zip(lists, hit) if h.any()]
-        back = [x[h].tobytes() for x, h in zip(every, hit) if h.any()]
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.array(back, pa.binary())], ["name", "part", "found"])
+        every = [np.frombuffer(x, dtype=np.uint64) for _, x in lists]
+        level, met = every, [np.empty(0, dtype=np.uint64)]
+        while len(level) > 1:  # each round merges neighbours
+            merged = []
+            for x, y in zip(level[::2], level[1::2]):
+                at = np.searchsorted(x, y)
+                both = (at < len(x)) & (x[np.minimum(at, len(x) - 1)] == y) if len(x) else np.zeros(len(y), dtype=bool)
+                met.append(y[both])
+                merged.append(np.insert(x, at[~both], y[~both]))
+            level = merged + level[len(level) & ~1 :]
+        shared = np.unique(np.concatenate(met))
+        back = [x[shared[np.minimum(np.searchsorted(shared, x), len(shared) - 1)] == x] if len(shared) else shared for x in every]
+        parts = [p for (p, _), x in zip(lists, back) if len(x)]
+        found = [x.tobytes() for x in back if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.array(found, pa.binary())], ["name", "part", "found"])
 
     held, mark = [], None
     for b in batches:
