@@ -2,8 +2,7 @@
 
 Each partition of the documents is one stream of ids, in the order in which it
 is stored.  Cuts may fall at the ends of documents and of sentences, and inside a
-sentence where that fills a window from such an end exactly, or where the
-sentence alone exceeds the window.  The cost of a cutting is the padding of its
+sentence only where it alone exceeds the window.  The cost of a cutting is the padding of its
 windows plus a penalty for each cut inside a document; a window whose length is
 a power of two is not padded.  With b the position of a
 boundary,
@@ -13,7 +12,7 @@ boundary,
 
 The padded part is a sliding-window minimum of best[i] + b[i], held in a
 monotone queue; the few transitions at powers of two are found beforehand.  The
-stream is cut block by block, the unfinished last window of a block opening the
+stream is cut block by block, the last TAIL windows' worth of a block opening the
 next, so memory does not grow with the partition and no exchange takes place.
 
 Defined results: a null or empty text is its end id alone; repeated rows are
@@ -39,6 +38,8 @@ from noteloom.llm.common import slices, texts_of
 SIZE = 1024
 #: Ids that are cut at a time.
 BLOCK = 400_000
+#: Windows' worth of ids at a block's end that are cut anew with the next block, when what follows is known.
+TAIL = 16
 #: Cost, in padded ids, of a cut at a sentence's end and inside a sentence.
 SENTENCE_CUT, HARD_CUT = 1.0, 8.0
 #: Cost of each window, so that short unpadded ones are not made for nothing.
@@ -79,8 +80,7 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, size:
     wide = np.flatnonzero(gap > size)
     hard = [np.arange(at[i] + size, at[i + 1], size) for i in wide]
     natural = at
-    at = np.unique(np.concatenate([at, at[:-1] + size, *hard]))
-    at = at[at <= len(ids)]
+    at = np.unique(np.concatenate([at, *hard]))
     penalty = np.full(len(at), HARD_CUT)
     penalty[np.searchsorted(at, natural)] = SENTENCE_CUT
     penalty[np.searchsorted(at, doc_ends)] = 0.0
@@ -160,7 +160,7 @@ class Packer:
         at, penalty = boundaries(stream, ends, self.closes, self.size)
         places = [int(at[j]) for j in cuts(at, penalty, self.size, not last)]
         if not last:
-            places = places[:-1]
+            places = [p for p in places if p <= len(stream) - TAIL * self.size]
         k, begin = 0, 0
         for end in places:
             offset = 0

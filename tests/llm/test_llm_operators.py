@@ -208,6 +208,25 @@ def test_cuts_are_the_cheapest():
         assert cost == pytest.approx(best[len(at) - 1])
 
 
+@pytest.mark.parametrize("block", [300, 100_000])
+def test_cuts_fall_at_ends(block):
+    """Ids above 8 end a sentence; a sentence is cut inside only where it alone exceeds a window."""
+    r = np.random.default_rng(5)
+    docs = [np.append(np.where(r.random(n) < 0.08, 9, 1 + r.integers(0, 8, n)), 0).astype(np.uint32) for n in r.integers(1, 400, 60)]
+    docs[7] = np.append(np.full(500, 3), 0).astype(np.uint32)
+    closes = np.arange(10) == 9
+    packer = packing.Packer(closes, 64, block)
+    pieces = [p for k, ids in enumerate(docs) for p in packer.add(k, ids)] + list(packer.finish())
+    assert sum(p[2] for p in pieces) == sum(map(len, docs))
+    for k, start, n, *_ in pieces:
+        ids, end = docs[k], start + n
+        if end < len(ids) and not closes[ids[end - 1]]:
+            ends = np.append(np.flatnonzero(closes[ids]) + 1, len(ids))
+            after = int(ends[np.searchsorted(ends, end)])
+            before = max([0, *[int(e) for e in ends if e <= end]])
+            assert after - before > 64
+
+
 def test_packing_empty(docs_of):
     assert packing.pack(docs_of([])).collect() == []
 
