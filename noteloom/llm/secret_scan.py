@@ -7,14 +7,18 @@ encoding that its characters suggest.  Two questions are asked of it.
   character pairs, counted over all documents, each distinct token once.  The likelihood ratio of uniform
   draws to that model has mean 1 at most under the null, so its inverse is a
   valid p-value, and longer tokens carry more evidence by themselves.
-* Could it be uniform draws?  Chi-squared uniformity over the alphabet, the
-  runs test about the alphabet's middle, and lag-one serial correlation; any
-  rejection at ``BATTERY_LEVEL`` (Bonferroni over the three) ends its candidacy.
-
-False discoveries are controlled by Benjamini-Hochberg within strata of length,
-each with the number of all tokens tested in it, from a histogram of log
-p-values: bounded counts, whatever the corpus.  Found tokens that touch a span
-of a fixed kind are left to it.
+* Could it be uniform draws?  Chi-squared uniformity over the alphabet, the runs
+  test about the alphabet's middle, and lag-one serial correlation, combined into
+  one p-value by the Cauchy combination, which holds for dependent tests.
+
+A secret is a token that is not written text and passes for uniform draws.  Both
+answers are under false-discovery control (Benjamini-Hochberg) within strata of
+length, each with the number of all tokens tested in it: the battery's p-values
+settle which tokens are dismissed as not random (a false discovery there is a
+secret lost), the likelihood ratio's which of the others are reported (a false
+discovery there is a text reported).  Both run on histograms of log p-values:
+bounded counts, whatever the corpus.  Found tokens that touch a span of a fixed
+kind are left to it.
 
 Defined results: null texts are ''; positions are code points, ends exclusive;
 repeated rows are scanned each; empty texts have no spans; an empty table gives
@@ -47,8 +51,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 PIECE = re.compile(r"[A-Za-z0-9]{2,}")
 #: Least lengths of the strata.
 STRATA = (16, 24, 32, 48, 64, 128)
-#: Share of false discoveries in each stratum, and level of the battery's rejections.
-FDR, BATTERY_LEVEL = 0.01, 0.01
+#: Share of false discoveries in each stratum: among reported tokens, and among those that the battery dismisses.
+FDR, DISMISSED_FDR = 0.01, 0.01
 #: Histogram bins of -log10 p: width and number; the last is open.
 BIN, BINS = 0.25, 160
 
@@ -89,6 +93,10 @@ def _alphabet_of(flags: int) -> bytes:
 
 ALPHABETS = [_alphabet_of(f) for f in range(256)]
 _SIZES = np.array([len(a) for a in ALPHABETS], dtype=float)
+#: Place of each byte in each alphabet.
+_PLACES = np.zeros((256, 256), dtype=np.int64)
+for _f, _a in enumerate(ALPHABETS):
+    _PLACES[_f, list(_a)] = np.arange(len(_a))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -107,42 +115,65 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of standard normal statistics."""
+    return _erfc(np.abs(z) / math.sqrt(2)).astype(float)
+
+
+class Values:
+    """Tokens as the places of their characters in their alphabets, laid end to end."""
+
+    def __init__(self, tokens: list[str], flags: np.ndarray):
+        self.n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self.owner = np.repeat(np.arange(len(tokens)), self.n)
+        self.value = _PLACES[flags[self.owner], np.frombuffer("".join(tokens).encode(), dtype=np.uint8)]
+        self.size = _SIZES[flags]
+        self.inner = self.owner[1:] == self.owner[:-1]
 
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights=x, minlength=len(self.n))
 
-def chi_squared_p(values: np.ndarray, k: int) -> float:
-    """Upper tail for uniform draws, by the cube-root normal approximation."""
-    n = len(values)
-    x = float(((np.bincount(values, minlength=k) - n / k) ** 2).sum() * k / n)
-    d = k - 1
-    z = ((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    def pair_sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of x over neighbours within a token."""
+        return np.bincount(self.owner[1:][self.inner], weights=x[self.inner], minlength=len(self.n))
 
 
-def runs_p(values: np.ndarray, k: int) -> float:
-    """Two-sided Wald-Wolfowitz test of runs below and above the alphabet's middle."""
-    up = values * 2 >= k
-    a, n = int(up.sum()), len(up)
-    b = n - a
-    if not a or not b:
-        return 2.0 ** (1 - n)
-    mean = 2 * a * b / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    return _normal_tail((int((up[1:] != up[:-1]).sum()) + 1 - mean) / math.sqrt(var)) if var > 0 else 1.0
+def chi_squared_p(v: Values) -> np.ndarray:
+    """Upper tails of the chi-squared statistics of uniform draws, by the cube-root normal approximation."""
+    cell, times = np.unique(v.owner * 256 + v.value, return_counts=True)
+    x = np.bincount(cell // 256, weights=times.astype(float) ** 2, minlength=len(v.n)) * v.size / v.n - v.n
+    d = v.size - 1
+    z = (np.cbrt(np.maximum(x, 0) / d) - (1 - 2 / (9 * d))) / np.sqrt(2 / (9 * d))
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(float)
 
 
-def serial_p(values: np.ndarray, k: int) -> float:
-    """Two-sided test of lag-one correlation."""
-    x = values - values.mean()
-    d = float((x * x).sum())
-    return _normal_tail(float((x[1:] * x[:-1]).sum()) / d * math.sqrt(len(x))) if d else 0.0
+def runs_p(v: Values) -> np.ndarray:
+    """Two-sided Wald-Wolfowitz tests of runs below and above the alphabet's middle."""
+    up = v.value * 2 >= v.size[v.owner]
+    a = v.sums(up)
+    b = v.n - a
+    runs = v.pair_sums((up[1:] != up[:-1]).astype(float)) + 1
+    mean = 2 * a * b / v.n + 1
+    var = (mean - 1) * (mean - 2) / np.maximum(v.n - 1, 1)
+    p = _tail(np.where(var > 0, runs - mean, 0) / np.sqrt(np.where(var > 0, var, 1)))
+    return np.where((a == 0) | (b == 0), 2.0 ** (1.0 - v.n), p)
 
 
-def battery_p(token: bytes, alphabet: bytes) -> float:
-    """Least p-value of the three tests, Bonferroni-corrected."""
-    v = np.array([alphabet.index(c) for c in token])
-    return min(1.0, 3 * min(chi_squared_p(v, len(alphabet)), runs_p(v, len(alphabet)), serial_p(v, len(alphabet))))
+def serial_p(v: Values) -> np.ndarray:
+    """Two-sided tests of lag-one correlation."""
+    x = v.value - (v.sums(v.value) / v.n)[v.owner]
+    d = v.sums(x * x)
+    return np.where(d > 0, _tail(v.pair_sums(x[1:] * x[:-1]) / np.where(d > 0, d, 1) * np.sqrt(v.n)), 0.0)
+
+
+def battery_p(tokens: list[str], flags: np.ndarray) -> np.ndarray:
+    """One p-value a token for uniform draws from its alphabet: the Cauchy combination of the three tests."""
+    v = Values(tokens, flags)
+    p = np.clip(np.stack([chi_squared_p(v), runs_p(v), serial_p(v)]), 1e-290, 1 - 1e-12)
+    return np.arctan2(1.0, (1 / np.tan(np.pi * p)).mean(axis=0)) / np.pi
 
 
 def _pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -217,20 +248,22 @@ def text_evidence(tokens: list[str], logq: np.ndarray) -> tuple[np.ndarray, np.n
     return -size * np.log10(_SIZES[flags]) - text, flags
 
 
-def _thresholds(tested: list[int], hist: list[tuple[int, int, int]]) -> list[float]:
+def _bins(score: np.ndarray) -> np.ndarray:
+    """Histogram bins of -log10 p."""
+    return np.clip(np.floor(score / BIN), 0, BINS - 1).astype(np.int64)
+
+
+def _thresholds(tested: np.ndarray, counts: np.ndarray, fdr: float) -> list[float]:
     """Per stratum the least -log10 p that is a discovery, by Benjamini-Hochberg over histogram bins."""
-    counts = np.zeros((len(STRATA), BINS))
-    for s, b, n in hist:
-        counts[s, min(b, BINS - 1)] += n
     out = []
-    for s, m in enumerate(tested):
-        found = np.cumsum(counts[s][::-1])[::-1]
-        ok = [b for b in range(BINS) if found[b] and 10 ** (-b * BIN) <= FDR * found[b] / max(m, 1)]
+    for m, row in zip(tested, counts):
+        found = np.cumsum(row[::-1])[::-1]
+        ok = [b for b in range(BINS) if found[b] and 10 ** (-b * BIN) <= fdr * found[b] / max(m, 1)]
         out.append(ok[0] * BIN if ok else math.inf)
     return out
 
 
-FOUND = "doc_id {id}, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,stratum:int,score:double>>, tested array<long>, base_sha256 string"
+FOUND = "doc_id {id}, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,stratum:int,score:double,odd:double>>, tested array<int>, base_sha256 string"
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,32 +285,43 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     where.append((k, m.start(), m.end()))
                     tokens.append(m.group())
             more: list[list] = [[] for _ in texts]
-            tested = np.zeros((len(texts), len(STRATA)), dtype=np.int64)
+            tested: list[list] = [[] for _ in texts]
             if tokens:
                 score, flags = text_evidence(tokens, logq)
+                odd = -np.log10(battery_p(tokens, flags))
                 stratum = np.searchsorted(least, np.fromiter(map(len, tokens), dtype=np.int64), side="right") - 1
-                np.add.at(tested, (np.array([w[0] for w in where]), stratum), 1)
+                for (k, _, _), b in zip(where, (stratum * BINS + _bins(odd)).tolist()):
+                    tested[k].append(b)
                 for i in np.flatnonzero(score >= -math.log10(FDR)):
                     k, s, e = where[i]
-                    if not any(a < e and s < b for a, _, b in base[k]) and battery_p(tokens[i].encode(), ALPHABETS[flags[i]]) >= BATTERY_LEVEL:
-                        more[k].append((s, e, int(stratum[i]), float(score[i])))
+                    if not any(a < e and s < b for a, _, b in base[k]):
+                        more[k].append((s, e, int(stratum[i]), float(score[i]), float(odd[i])))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in b] for b in base], pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([[{"start": s, "end": e, "stratum": q, "score": x} for s, e, q, x in m] for m in more], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("score", pa.float64())]))),
-                    pa.array(list(tested), pa.list_(pa.int64())),
+                    pa.array([[{"start": s, "end": e, "stratum": q, "score": x, "odd": y} for s, e, q, x, y in m] for m in more], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("score", pa.float64()), ("odd", pa.float64())]))),
+                    pa.array(tested, pa.list_(pa.int32())),
                     pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]),
                 ],
                 ["doc_id", "base", "more", "tested", "base_sha256"],
             )
 
     found = written(rows.mapInArrow(run, FOUND.format(id=rows.schema["doc_id"].dataType.simpleString())), "secrets")
-    sums = found.agg(*[F.sum(F.col("tested")[k]).alias(f"t{k}") for k in range(len(STRATA))]).first()
-    bins = found.select(F.explode("more").alias("m")).groupBy(F.col("m.stratum").alias("s"), F.least(F.floor(F.col("m.score") / BIN), F.lit(BINS - 1)).alias("b")).count().collect()
-    least_score = _thresholds([x or 0 for x in sums], [(r.s, r.b, r["count"]) for r in bins])
-    limit = F.array(*[F.lit(float(x)) for x in least_score])
-    kept = F.filter("more", lambda m: m["score"] >= F.get(limit, m["stratum"]))
+
+    def limits(bins, tested, fdr: float):
+        counts = np.zeros((len(STRATA), BINS))
+        for r in bins.groupBy("at").count().collect():  # len(STRATA) * BINS rows at most
+            counts[r["at"] // BINS, r["at"] % BINS] = r["count"]
+        tested = counts.sum(axis=1) if tested is None else tested
+        return F.array(*[F.lit(float(x)) for x in _thresholds(tested, counts, fdr)]), tested
+
+    dismissed, tested = limits(found.select(F.explode("tested").alias("at")), None, DISMISSED_FDR)
+    # what the battery dismisses is in no stratum's count of reports
+    random = F.filter("more", lambda m: m["odd"] < F.get(dismissed, m["stratum"]))
+    bins = found.select(F.explode(random).alias("m")).select((F.col("m.stratum") * BINS + F.least(F.floor(F.col("m.score") / BIN), F.lit(BINS - 1))).alias("at"))
+    limit, _ = limits(bins, tested, FDR)
+    kept = F.filter(random, lambda m: m["score"] >= F.get(limit, m["stratum"]))
     every = F.array_sort(F.concat("base", F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))))
     named = F.array(*[F.lit(k) for k in KINDS])
 
