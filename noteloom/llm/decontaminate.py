@@ -1,10 +1,10 @@
 """Benchmark decontamination with a positional inverted index over test terms.
 
-The index is sharded by document: every task tokenises its own documents and
-stores, for the terms that the test set holds, their positions.  A test window
-is then looked up by the posting list of its rarest term in that shard; the
-lists of its other terms are intersected after subtracting their offsets, the
-next rarest first.  Since a match never crosses documents, the shards need no
+The index is sharded by document: every task tokenises its own documents slice by
+slice and stores, for the terms that the test set holds, lists of their positions
+(postings, ascending by term and position).  A test window is looked up by the
+list of its rarest term in that shard; the lists of its other terms are
+intersected after subtracting their offsets, the next rarest first.  Since a match never crosses documents, the shards need no
 exchange and the answer does not depend on how documents are dealt out.
 
 The test set reaches the tasks in blocks of bounded size, each broadcast by
@@ -86,11 +86,18 @@ class PositionalIndex:
         self.ends, self.flat = ends, flat
 
     def use(self, tw: TestWindows) -> None:
-        """Store the postings of this block's terms."""
+        """Store the postings of this block's terms: positions by term, and both as one ascending key."""
         if tw.lookup is None:
             tw.lookup = {t: i for i, t in enumerate(tw.vocab)}
-        self.ids = np.fromiter(map(tw.lookup.get, self.flat, repeat(-1)), dtype=np.int32, count=len(self.flat))
-        self.freq = np.bincount(self.ids[self.ids >= 0], minlength=max(1, len(tw.vocab)))
+        ids = np.fromiter(map(tw.lookup.get, self.flat, repeat(-1)), dtype=np.int32, count=len(self.flat))
+        known = np.flatnonzero(ids >= 0)
+        term = ids[known]
+        order = np.argsort(term, kind="stable")
+        self.size = len(ids) + 1
+        self.position = known[order]
+        self.posting = term[order].astype(np.int64) * self.size + self.position
+        self.freq = np.bincount(term, minlength=max(1, len(tw.vocab)))
+        self.first = np.cumsum(self.freq) - self.freq
 
     def _rarest(self, tw: TestWindows):
         """Windows all of whose terms occur here, with their terms' offsets from the rarest on."""
@@ -101,61 +108,55 @@ class PositionalIndex:
     def _candidates(self, tw: TestWindows, alive: np.ndarray, order: np.ndarray):
         """(row of alive, position) for each posting of each window's rarest term, in bounded steps."""
         rare = tw.terms[alive, order[:, 0]]
-        by = np.argsort(rare, kind="stable")
-        lo = np.searchsorted(rare[by], np.arange(len(self.freq)), side="left")
-        n = np.searchsorted(rare[by], np.arange(len(self.freq)), side="right") - lo
-        at = np.flatnonzero((self.ids >= 0) & (n[self.ids] > 0))
-        count = n[self.ids[at]]
+        count = self.freq[rare]
         total = np.cumsum(count)
         i = 0
-        while i < len(at):
+        while i < len(rare):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + STEP, side="right")))
             c = count[i:j]
-            base = np.repeat(lo[self.ids[at[i:j]]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            yield by[base], np.repeat(at[i:j], c)
+            within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            yield np.repeat(np.arange(i, j), c), self.position[np.repeat(self.first[rare[i:j]], c) + within]
             i = j
 
+    def _next(self, key: np.ndarray) -> np.ndarray:
+        """The least posting that is not below each key; where there is none, one that is below every key."""
+        at = np.searchsorted(self.posting, key)
+        return np.append(self.posting, -1)[at]
+
     def phrases(self, tw: TestWindows) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position) of every exact occurrence."""
+        """(window, position) of every exact occurrence: lists less their terms' offsets, intersected from the rarest."""
         alive, order = self._rarest(tw)
         found_w, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(alive) and len(self.ids):
-            for row, pos in self._candidates(tw, alive, order):
-                start = pos - order[row, 0]
-                w = alive[row]
-                doc_end = self.ends[np.searchsorted(self.ends, pos, side="right")]
-                doc_start = self.ends[np.searchsorted(self.ends, pos, side="right") - 1]
-                keep = np.flatnonzero((start >= doc_start) & (start + tw.length[w] <= doc_end))
+        for row, pos in self._candidates(tw, alive, order):
+            start = pos - order[row, 0]
+            w = alive[row]
+            side = np.searchsorted(self.ends, pos, side="right")
+            keep = np.flatnonzero((start >= self.ends[side - 1]) & (start + tw.length[w] <= self.ends[side]))
+            row, start, w = row[keep], start[keep], w[keep]
+            for k in range(1, tw.terms.shape[1]):
+                want = tw.terms[w, order[row, k]].astype(np.int64)
+                key = np.maximum(want, 0) * self.size + start + order[row, k]
+                keep = np.flatnonzero((want < 0) | (self._next(key) == key))
                 row, start, w = row[keep], start[keep], w[keep]
-                for k in range(1, tw.terms.shape[1]):
-                    off = order[row, k]
-                    want = tw.terms[w, off]
-                    keep = np.flatnonzero((want < 0) | (self.ids[np.minimum(start + off, len(self.ids) - 1)] == want))
-                    row, start, w = row[keep], start[keep], w[keep]
-                found_w.append(w)
-                found_p.append(start)
+            found_w.append(w)
+            found_p.append(start)
         return np.concatenate(found_w), np.concatenate(found_p)
 
     def near(self, tw: TestWindows, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its rarest term) where every term of the window is at most ``span`` words off."""
         alive, order = self._rarest(tw)
         found_w, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(alive) and len(self.ids):
-            size = len(self.ids) + 1
-            known = np.flatnonzero(self.ids >= 0)
-            posting = np.sort(self.ids[known].astype(np.int64) * size + known)
-            for row, pos in self._candidates(tw, alive, order):
-                w = alive[row]
-                side = np.searchsorted(self.ends, pos, side="right")
-                lo, hi = np.maximum(pos - span, self.ends[side - 1]), np.minimum(pos + span, self.ends[side] - 1)
-                for k in range(1, tw.terms.shape[1]):
-                    want = tw.terms[w, order[row, k]].astype(np.int64)
-                    at = np.searchsorted(posting, np.maximum(want, 0) * size + lo)
-                    got = posting[np.minimum(at, len(posting) - 1)]
-                    keep = np.flatnonzero((want < 0) | ((at < len(posting)) & (got <= want * size + hi)))
-                    row, pos, w, lo, hi = row[keep], pos[keep], w[keep], lo[keep], hi[keep]
-                found_w.append(w)
-                found_p.append(pos)
+        for row, pos in self._candidates(tw, alive, order):
+            w = alive[row]
+            side = np.searchsorted(self.ends, pos, side="right")
+            lo, hi = np.maximum(pos - span, self.ends[side - 1]), np.minimum(pos + span, self.ends[side] - 1)
+            for k in range(1, tw.terms.shape[1]):
+                want = tw.terms[w, order[row, k]].astype(np.int64)
+                got = self._next(np.maximum(want, 0) * self.size + lo)
+                keep = np.flatnonzero((want < 0) | ((got >= 0) & (got <= want * self.size + hi)))
+                row, pos, w, lo, hi = row[keep], pos[keep], w[keep], lo[keep], hi[keep]
+            found_w.append(w)
+            found_p.append(pos)
         return np.concatenate(found_w), np.concatenate(found_p)
 
 

@@ -136,12 +136,18 @@ def totals(counts: DataFrame) -> Totals:
     return Totals(t.tokens or 0, t.types, t.ends or 0, t.once, t.twice)
 
 
+def rank_weights(table: PieceTable) -> np.ndarray:
+    """Natural-log piece weights of the vocabulary alone, aligned with ``table.ids``: in inverse proportion to rank."""
+    weight = 1.0 / (table.ids + 1.0)
+    return np.log(weight / weight.sum())
+
+
 def estimate(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
     """Natural-log piece weights, aligned with ``PieceTable(pieces).ids``: from ranks, then fitted to each training word once."""
     spark = counts.sparkSession
     table = PieceTable(pieces)
     shared = spark.sparkContext.broadcast(pieces)
-    weight = 1.0 / (table.ids + 1.0)
+    weight = np.exp(rank_weights(table))
     known = counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(b" ")))
     for _ in range(rounds):
         logp = np.log(weight / weight.sum())
@@ -162,7 +168,7 @@ def estimate(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> np
 
 
 def word_scores(counts: DataFrame, t: Totals, pieces: list[bytes], logp: np.ndarray) -> DataFrame:
-    """(word, c, score): each distinct word's log10 probability over all its paths."""
+    """(word, c, score, lattice): each distinct word's log10 probability over all its paths, under the model and by the vocabulary's own weights."""
     sc = counts.sparkSession.sparkContext
     shared, sent = sc.broadcast(pieces), sc.broadcast(logp)
     n, discount, rest = max(t.tokens, 1), t.discount, t.rest
@@ -170,17 +176,21 @@ def word_scores(counts: DataFrame, t: Totals, pieces: list[bytes], logp: np.ndar
     def run(batches):
         tab = PieceTable(shared.value)
         for names, c in _gather(batches):
-            sub = math.log(rest) + log_marginals([b" " + w for w in names], tab, sent.value)
+            spelled = [b" " + w for w in names]
+            sub = math.log(rest) + log_marginals(spelled, tab, sent.value)
+            lattice = log_marginals(spelled, tab, rank_weights(tab)) / LOG10
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c - discount, 0.0) / n)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c), pa.array(np.logaddexp(whole, sub) / LOG10)], ["word", "c", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c), pa.array(np.logaddexp(whole, sub) / LOG10), pa.array(lattice)], ["word", "c", "score", "lattice"])
 
-    return counts.filter(F.col("word") != F.lit(b" ")).mapInArrow(run, "word binary, c long, score double")
+    return counts.filter(F.col("word") != F.lit(b" ")).mapInArrow(run, "word binary, c long, score double, lattice double")
 
 
 def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
+    ``score`` is the fitted model's; ``lattice_score`` is the marginal of the words
+    by the vocabulary's own weights, which no training row touches (no end token).
     ``training`` says over doc_id which rows are learnt from; without it, those
     whose crc32 of the id as text is not 2 modulo 7.
     """
@@ -198,16 +208,16 @@ def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "do
     heavy = F.col("c") >= max(2, math.ceil(HEAVY * t.tokens))
     top = scored.filter(heavy).toArrow()
     c, s = top.column("c").to_numpy(), top.column("score").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), np.log10(c + 1.0), s))
+    shared = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), np.log10(c + 1.0), s, top.column("lattice").to_numpy()))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        names, lc, ls = shared.value
+        names, lc, ls, ll = shared.value
         place = {w: i for i, w in enumerate(names)}
         n, first = 0, TaskContext.get().partitionId() << 40
         for part in slices(batches):
             row, word, tf = [], [], []
-            tokens, known, base, score = [], [], [], []
+            tokens, known, base, score, lattice = [], [], [], [], []
             for k, text in enumerate(part.column("text").to_pylist()):
                 w = words(text)
                 at = np.fromiter((i for i in map(place.get, w) if i is not None), dtype=np.int64)
@@ -215,6 +225,7 @@ def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "do
                 known.append(len(at))
                 base.append(float(lc[at].sum()))
                 score.append(float(ls[at].sum()))
+                lattice.append(float(ll[at].sum()))
                 if len(at) < len(w):
                     light = Counter([x for x in w if x not in place])
                     row += [first + n + k] * len(light)
@@ -227,14 +238,14 @@ def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "do
                 [
                     pa.array(own + row, pa.int64()), pa.array([b" %d" % x for x in own] + word, pa.binary()), pa.array([0] * m + tf, pa.int64()),
                     pa.concat_arrays([part.column("doc_id"), pa.nulls(r, part.column("doc_id").type)]), pa.concat_arrays([part.column("held_out"), pa.nulls(r, pa.bool_())]),
-                    pa.array(tokens + [0] * r, pa.int64()), pa.array(known + [0] * r, pa.int64()), pa.array(base + [0.0] * r), pa.array(score + [0.0] * r),
+                    pa.array(tokens + [0] * r, pa.int64()), pa.array(known + [0] * r, pa.int64()), pa.array(base + [0.0] * r), pa.array(score + [0.0] * r), pa.array(lattice + [0.0] * r),
                 ],
-                ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
+                ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score", "lattice_score"],
             )
             n += m
 
-    parts = rows.mapInArrow(run, f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
-    light = scored.filter(~heavy).select("word", "c", F.col("score").alias("word_score"))
+    parts = rows.mapInArrow(run, f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, lattice_score double")
+    light = scored.filter(~heavy).select("word", "c", F.col("score").alias("word_score"), "lattice")
     met = parts.join(light, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     known_end = 1 if t.ends else 0
     return (
@@ -246,11 +257,13 @@ def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "do
             (F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)) + known_end).alias("n_known"),
             F.sum(F.col("base") + F.col("tf") * F.log10(F.col("c") + 1.0)).alias("base"),
             F.sum(F.col("score") + F.col("tf") * F.coalesce("word_score", F.lit(0.0))).alias("score"),
+            F.sum(F.col("lattice_score") + F.col("tf") * F.coalesce("lattice", F.lit(0.0))).alias("lattice_score"),
         )
         .select(
             "doc_id", "held_out", "n_tokens", "n_known",
             F.lit(t.tokens).cast("long").alias("train_tokens"),
             (F.col("base") + math.log10(t.ends + 1) - F.col("n_tokens") * math.log10(t.tokens + t.distinct + 1)).alias("base_score"),
             (F.col("score") + t.end_log10).alias("score"),
+            "lattice_score",
         )
     )

@@ -46,6 +46,26 @@ def test_lm_counts_and_base(docs_of, awkward):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_lattice_scores_by_enumeration(docs_of, tmp_path):
+    """Both scores of short texts over a small vocabulary, every segmentation spelled out."""
+    import base64
+
+    pieces = [bytes([b]) for b in b"abcd "] + [b" a", b"ab", b"abc", b" ab", b"cd"]
+    path = tmp_path / "ranks.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
+    weight = {p: 1 / (i + 1) for i, p in enumerate(pieces)}
+    total = sum(weight.values())
+
+    def marginal(w):
+        return 1.0 if not w else sum(weight[w[:k]] / total * marginal(w[k:]) for k in range(1, len(w) + 1) if w[:k] in weight)
+
+    texts = [(1, "abcd ab"), (2, "a  dcba\tabc"), (3, None), (4, "ABCD"), (9, "cdcd a a a")]
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs_of(texts), vocabulary=str(path)).collect()}
+    for i, t in texts:
+        want = sum(math.log10(marginal(b" " + w.encode())) for w in (t or "").lower().split())
+        assert got[i].lattice_score == pytest.approx(want, abs=1e-9)
+
+
 def test_lm_empty_and_untrained(docs_of, spark):
     from pyspark.sql import functions as F
 
@@ -450,8 +470,8 @@ def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
     root, near, far = list(range(len(texts))), 0, 0
     for i in range(len(texts)):
         for j in range(i):
-            common, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if 5 * common >= 4 * union:
+            both, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * union:
                 near += 1
                 far += (simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).bit_count() > 3
                 a, b = root[i], root[j]
@@ -534,6 +554,20 @@ def test_contamination(contaminated, monkeypatch, block):
     assert bag((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t in cases if not brute_contamination(t, items)[4])
 
 
+def test_postings_are_stored_lists():
+    texts = ["a b c a b d", "", "b a b"]
+    tw = dec.TestWindows([("x", "a b"), ("y", "d a")], window=2)
+    index = dec.PositionalIndex(texts)
+    index.use(tw)
+    flat = " ".join(texts).split()
+    for k, term in enumerate(tw.vocab):
+        own = index.position[index.first[k] : index.first[k] + index.freq[k]].tolist()
+        assert own == [i for i, w in enumerate(flat) if w.encode() == term]
+    assert sorted(index.posting.tolist()) == index.posting.tolist()
+    w, p = index.phrases(tw)
+    assert sorted(p.tolist()) == [0, 3, 7] and len(set(w.tolist())) == 1
+
+
 def test_proximity(spark, docs_of):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = docs_of([(1, "alpha beta gamma"), (2, "gamma x alpha y beta"), (3, "alpha " + "x " * 30 + "beta gamma"), (4, "alpha beta")])
