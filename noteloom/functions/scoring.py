@@ -92,13 +92,18 @@ def expansion_score(distance: Column, importance_score: Column, kind: Column, n_
     )
 
 
+# What two chunks have in common, and its weight.
+SIMILARITY = {"note_id": 0.5, "chunk_type": 0.2, "header_text": 0.1}
+
+
 def chunk_similarity(a: Column, b: Column) -> Column:
-    """Of two chunk structs: same note, type and header."""
-    return (
-        F.when(a["note_id"] == b["note_id"], 0.5).otherwise(0.0)
-        + F.when(a["chunk_type"] == b["chunk_type"], 0.2).otherwise(0.0)
-        + F.when((a["header_text"] != "") & (a["header_text"] == b["header_text"]), 0.1).otherwise(0.0)
-    )
+    """Of two chunk structs: same note, type and header; nulls and empty texts are not the same as anything."""
+    return sum((F.when((a[f] != "") & (a[f] == b[f]), w).otherwise(0.0) for f, w in SIMILARITY.items()), F.lit(0.0))
+
+
+def row_similarity(a: dict, b: dict) -> float:
+    """The same of two rows in Python, where selection is sequential."""
+    return sum(w for f, w in SIMILARITY.items() if a[f] and a[f] == b[f])
 
 
 def word_f1(predicted: Column, expected: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.tables import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -13,16 +15,24 @@ def undirected(edges: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes within ``depth`` steps of the seeds (node), either direction, at their least depth; seeds at 0.
 
-    A level is what one more step reaches, seen before or not; the least depth
-    settles it in one aggregation at the end instead of an anti-join per level.
+    Levels but the last are written, so each hop reads the edges once and expands
+    only nodes that are new; it ends where there are none.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    level = seeds.select("node").distinct()
+    level = _kept(seeds.select("node").distinct(), depth > 1)
     reached = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        level = both.join(level.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        step = both.join(level.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        level = _kept(step.join(reached.select("node"), "node", "left_anti"), d < depth)
+        if d < depth and level.isEmpty():
+            break
         reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
-    return reached.groupBy("node").agg(F.min("depth").alias("depth"))
+    return reached
+
+
+def _kept(level: DataFrame, again: bool) -> DataFrame:
+    """A level of a traversal, written if another hop reads it."""
+    return written(level, "level") if again else level
 
 
 def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,12 +62,14 @@ def first_neighbors(listed: DataFrame, n: int) -> DataFrame:
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(chunk_id, depth, rel, via): first discovery of each chunk from the start chunks, by relation order, then source, on ties."""
-    seen = start.select("chunk_id", F.lit(0).alias("depth"), F.lit("start").alias("rel"), F.lit(None).cast("string").alias("via"))
+    seen = _kept(start.select("chunk_id", F.lit(0).alias("depth"), F.lit("start").alias("rel"), F.lit(None).cast("string").alias("via")), depth > 1)
     frontier = seen
     for d in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("chunk_id").alias("src")), "src").join(seen.select(F.col("chunk_id").alias("dst")), "dst", "left_anti")
         first = F.row_number().over(Window.partitionBy("dst").orderBy("ord", "src"))
-        frontier = step.withColumn("n", first).filter("n = 1").select(F.col("dst").alias("chunk_id"), F.lit(d).alias("depth"), "rel", F.col("src").alias("via"))
+        frontier = _kept(step.withColumn("n", first).filter("n = 1").select(F.col("dst").alias("chunk_id"), F.lit(d).alias("depth"), "rel", F.col("src").alias("via")), d < depth)
+        if d < depth and frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -67,17 +79,58 @@ def traverse_summary(found: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, limit: int) -> DataFrame:
-    """(step, node) of one shortest undirected path of at most ``limit`` steps; no rows if there is none."""
+    """(step, node) of one shortest undirected path of at most ``limit`` steps; no rows if there is none.
+
+    Each hop's new nodes are written with their parents; the search ends at the
+    goal, and the way back joins one level a step.
+    """
     spark = edges.sparkSession
     both = undirected(edges)
-    seen = spark.createDataFrame([(start, None, 0)], "node string, parent string, step int")
-    frontier = seen
-    for d in range(1, limit + 1):
-        frontier = both.join(frontier.select(F.col("node").alias("src")), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("step", F.lit(d))
-        seen = seen.unionByName(frontier)
-    path = seen.filter(F.col("node") == goal).select("step", "node", "parent")
-    at = path
-    for _ in range(limit):
-        at = at.select(F.col("parent").alias("node")).join(seen, "node").select("step", "node", "parent")
-        path = path.unionByName(at)
-    return path.select("step", "node")
+    levels = [spark.createDataFrame([(start, None)], "node string, parent string")]
+    seen = levels[0].select("node")
+    found = start == goal
+    while not found and len(levels) <= limit:
+        step = both.join(levels[-1].select(F.col("node").alias("src")), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        levels.append(written(step.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")), "level"))
+        if levels[-1].isEmpty():
+            break
+        seen = seen.unionByName(levels[-1].select("node"))
+        found = not levels[-1].filter(F.col("node") == goal).isEmpty()
+    at = levels[-1].filter(F.col("node") == goal) if found else levels[0].limit(0)
+    path = at.select(F.lit(len(levels) - 1).alias("step"), "node")
+    for d in range(len(levels) - 2, -1, -1) if found else ():
+        at = levels[d].join(at.select(F.col("parent").alias("node")), "node", "left_semi")
+        path = path.unionByName(at.select(F.lit(d).alias("step"), "node"))
+    return path
+
+
+def common_neighbors(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node): what both notes are linked with, either direction."""
+    both = undirected(edges)
+    of = [both.filter(F.col("src") == x).select(F.col("dst").alias("node")) for x in (a, b)]
+    return of[0].join(of[1], "node", "left_semi").distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component): each linked node and the least node reachable, by alternating star contraction.
+
+    A round points every larger neighbour of a node at the least of its
+    neighbourhood, then every smaller one; rounds are written, aggregates combine
+    map-side, and only two numbers a round reach the driver.
+    """
+    pairs = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    stars, state = written(pairs.filter("a <> b").distinct(), "stars"), None
+    while True:
+        after = tuple(stars.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+        if after == state or not after[0]:
+            break
+        state = after
+        both = stars.union(stars.select("b", "a"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        moved = large.join(low, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        stars = written(moved.union(low.select("a", "m")).filter("a <> b").distinct(), "stars")
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").groupBy("node").agg(F.coalesce(F.min("m"), F.first("node")).alias("component"))

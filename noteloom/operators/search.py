@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.functions.scoring import cosine_distance, expansion_score, l2_squared, relation_weight
+from noteloom.functions.scoring import cosine_distance, expansion_score, l2_squared, relation_weight, row_similarity
 from noteloom.functions.text import tag_relevance, text_relevance
 from noteloom.operators.graph import chunk_neighbors, first_neighbors
+from noteloom.tables import written
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -19,6 +21,61 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", wher
     return rows.select("chunk_id", *keep, F.round(dist, 9).alias("distance")).orderBy("distance", "chunk_id").limit(k)
 
 
+#: Query vectors that are searched in one pass over the rows.
+QUERY_BLOCK = 2048
+
+
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
+    """(qid, chunk_id, distance): the ``k`` nearest rows of every query (qid, embedding), ties by id.
+
+    Queries are broadcast in blocks of QUERY_BLOCK; each batch of rows keeps its own
+    k best a query, so what is exchanged grows with batches, not rows.  Null vectors
+    are neither found nor asked for; a vector of zeros has cosine distance 1 from all.
+    """
+    rows = (vectors if where is None else vectors.filter(where)).filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = vectors.sparkSession
+    out, block = None, []
+
+    def searched(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r.qid for r in block]), np.array([r.embedding for r in block], dtype=float)))
+
+        def run(batches):
+            qid, q = sent.value
+            if not len(qid):
+                return
+            norm = np.sqrt((q * q).sum(axis=1))
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["embedding"].to_numpy())
+                ids = pdf["chunk_id"].to_numpy()
+                by_id = np.argsort(ids, kind="stable")
+                x, ids = x[by_id], ids[by_id]
+                dot = q @ x.T
+                if metric == "l2":
+                    dist = np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * dot, 0)
+                else:
+                    size = norm[:, None] * np.sqrt((x * x).sum(axis=1))
+                    dist = 1 - np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+                dist = np.round(dist, 9) + 0.0
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "chunk_id": ids[best.ravel()], "distance": np.take_along_axis(dist, best, 1).ravel()})
+
+        kinds = ", ".join(f"{c} {t}" for c, t in (("qid", queries.schema["qid"].dataType.simpleString()), ("chunk_id", rows.schema["chunk_id"].dataType.simpleString())))
+        near = rows.mapInPandas(run, f"{kinds}, distance double")
+        place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "chunk_id"))
+        return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+    for r in queries.filter("embedding is not null").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            out, block = (searched(block) if out is None else out.unionByName(searched(block))), []
+    if block or out is None:
+        last = searched(block)
+        out = last if out is None else out.unionByName(last)
+    return out
+
+
 def settled(hits: DataFrame) -> DataFrame:
     """A search's few hits as a local table, so that what uses them several times does not search again."""
     return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
@@ -91,12 +148,13 @@ def related_minus_primary(related: DataFrame, primary: DataFrame) -> DataFrame:
     return related.join(primary.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def related_chunks(near: DataFrame, edges: DataFrame, chunks: DataFrame, least: float = 0.3, kinds: list[str] | None = None, n: int = 10) -> DataFrame:
-    """Neighbours of the hits that matter, each once, most important first."""
+def related_chunks(near: DataFrame, edges: DataFrame, chunks: DataFrame, least: float = 0.3, kinds: list[str] | None = None, n: int | None = 10) -> DataFrame:
+    """Neighbours of the hits that matter, each once, most important first; the first ``n`` or, with None, all."""
     found = chunk_neighbors(edges, chunks, near).filter(F.col("importance_score") >= least)
     if kinds:
         found = found.filter(F.col("chunk_type").isin(kinds))
-    return found.groupBy(F.col("dst").alias("chunk_id")).agg(F.max("importance_score").alias("importance_score"), F.min("rel").alias("rel")).orderBy(F.desc("importance_score"), "chunk_id").limit(n)
+    found = found.groupBy(F.col("dst").alias("chunk_id")).agg(F.max("importance_score").alias("importance_score"), F.min("rel").alias("rel")).orderBy(F.desc("importance_score"), "chunk_id")
+    return found if n is None else found.limit(n)
 
 
 def chunk_context(edges: DataFrame, chunks: DataFrame, target: str, window: int = 2) -> DataFrame:
@@ -123,7 +181,7 @@ def expand_rank(near: DataFrame, edges: DataFrame, chunks: DataFrame, query: str
     several times in a level, the best score counts (then relation order, then source).
     """
     level = expansion_candidates(near, chunks, query, k).select("chunk_id", F.lit(0).alias("level"), (1 - F.col("distance")).alias("score"), F.col("chunk_id").alias("source"), F.lit("direct").alias("rel"))
-    seen = level
+    level = seen = written(level, "level")
     info = chunks.select("chunk_id", "importance_score").withColumnRenamed("chunk_id", "dst")
     for d in range(depth):
         step = level.select(F.col("chunk_id").alias("src"), "score").join(edges, "src").join(info, "dst").filter(F.coalesce("importance_score", F.lit(0.5)) >= least)
@@ -131,6 +189,8 @@ def expand_rank(near: DataFrame, edges: DataFrame, chunks: DataFrame, query: str
         step = step.withColumn("score", F.round(F.col("score") * 0.4 + F.coalesce("importance_score", F.lit(0.5)) * 0.4 + relation_weight(F.col("rel"), F.lit(d)) * 0.2, 12)).filter("score > 0.3")
         w = Window.partitionBy("dst").orderBy(F.desc("score"), "ord", "src")
         level = step.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.col("dst").alias("chunk_id"), F.lit(d + 1).alias("level"), "score", F.col("src").alias("source"), "rel")
+        if d + 1 < depth:  # the next hop reads it, not what it was made from
+            level = written(level, "level")
         seen = seen.unionByName(level)
     texts = chunks.select("chunk_id", "content")
     final = F.col("score") * F.when(F.col("level") == 0, 1.2).otherwise(1.0) + text_relevance(F.col("content"), query) * 0.1
@@ -146,15 +206,11 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     Selection is sequential by nature; each group holds only a query's candidates.
     """
 
-    def similarity(a, b) -> float:
-        same = lambda f: bool(a[f]) and a[f] == b[f]
-        return 0.5 * same("note_id") + 0.2 * same("chunk_type") + 0.1 * same("header_text")
-
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values(["final_score", "chunk_id"], ascending=[False, True]).to_dict("records")
         chosen: list[dict] = []
         while left and len(chosen) < k:
-            scores = [weight * c["final_score"] - (1 - weight) * max((similarity(c, d) for d in chosen), default=0.0) for c in left]
+            scores = [weight * c["final_score"] - (1 - weight) * max((row_similarity(c, d) for d in chosen), default=0.0) for c in left]
             best = 0 if not chosen else max(range(len(left)), key=lambda i: (scores[i], -i))
             chosen.append(left.pop(best) | {"mmr": scores[best]})
         return pd.DataFrame([(c["qid"], c["chunk_id"], i, c["mmr"]) for i, c in enumerate(chosen)], columns=["qid", "chunk_id", "place", "mmr"])

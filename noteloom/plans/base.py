@@ -240,14 +240,26 @@ def filter_tree(node: Any, compile_text: Compiler) -> Column:
 
 
 def method_calls(text: str) -> str:
-    """``a.contains("x")`` as ``contains(a, "x")``."""
-    return re.sub(r"([A-Za-z_][\w-]*(?:\.[A-Za-z_][\w-]*)*)\.contains\(", r"contains(\1, ", text)
+    """``a.contains("x")`` as ``contains(a, "x")``; what stands in quotes stays."""
+    call = r"""("[^"]*"|'[^']*')|([A-Za-z_][\w-]*(?:\.[A-Za-z_][\w-]*)*)\.contains\("""
+    return re.sub(call, lambda m: m[1] or f"contains({m[2]}, ", text)
+
+
+def quoted(value: Any) -> str:
+    """A literal of the expression language, which has no escapes: text with both kinds of quotes is put together."""
+    if not isinstance(value, str):
+        return json.dumps(value)
+    if '"' not in value:
+        return f'"{value}"'
+    if "'" not in value:
+        return f"'{value}'"
+    return "concat(" + ", ".join(f'"{part}"' if '"' not in part else f"'{part}'" for part in re.split(r"""("+)""", value) if part) + ")"
 
 
 def public_filter(f: dict) -> str:
     """One filter as a condition of the public syntax."""
     p, op, v = f["property"], f["op"], f.get("value")
-    q = lambda x: json.dumps(x, ensure_ascii=False)
+    q = quoted
     values = v if isinstance(v, list) else [v]
     sign = {"eq": "==", "neq": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
     if op in sign:
@@ -270,7 +282,7 @@ def public_definition(name: str, filters: list[dict] | None = None, folders: lis
     """A new definition in the public syntax."""
     tests = [public_filter(f) for f in filters or []]
     if folders:
-        tests.append(" || ".join(f"file.folder == {json.dumps(f)}" for f in folders))
+        tests.append(" || ".join(f"file.folder == {quoted(f)}" for f in folders))
     return {"id": slug_id(name), **({"filters": {"and": tests}} if tests else {}), "views": [{"type": "table", "name": name}]}
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom import tables
 from noteloom.functions import intent as intents
 from noteloom.functions import scoring, text, timerange
 from noteloom.operators import chunking, filters, graph, mutations, search, stats, structure
@@ -366,10 +365,12 @@ def chunk_semantic(spark, d):
     return structure.with_importance(chunking.chunk_notes(table(spark, d, "documents"), "doc_id"))
 
 
-@query("SELECT * FROM (VALUES ('a', E'## T\\n\\nnew\\n\\n## U\\nq'), ('b', 'none')) v(note_id, text)")
+@query("SELECT 'doc-' || doc_id AS note_id, '## Intro' || chr(10) || chr(10) || 'new' || chr(10) || chr(10) || '## Body' || chr(10) || coalesce(text, '') AS text FROM documents")
 def section_replace(spark, d):
-    n = spark.createDataFrame([("a", "## T\nold\n### deep\nx\n## U\nq"), ("b", "none")], "note_id string, text string")
-    return mutations.replace_sections(n, " t ", "new")
+    """Every document as the second section of a note; the first is replaced, whatever the second holds."""
+    whole = F.concat(F.lit("## Intro\nold\n### deep\nx\n## Body\n"), F.coalesce("text", F.lit("")))
+    n = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("note_id"), whole.alias("text"))
+    return mutations.replace_sections(n, " intro ", "new")
 
 
 # --- graph --------------------------------------------------------------------------------------
@@ -398,16 +399,19 @@ def subgraph_nodes(spark, d):
     return graph.neighbors(links(spark, d), _seed(spark), 1).select("node")
 
 
-@query(f"WITH {_D2} SELECT src, dst FROM links WHERE src = 's1'")
+_INSIDE = f"{_D2}, inside AS (SELECT node FROM n0 UNION ALL SELECT node FROM n1 UNION ALL SELECT node FROM n2), inner_edges AS (SELECT src, dst FROM links WHERE src IN (SELECT node FROM inside) AND dst IN (SELECT node FROM inside))"
+
+
+@query(f"WITH {_INSIDE} SELECT src, dst FROM inner_edges")
 def subgraph_edges(spark, d):
     e = links(spark, d)
-    return graph.subgraph_edges(e, graph.neighbors(e, _seed(spark), 1))
+    return graph.subgraph_edges(e, graph.neighbors(e, _seed(spark), 2))
 
 
-@query(f"WITH {_D2} SELECT (SELECT count(*) FROM n0) + (SELECT count(*) FROM n1) AS node_count, (SELECT count(*) FROM links WHERE src = 's1') AS edge_count")
+@query(f"WITH {_INSIDE} SELECT (SELECT count(*) FROM inside) AS node_count, (SELECT count(*) FROM inner_edges) AS edge_count")
 def subgraph_stats(spark, d):
     e = links(spark, d)
-    return graph.subgraph_stats(e, graph.neighbors(e, _seed(spark), 1))
+    return graph.subgraph_stats(e, graph.neighbors(e, _seed(spark), 2))
 
 
 @query(f"WITH {TURNS}, {EDGES} SELECT src, dst, rel, ord::INT AS ord, c.chunk_type, c.header_text, round(c.importance_score, 6) AS importance_score FROM edges JOIN chunks c ON c.chunk_id = dst")
@@ -445,6 +449,19 @@ def chunk_context(spark, d):
     return search.chunk_context(structure.chunk_edges(c), c, "conv-1/chunk_1", 2)
 
 
+@query(f"WITH {_BOTH} SELECT DISTINCT a.dst AS node FROM both_ways a JOIN both_ways b ON a.dst = b.dst WHERE a.src = 's1' AND b.src = 's2'")
+def ext_common_neighbors(spark, d):
+    return graph.common_neighbors(links(spark, d), "s1", "s2")
+
+
+@query(f"""WITH RECURSIVE {_BOTH}, reach(node, component) AS (SELECT src, src FROM both_ways UNION SELECT b.dst, r.component FROM reach r JOIN both_ways b ON b.src = r.node WHERE r.component = (SELECT min(src) FROM both_ways)),
+  first AS (SELECT node FROM reach WHERE component = (SELECT min(src) FROM both_ways)) SELECT node, (SELECT min(src) FROM both_ways) AS component FROM first""")
+def ext_component_of_least(spark, d):
+    """The component that holds the least node; all components are tested against a plain search."""
+    c = graph.connected(links(spark, d))
+    return c.join(c.agg(F.min("component").alias("component")), "component", "left_semi").select("node", "component")
+
+
 @query("SELECT 1 AS step, 'x' AS node WHERE false UNION ALL SELECT 0, 's1' UNION ALL SELECT 1, (SELECT min('p' || a.l_partkey) FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey = 1 AND b.l_suppkey = 2) UNION ALL SELECT 2, 's2'")
 def ext_shortest_path(spark, d):
     return graph.shortest_path(links(spark, d), "s1", "s2", 3)
@@ -462,22 +479,40 @@ def _near(spark, d, k=8):
     return near.select("chunk_id", "distance"), v, local, structure.chunk_edges(local)
 
 
-@query("SELECT 'vec-' || vec_id AS chunk_id, round(pow(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2), 6) AS distance FROM embeddings ORDER BY distance, chunk_id LIMIT 10")
+def _nearest(distance: str, where: str = "true") -> str:
+    """SQL of the ten nearest of every vector whose id is divisible by 50."""
+    return f"""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
+  pairs AS (SELECT qid, 'vec-' || vec_id AS chunk_id, round({distance}, 9) AS distance FROM q, (SELECT *, embedding::DOUBLE[] AS b FROM embeddings WHERE {where}))
+  SELECT qid, chunk_id, round(distance, 6) AS distance FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) <= 10"""
+
+
+def _knn(spark, d, metric="l2", where=None):
+    """Every vector whose id is divisible by 50, against all."""
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding", "label")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return search.knn_many(e, asked, 10, metric, where).withColumn("distance", F.round("distance", 6))
+
+
+@query(_nearest("pow(list_distance(a, b), 2)"))
 def knn_l2(spark, d):
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
-    return search.knn(e, search.vector_of(e, "vec-7"), 10).withColumn("distance", F.round("distance", 6))
+    return _knn(spark, d)
 
 
-@query("SELECT 'vec-' || vec_id AS chunk_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS distance FROM embeddings ORDER BY distance, chunk_id LIMIT 10")
+@query(_nearest("list_cosine_distance(a, b)"))
 def knn_cosine(spark, d):
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
-    return search.knn(e, search.vector_of(e, "vec-7"), 10, "cosine").withColumn("distance", F.round("distance", 6))
+    return _knn(spark, d, "cosine")
 
 
-@query("SELECT 'vec-' || vec_id AS chunk_id, round(pow(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2), 6) AS distance FROM embeddings WHERE label = 2 ORDER BY distance, chunk_id LIMIT 10")
+@query(_nearest("pow(list_distance(a, b), 2)", "label = 2"))
 def knn_filtered(spark, d):
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding", "label")
-    return search.knn(e, search.vector_of(e, "vec-7"), 10, where=F.col("label") == 2).withColumn("distance", F.round("distance", 6))
+    return _knn(spark, d, where=F.col("label") == 2)
+
+
+@query("SELECT 'vec-' || vec_id AS chunk_id, round(pow(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 2), 6) AS distance FROM embeddings ORDER BY distance, chunk_id LIMIT 10")
+def knn_one(spark, d):
+    """A single search, as the engine asks it: no Python, k rows a task."""
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
+    return search.knn(e, search.vector_of(e, "vec-7"), 10).withColumn("distance", F.round("distance", 6))
 
 
 def _bigrams(x: str) -> str:
@@ -624,10 +659,10 @@ def hydrate_hits(spark, d):
     return search.hydrate(hits.select("chunk_id", F.round("rank_score", 6).alias("rank_score"), "retrieval_method"), c).withColumn("importance_score", F.round("importance_score", 6))
 
 
-@query(f"WITH {_HYBRID}, top AS ({_HITS}) SELECT chunk_id, round(importance_score, 6) AS importance_score FROM chunks WHERE chunk_id IN (SELECT dst FROM edges WHERE src IN (SELECT chunk_id FROM near8)) AND chunk_id NOT IN (SELECT chunk_id FROM top) AND importance_score >= 0.3 ORDER BY importance_score DESC, chunk_id LIMIT 1000")
+@query(f"WITH {_HYBRID}, top AS ({_HITS}) SELECT chunk_id, round(importance_score, 6) AS importance_score FROM chunks WHERE chunk_id IN (SELECT dst FROM edges WHERE src IN (SELECT chunk_id FROM near8)) AND chunk_id NOT IN (SELECT chunk_id FROM top) AND importance_score >= 0.3 ")
 def related_minus_primary(spark, d):
     near, c, local, edges = _near(spark, d)
-    return search.related_minus_primary(search.related_chunks(near, edges, local, n=1000), _hybrid(spark, d)[0]).select("chunk_id", F.round("importance_score", 6).alias("importance_score"))
+    return search.related_minus_primary(search.related_chunks(near, edges, local, n=None), _hybrid(spark, d)[0]).select("chunk_id", F.round("importance_score", 6).alias("importance_score"))
 
 
 @query(f"WITH {PASSAGES}, {NEAR}, {EDGES} SELECT dst AS chunk_id, round(max(c.importance_score), 6) AS importance_score, min(rel) AS rel FROM edges JOIN chunks c ON c.chunk_id = dst WHERE src IN (SELECT chunk_id FROM near8) AND c.importance_score >= 0.3 GROUP BY dst ORDER BY max(c.importance_score) DESC, dst LIMIT 10")
@@ -841,21 +876,26 @@ def archive_note(spark, d):
     return n.select("doc_id", mutations.archived_path(F.col("note_id")).alias("path"), mutations.add_content(F.col("text"), F.col("vault")).alias("text"))
 
 
-def _scratch(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/noteloom"
-    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert(spark, d):
     """Events as changes of users, read as a stream until it is exhausted; the table's last state."""
     e = table(spark, d, "events")
     stream = feed.changes(spark, d, e.schema, name="events.parquet").withColumn("changed_at", F.struct("ts", "event_id"))
-    where = _scratch(spark)
+    where = tables.scratch(spark, "stream")
     feed.upsert_stream(stream, f"{where}/table", f"{where}/state", "user_id")
     return feed.current(spark, f"{where}/table").select("user_id", "event_id", "event_type")
 
 
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'")
+def stream_delete(spark, d):
+    """The same with errors as deletions: a user whose last event is one is not in the table."""
+    e = table(spark, d, "events")
+    stream = feed.changes(spark, d, e.schema, name="events.parquet").withColumn("changed_at", F.struct("ts", "event_id")).withColumn("gone", F.col("event_type") == "error")
+    where = tables.scratch(spark, "stream")
+    feed.upsert_stream(stream, f"{where}/table", f"{where}/state", "user_id", gone="gone")
+    return feed.current(spark, f"{where}/table").select("user_id", "event_id", "event_type")
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def tumbling(spark, d):
     return feed.windowed(table(spark, d, "events"), "6 hours").withColumn("total", F.round("total", 4))

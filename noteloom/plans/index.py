@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom import tables
 from noteloom.operators import chunking, structure
 from noteloom.operators.mutations import upsert_notes
 from noteloom.operators.notes import note_tags, resolve_links
@@ -24,9 +25,16 @@ class Index:
     chunk_edges: DataFrame
 
     def write(self, path: str) -> None:
-        """One folder per table, replacing what is there."""
+        """A new version of the index, a folder per table; readers see it once it is complete.
+
+        The version before stays, because this index may still be read from it.
+        """
+        spark = self.notes.sparkSession
+        number = max(tables.versions(spark, path), default=-1) + 1
         for name, df in vars(self).items():
-            vault.write_index(df, f"{path}/{name}")
+            vault.write_index(df, f"{path}/v{number}/{name}")
+        tables.completed(spark, f"{path}/v{number}")
+        tables.expired(spark, path)
 
 
 def chunked(notes: DataFrame, strategy: str = "semantic") -> DataFrame:
@@ -51,7 +59,11 @@ def build(spark: SparkSession, root: str, name: str, strategy: str = "semantic")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("notes", "tags", "edges", "chunks", "chunk_edges")])
+    """The newest complete version of a written index."""
+    done = tables.versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no complete index in {path}")
+    return Index(*[spark.read.parquet(f"{path}/v{done[-1]}/{n}") for n in ("notes", "tags", "edges", "chunks", "chunk_edges")])
 
 
 def refreshed(index: Index, fresh: DataFrame) -> Index:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noteloom import tables
+
 
 def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64, name: str = "*.parquet") -> DataFrame:
     """The Parquet files of a folder (by name pattern) as a stream of changes."""
@@ -15,8 +17,9 @@ def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batc
 
 
 def last_change(batch: DataFrame, key: str = "note_id", time: str = "changed_at") -> DataFrame:
-    """Of several changes of one note in a batch, the last."""
-    w = Window.partitionBy(key).orderBy(F.desc(time))
+    """Of several changes of one note in a batch, the last; of equal times, the one with the largest hash, so that a rerun takes the same."""
+    hashed = [f.name for f in batch.schema.fields if "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy(key).orderBy(F.desc(time), F.xxhash64(*hashed).desc())
     return batch.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
@@ -25,38 +28,43 @@ def deleted(before: DataFrame, listed: DataFrame, key: str = "note_id") -> DataF
     return before.select(key).distinct().join(listed.select(key), key, "left_anti")
 
 
-def upsert_sink(table: str, key: str = "note_id", time: str = "changed_at") -> Callable[[DataFrame, int], None]:
+def matching(batch: DataFrame, extensions: tuple[str, ...] = (".md",), path: str = "rel") -> DataFrame:
+    """Changes of files with these extensions, none of whose folders (nor the file itself) begins with a dot."""
+    at = F.col(path)
+    suffix = F.lower(F.regexp_extract(at, r"(\.[^./]*)$", 1))
+    return batch.filter(suffix.isin([e.lower() for e in extensions]) & ~at.rlike(r"(^|/)\.[^/]"))
+
+
+def upsert_sink(table: str, key: str = "note_id", time: str = "changed_at", gone: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each batch becomes one version of the table (folder v{n}), old rows kept unless changed.
 
-    A version depends only on its batch and the version before, so a batch that
-    is run again writes the same; ``current`` reads the newest complete version.
+    ``gone`` names a boolean column that marks deletions: a key whose last change
+    is one leaves the table.  A version depends only on its batch and the version
+    before, so a batch that is run again writes the same; ``current`` reads the
+    newest complete version, and all but two are dropped.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = last_change(batch, key, time)
         before = current(spark, table, number)
-        merged = fresh if before is None else before.join(fresh.select(key), key, "left_anti").select(fresh.columns).unionByName(fresh)
+        here = fresh if gone is None else fresh.filter(~F.coalesce(F.col(gone), F.lit(False)))
+        merged = here if before is None else before.join(fresh.select(key), key, "left_anti").select(fresh.columns).unionByName(here)
         merged.write.mode("overwrite").parquet(f"{table}/v{number}")
+        tables.expired(spark, table)
 
     return run
 
 
 def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
     """Newest complete version (below a number) of an upserted table."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [int(n[1:]) for s in fs.listStatus(root) if (n := s.getPath().getName())[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))]
-    done = [n for n in done if below is None or n < below]
-    return spark.read.parquet(f"{table}/v{max(done)}") if done else None
+    done = tables.versions(spark, table, below)
+    return spark.read.parquet(f"{table}/v{done[-1]}") if done else None
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "note_id", time: str = "changed_at") -> None:
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "note_id", time: str = "changed_at", gone: str | None = None) -> None:
     """Runs through all that is there, then stops."""
-    q = stream.writeStream.foreachBatch(upsert_sink(table, key, time)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(upsert_sink(table, key, time, gone)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 

@@ -96,3 +96,50 @@ def test_hooks(spark):
     assert df.select(hooks.concepts(F.col("text"), F.lit("1. Graph theory")).alias("c")).first().c == ["Graph theory"]
     assert hooks.hashed_embedding([""])[0] == [0.0] * 64
     assert sum(x * x for x in hooks.hashed_embedding(["a b"])[0]) == pytest.approx(1)
+
+
+def test_written_index_can_be_refreshed_in_place(built, spark, tmp_path):
+    made, _ = built
+    out = str(tmp_path / "index")
+    made.write(out)
+    before = {(r.note_id, r.text) for r in made.notes.collect()}
+    for turn in range(3):
+        now = index.read(spark, out)
+        fresh = now.notes.filter("note_id = 'planets/Mars.md'").withColumn("text", F.lit(f"## Turn\n{turn}"))
+        index.refreshed(now, fresh).write(out)
+        now.notes.count()  # who still reads the version before is not disturbed
+    after = {r.note_id: r.text for r in index.read(spark, out).notes.collect()}
+    assert after == {n: "## Turn\n2" if n == "planets/Mars.md" else t for n, t in before}
+    assert len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 2
+
+
+def test_last_change_does_not_depend_on_order(spark):
+    from noteloom.streaming import feed
+
+    rows = [("a", 1, f"text {k}") for k in range(40)]
+    got = {feed.last_change(spark.createDataFrame(rows[k:] + rows[:k], "note_id string, changed_at int, text string").repartition(k + 1)).first().text for k in range(4)}
+    assert len(got) == 1
+
+
+def test_changes_are_filtered_by_extension_and_dot_folders(spark):
+    from noteloom.streaming import feed
+
+    paths = ["a.md", "b/C.MD", "b/c.txt", ".git/a.md", "b/.hidden/a.md", "b/.a.md", "v1.2/a.md", "md"]
+    assert [r.rel for r in feed.matching(spark.createDataFrame([(p,) for p in paths], "rel string")).collect()] == ["a.md", "b/C.MD", "v1.2/a.md"]
+
+
+def test_scratch_needs_a_shared_folder_off_a_local_master():
+    from noteloom import tables
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Session())

@@ -237,3 +237,77 @@ def test_stream_upsert(spark, tmp_path):
     assert sorted((r.note_id, r.v) for r in now.collect()) == [("a", 2), ("b", 9), ("c", 1)]
     listed = spark.createDataFrame([("a",)], "note_id string")
     assert sorted(r.note_id for r in feed.deleted(now, listed).collect()) == ["b", "c"]
+
+
+def _random_graph(spark, seed, n, m):
+    import random
+
+    r = random.Random(seed)
+    pairs = sorted({(f"n{r.randrange(n):02d}", f"n{r.randrange(n):02d}") for _ in range(m)})
+    return pairs, spark.createDataFrame(pairs, "src string, dst string")
+
+
+def _depths(pairs, start):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    depth, level = {start: 0}, [start]
+    while level:
+        level = sorted({x for y in level for x in near.get(y, ()) if x not in depth})
+        depth |= {x: max(depth.values()) + 1 for x in level}
+    return depth
+
+
+def test_deep_traversals_against_plain_search(spark):
+    pairs, edges = _random_graph(spark, 3, 60, 55)
+    start = pairs[0][0]
+    want = _depths(pairs, start)
+    got = graph.neighbors(edges, spark.createDataFrame([(start,), (start,)], "node string"), 5)
+    assert {r.node: r.depth for r in got.collect()} == {n: k for n, k in want.items() if k <= 5}
+    scans = got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans <= 4  # the edges of the last hop alone; levels are read as files
+    for goal in sorted(want)[:4]:
+        path = [r.node for r in graph.shortest_path(edges, start, goal, 6).orderBy("step").collect()]
+        assert (len(path) - 1 == want[goal] and path[0] == start and path[-1] == goal) if want[goal] <= 6 else not path
+        assert all((a, b) in pairs or (b, a) in pairs for a, b in zip(path, path[1:]))
+    missing = graph.shortest_path(edges, start, "absent", 9)
+    assert missing.columns == ["step", "node"] and missing.collect() == []
+
+
+def test_components_and_common_neighbors(spark):
+    pairs, edges = _random_graph(spark, 9, 70, 45)
+    want = {}
+    for a, b in pairs:
+        for x in (a, b):
+            want[x] = min(_depths(pairs, x))
+    assert {r.node: r.component for r in graph.connected(edges).collect()} == want
+    near = lambda x: {b if a == x else a for a, b in pairs if x in (a, b)}
+    a, b = pairs[0]
+    assert {r.node for r in graph.common_neighbors(edges, a, b).collect()} == near(a) & near(b)
+    assert graph.connected(edges.limit(0)).collect() == []
+
+
+def test_many_nearest_in_blocks(spark, monkeypatch):
+    import random
+
+    from noteloom.operators import search
+
+    r = random.Random(1)
+    rows = [(f"c{i:03d}", [float(r.randrange(3)) for _ in range(4)] if i % 9 else None) for i in range(120)]
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, e) for i, (_, e) in enumerate(rows) if i % 10 == 1], "qid long, embedding array<float>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    for metric in ("l2", "cosine"):
+        got = {}
+        for x in search.knn_many(v, queries, 4, metric).collect():
+            got.setdefault(x.qid, []).append((x.distance, x.chunk_id))
+        for q in queries.collect():
+            if q.embedding is None:
+                assert q.qid not in got
+                continue
+            norm = lambda a: sum(x * x for x in a) ** 0.5
+            far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) if metric == "l2" else 1 - (sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)) if norm(a) * norm(b) else 0)
+            want = sorted((round(far(q.embedding, e), 9), c) for c, e in rows if e)[:4]
+            assert [(c, round(x, 6)) for x, c in sorted(got[q.qid])] == [(c, round(x, 6)) for x, c in want]
+    assert search.knn_many(v, queries.limit(0), 4).collect() == []

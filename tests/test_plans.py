@@ -117,3 +117,12 @@ def test_filter_pushdown(spark, tmp_path):
     plan = base.Plan(base.validate(d), spark.read.parquet(str(tmp_path / "t")), NOW).table()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(title,5)" in plan
     assert "other" not in plan.split("ReadSchema")[1]
+
+
+def test_quoted_values_survive_public_filters():
+    from noteloom.plans import base as bases
+
+    assert bases.quoted("x\\y") == '"x\\y"' and bases.quoted('a"b') == "'a\"b'" and bases.quoted(3) == "3"
+    both = bases.quoted("a\"b'c")
+    assert parse(both).value == "concat" and "".join(a.value for a in parse(both).args) == "a\"b'c"
+    assert bases.method_calls('title == "a.contains(b" && tags.contains("x")') == 'title == "a.contains(b" && contains(tags, "x")'
