@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.tables import written
+from noteloom.tables import discard, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -132,5 +132,6 @@ def connected(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        stars = written(moved.union(low.select("a", "m")).filter("a <> b").distinct(), "stars")
+        before, stars = stars, written(moved.union(low.select("a", "m")).filter("a <> b").distinct(), "stars")
+        discard(before, least, large, low)
     return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").groupBy("node").agg(F.coalesce(F.min("m"), F.first("node")).alias("component"))

@@ -56,6 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Drop the files of tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/noteloom-tables/" in path:
+                dropped(df.sparkSession, path)
+
+
 DONE = "_SUCCESS"
 
 
