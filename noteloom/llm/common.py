@@ -2,51 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.tables import discard, written  # noqa: F401
+
 #: Bytes of text that a Python worker holds as objects at a time.
 SLICE_BYTES = 4 << 20
 #: Rows of a table of keys that is broadcast rather than exchanged, at most (each takes some 100 bytes).
 BROADCAST_ROWS = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"file://{tempfile.gettempdir()}/noteloom-{os.getuid()}").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: its lineage ends there.
-
-    The files survive lost executors and go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/noteloom-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already; nothing else depends on the files
-        pass
-
-
 def few(df: DataFrame) -> DataFrame:
     """``df`` (a written table of keys) marked for broadcast if it has BROADCAST_ROWS rows at most; else as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -14,20 +14,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import written
+from noteloom.llm.common import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # written, because the small star reads it twice
+    out = written(moved.filter("a <> b").distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    out = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,7 +48,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter("a <> b").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small(_large(edges)).filter("a <> b").distinct(), "edges")
+        large = _large(edges)
+        discard(edges)
+        edges = _small(large)
+        discard(large)
         after = _state(edges)
         if after == state:
             break

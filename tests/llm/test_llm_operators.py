@@ -292,6 +292,46 @@ def test_classifiers_without_data(spark, docs_of, score):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_labelled_sample_does_not_depend_on_order(spark):
+    rows = [(i % 20, f"text {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = {tuple(crf.labelled_sample(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(k + 1), labels, "toxic", 6)[0]) for k in (0, 3, 7)}
+    assert len(got) == 1
+
+
+def test_network_forward_pass_term_by_term():
+    """Logits against the recurrences spelled out for one window at a time, without padding."""
+    net = tox.Network([b"a", b"bc", b"d"], np.array([0.5, -1.0, 2.0]), seed=3)
+    r = np.random.default_rng(1)
+    for k in net.p:
+        net.p[k] = (net.p[k] + 0.3 * r.standard_normal(net.p[k].shape)).astype(np.float32)
+    names = [b"a", b"bc", b"d", b"unseen"]
+    p, x = net.p, net.embed(net.lookup(names))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    hidden = tox.HIDDEN
+
+    def states(ids, k):
+        h, out = np.zeros(hidden), []
+        for i in ids:
+            g = x[i] @ p[f"W{k}"] + p[f"c{k}"]
+            z = sig(g[:hidden] + h @ p[f"U{k}"][:, :hidden])
+            q = sig(g[hidden : 2 * hidden] + h @ p[f"U{k}"][:, hidden : 2 * hidden])
+            c = np.tanh(g[2 * hidden :] + (q * h) @ p[f"U{k}"][:, 2 * hidden :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    windows = [[0, 1, 2], [3], [2, 2, 1, 0, 3], [1, 3]]
+    at = np.array([w + [0] * (5 - len(w)) for w in windows])
+    mask = np.array([[1.0] * len(w) + [0.0] * (5 - len(w)) for w in windows], dtype=np.float32)
+    got = net.forward(x, at, mask)
+    for w, logit in zip(windows, got):
+        both = [np.concatenate(s) for s in zip(states(w, "f"), states(w[::-1], "b")[::-1])]
+        e = np.array([np.tanh(h @ p["A"] + p["a"]) @ p["v"] for h in both])
+        alpha = np.exp(e) / np.exp(e).sum()
+        assert sum(a * (h @ p["w"]) for a, h in zip(alpha, both)) + p["b"][0] == pytest.approx(float(logit), abs=1e-4)
+
+
 def test_chain_marginals_against_enumeration():
     r = np.random.default_rng(3)
     sizes = [1, 4, 2, 5]
