@@ -14,8 +14,8 @@ from noteloom.tables import discard, written  # noqa: F401
 
 #: Bytes of text that a Python worker holds as objects at a time.
 SLICE_BYTES = 4 << 20
-#: Rows of a table of keys that is broadcast rather than exchanged, at most (each takes some 100 bytes).
-BROADCAST_ROWS = 500_000
+#: Rows of a table of keys that is broadcast rather than exchanged, at most (each takes some 200 bytes).
+BROADCAST_ROWS = 200_000
 
 
 def few(df: DataFrame) -> DataFrame:
