@@ -71,6 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.alignment import aligned
+
+    return aligned(_table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
@@ -94,7 +100,7 @@ FROM d LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
