@@ -71,6 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.warc import archive_report
+
+    return archive_report(_table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.alignment import aligned
 
@@ -99,9 +105,19 @@ FROM d LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
 
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS r FROM pages),
+o AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, first_value(page_id) OVER w AS top, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, r))
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform([1, 11, 21, 31], lambda x: translate(to_base(concat('0x', substr(s, x, 10))::BIGINT, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter, op13_alignment)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter, op12_warc, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op12_warc": OP12_SQL}
