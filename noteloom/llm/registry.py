@@ -71,6 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noteloom.llm.conversation import repair_report
+
+    return repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noteloom.llm.warc import archive_report
 
@@ -116,7 +122,7 @@ FROM o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter, op12_warc, op13_alignment)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_packing, op4_toxicity, op5_simhash, op6_decontamination, op7_exact_dedup, op8_quality_crf, op9_secret_scan, op10_url_filter, op11_conversation_repair, op12_warc, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
