@@ -16,7 +16,8 @@ from noteloom.operators import notes as note_ops
 from noteloom.plans import base as bases
 from noteloom.plans.bridge import EDGES, LINKS, NEAR, NOTE_TAGS, NOTES, PASSAGES, TURNS, links, notes, passages, table, turns
 from noteloom.plans.expr import Compiler, parse, schema_resolver
-from noteloom.streaming import feed
+from noteloom.streaming import feed, run
+from noteloom.streaming.debounce import debounced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -912,6 +913,78 @@ def session(spark, d):
     return feed.sessions(table(spark, d, "events"), "2 hours")
 
 
+# --- streams with late rows -----------------------------------------------------------------------
+
+#: Parts in which the events arrive, one run of a stream each; every 50th event of the first part comes with the last.
+PARTS = 4
+
+
+def _parts(spark, d):
+    """(parts of events in order of arrival)."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    at = F.floor(PARTS * (F.unix_micros("ts") - F.unix_micros("a")) / (F.unix_micros("b") - F.unix_micros("a") + 1)).cast("int")
+    part = F.when((at == 0) & (F.col("event_id") % 50 == 0), PARTS - 1).otherwise(at)
+    return e.crossJoin(F.broadcast(span)).withColumn("part", part).drop("a", "b")  # the span is one row
+
+
+def _streamed(spark, d, plan, again=()):
+    """``plan`` over the events as they arrive: the stream stops and starts again after each part.
+
+    ``again``: (remainder by 10, parts later) of events that come a second time.
+    """
+    events, where = _parts(spark, d), tables.scratch(spark, "stream")
+    schema = events.drop("part").schema
+    for k in range(PARTS):
+        rows = events.filter(F.col("part") == k)
+        for remainder, later in again:
+            rows = rows.unionByName(events.filter((F.col("part") == k - later) & (F.col("event_id") % 10 == remainder)))
+        rows.drop("part").write.mode("append").parquet(f"{where}/in")
+        run.drained(plan(spark.readStream.schema(schema).parquet(f"{where}/in")), f"{where}/out", f"{where}/state")
+    return spark.read.parquet(f"{where}/out")
+
+
+#: What each part finds as the watermark: an hour behind all that came before.  ``final``: the one after all parts.
+_ARRIVED = f"""span AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+  parts AS (SELECT e.*, ({PARTS} * (epoch_us(ts) - a) // (b - a + 1))::INT AS slot FROM events e, span),
+  arrived AS (SELECT *, CASE WHEN slot = 0 AND event_id % 50 = 0 THEN {PARTS - 1} ELSE slot END AS part FROM parts),
+  marks AS (SELECT p.part, coalesce((SELECT max(date_trunc('milliseconds', ts)) FROM arrived q WHERE q.part < p.part) - INTERVAL 1 HOUR, TIMESTAMP '1970-01-01') AS mark FROM range(0, {PARTS + 1}) p(part)),
+  final AS (SELECT max(mark) AS mark FROM marks WHERE part = {PARTS})"""
+
+
+@query(f"""WITH {_ARRIVED}, w AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start FROM arrived)
+  SELECT start, start + INTERVAL 6 HOURS AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM w JOIN marks USING (part) WHERE start + INTERVAL 6 HOURS > mark
+  GROUP BY 1, 2, 3 HAVING start + INTERVAL 6 HOURS <= (SELECT mark FROM final)""")
+def stream_tumbling_late(spark, d):
+    """Windows of a stream that is stopped and started again; rows behind the watermark do not count."""
+    out = _streamed(spark, d, lambda s: feed.windowed(s, "6 hours"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH {_ARRIVED}, k AS (SELECT user_id, ts FROM arrived JOIN marks USING (part) WHERE ts + INTERVAL 2 HOURS > mark),
+  e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT mark FROM final)""")
+def stream_session_late(spark, d):
+    """Sessions of a stream, across the parts in which it arrives."""
+    out = _streamed(spark, d, lambda s: feed.sessions(s, "2 hours"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(f"WITH {_ARRIVED} SELECT event_id, user_id FROM arrived JOIN marks USING (part) WHERE ts > mark")
+def stream_dedup(spark, d):
+    """Events of which some come twice in a part or again in the next one; each counts once, late ones not at all."""
+    return _streamed(spark, d, lambda s: feed.deduplicated(s, ["event_id"]), again=((3, 0), (4, 1))).select("event_id", "user_id")
+
+
+@query(f"""WITH {_ARRIVED}, k AS (SELECT * FROM arrived JOIN marks USING (part) WHERE ts > mark),
+  n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM k)
+  SELECT user_id, event_id, event_type FROM n WHERE (next IS NULL OR next - ts >= INTERVAL 3 HOURS) AND ts + INTERVAL 3 HOURS <= (SELECT mark FROM final)""")
+def stream_debounced(spark, d):
+    """Events as changes of users, each held until its user has been quiet for three hours."""
+    return _streamed(spark, d, lambda s: debounced(s, "user_id", "ts", 3 * 3_600_000, "1 hour", "event_id")).select("user_id", "event_id", "event_type")
+
+
 # --- further functions --------------------------------------------------------------------------
 
 

@@ -79,3 +79,8 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Counts per user and session."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def deduplicated(events: DataFrame, keys: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """One event of each key (of a stream: of those no further apart than ``late``, which bounds what is remembered)."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
