@@ -59,14 +59,14 @@ def fuzzy_string(a: Column, b: Column) -> Column:
     )
 
 
-def tag_match(entity: str, tag: Column) -> Column:
+def tag_match(entity: str | Column, tag: Column) -> Column:
     """How well one tag answers to one entity, 0 to 1."""
-    e, t = F.lit(entity.lower()), F.lower(tag)
+    e, t = F.lower(F.lit(entity)), F.lower(tag)
     parts = F.split(t, "/")
     tree = t.contains("/")
     partial = F.when(tree & F.exists(parts, lambda p: p.contains(e) | e.contains(p)), 0.7).otherwise(0.0)
     within = F.when(t.contains(e), 0.8).when(e.contains(t), 0.6).otherwise(0.0)
-    return F.when(t == e, 1.0).when(tree & F.array_contains(parts, entity.lower()), 0.9).otherwise(F.greatest(partial, within, fuzzy_string(e, t)))
+    return F.when(t == e, 1.0).when(tree & F.array_contains(parts, e), 0.9).otherwise(F.greatest(partial, within, fuzzy_string(e, t)))
 
 
 def tag_relevance(entities: list[str], tags: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.operators.structure import RELATIONS, SIBLING
 from noteloom.tables import discard, written
 
+CONTENT_LINK = "content_link"
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -47,9 +50,51 @@ def subgraph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.crossJoin(subgraph_edges(edges, nodes).agg(F.count(F.lit(1)).alias("edge_count")))  # one row each
 
 
-def chunk_neighbors(edges: DataFrame, chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def steps(edges: DataFrame, sources: DataFrame | None = None, per_class: int | None = None) -> DataFrame:
+    """(src, dst, rel, ord): the relations of some chunks (src) or all, siblings spelled out; with ``per_class`` the first so many of each (by id).
+
+    What is listed grows with the siblings of the chunks asked for, never with all pairs of a note.
+    """
+    own = edges if sources is None else edges.join(sources.select("src").distinct(), "src", "left_semi")
+    shared = F.col("rel") == SIBLING
+    members = edges.filter(shared).select(F.col("dst").alias("class"), F.col("src").alias("member"))
+    if per_class is not None:  # one more, because a chunk is not its own sibling
+        first = F.row_number().over(Window.partitionBy("class").orderBy("member"))
+        members = members.withColumn("n", first).filter(F.col("n") <= per_class + 1).drop("n")
+    siblings = own.filter(shared).select("src", F.col("dst").alias("class"), "rel", "ord").join(members, "class").filter("src <> member")
+    return own.filter(~shared).select("src", "dst", "rel", "ord").unionByName(siblings.select("src", F.col("member").alias("dst"), "rel", "ord"))
+
+
+def onward(edges: DataFrame, frontier: DataFrame, *best: Column) -> DataFrame:
+    """(dst, rel, ord, and the columns of ``frontier``): where the chunks of ``frontier`` (src) lead, themselves included.
+
+    A class of siblings is entered once, from the member that comes first by ``best``
+    (then by id), so a flat note costs as many rows as it has chunks.
+    """
+    shared = F.col("rel") == SIBLING
+    own = edges.join(frontier, "src")
+    first = F.row_number().over(Window.partitionBy("dst").orderBy(*best, "src"))
+    entered = own.filter(shared).withColumn("n", first).filter("n = 1").drop("n").withColumnRenamed("dst", "class")
+    members = edges.filter(shared).select(F.col("dst").alias("class"), F.col("src").alias("dst"))
+    return own.filter(~shared).unionByName(entered.join(members, "class").drop("class"))
+
+
+def content_links(starts: DataFrame, chunks: DataFrame, notes: DataFrame, links: int = 3, per_note: int = 2) -> DataFrame:
+    """(src, dst, rel, ord): from each start (chunk_id) to the first chunks of the first notes that its text links to.
+
+    Links are resolved by title or stem, regardless of case, the least note id wins; only the linked notes' chunks are read.
+    """
+    named = chunks.join(starts.select("chunk_id").distinct(), "chunk_id", "left_semi").select(F.col("chunk_id").alias("src"), F.posexplode(F.slice("contains_links", 1, links)).alias("place", "link"))
+    keys = notes.select(F.explode(F.array(F.lower("title"), F.lower("stem"))).alias("key"), "note_id").groupBy("key").agg(F.min("note_id").alias("note_id"))
+    linked = named.join(keys, F.lower("link") == F.col("key")).select("src", "note_id").distinct()
+    first = F.row_number().over(Window.partitionBy("note_id").orderBy("seq", "chunk_id"))
+    heads = chunks.join(linked.select("note_id").distinct(), "note_id", "left_semi").select("note_id", F.col("chunk_id").alias("dst"), first.alias("n")).filter(F.col("n") <= per_note)
+    return linked.join(heads, "note_id").filter("src <> dst").select("src", "dst", F.lit(CONTENT_LINK).alias("rel"), F.lit(len(RELATIONS) + 1).alias("ord"))
+
+
+def chunk_neighbors(edges: DataFrame, chunks: DataFrame, sources: DataFrame | None = None, per_class: int | None = None) -> DataFrame:
     """Neighbours with their type, header and importance (0.5 where unknown), in listing order."""
-    e = edges if sources is None else edges.join(sources.select(F.col("chunk_id").alias("src")).distinct(), "src", "left_semi")
+    e = steps(edges, None if sources is None else sources.select(F.col("chunk_id").alias("src")), per_class)
     info = chunks.select(F.col("chunk_id").alias("dst"), "chunk_type", "header_text", "importance_score")
     joined = e.join(info, "dst", "left")
     return joined.select("src", "dst", "rel", "ord", F.coalesce("chunk_type", F.lit("")).alias("chunk_type"), F.coalesce("header_text", F.lit("")).alias("header_text"), F.coalesce("importance_score", F.lit(0.5)).alias("importance_score"))
@@ -60,12 +105,18 @@ def first_neighbors(listed: DataFrame, n: int) -> DataFrame:
     return listed.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("ord", "dst"))).filter(F.col("place") <= n)
 
 
-def traverse(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(chunk_id, depth, rel, via): first discovery of each chunk from the start chunks, by relation order, then source, on ties."""
+def traverse(edges: DataFrame, start: DataFrame, depth: int, linked: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, depth, rel, via): first discovery of each chunk from the start chunks, by relation order, then source, on ties.
+
+    ``linked`` (as from ``content_links``) holds relations that count from the start chunks only: links out of their notes.
+    """
     seen = _kept(start.select("chunk_id", F.lit(0).alias("depth"), F.lit("start").alias("rel"), F.lit(None).cast("string").alias("via")), depth > 1)
     frontier = seen
     for d in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("chunk_id").alias("src")), "src").join(seen.select(F.col("chunk_id").alias("dst")), "dst", "left_anti")
+        step = onward(edges, frontier.select(F.col("chunk_id").alias("src"))).select("src", "dst", "rel", "ord")
+        if linked is not None and d == 1:
+            step = step.unionByName(linked.join(start.select(F.col("chunk_id").alias("src")), "src", "left_semi").select("src", "dst", "rel", "ord"))
+        step = step.join(seen.select(F.col("chunk_id").alias("dst")), "dst", "left_anti")
         first = F.row_number().over(Window.partitionBy("dst").orderBy("ord", "src"))
         frontier = _kept(step.withColumn("n", first).filter("n = 1").select(F.col("dst").alias("chunk_id"), F.lit(d).alias("depth"), "rel", F.col("src").alias("via")), d < depth)
         if d < depth and frontier.isEmpty():

@@ -18,13 +18,23 @@ def parse_notes(raw: DataFrame) -> DataFrame:
     )
 
 
-def resolve_links(notes: DataFrame) -> DataFrame:
-    """(src, ord, dst): each link to the note whose title or stem equals it regardless of case; the least id wins."""
-    wanted = notes.select(F.col("note_id").alias("src"), F.posexplode("links").alias("ord", "link")).withColumn("key", F.lower("link"))
+def resolve_links(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(src, ord, dst): each link (by default of all notes, else of the notes ``of``) to the note whose title or stem equals it regardless of case; the least id wins."""
+    wanted = (notes if of is None else of).select(F.col("note_id").alias("src"), F.posexplode("links").alias("ord", "link")).withColumn("key", F.lower("link"))
     keys = notes.select(F.explode(F.array(F.lower("title"), F.lower("stem"))).alias("key"), "note_id").groupBy("key").agg(F.min("note_id").alias("dst"))
     return wanted.join(keys, "key").select("src", "ord", "dst")
 
 
+def names_of(notes: DataFrame) -> DataFrame:
+    """(name): what links may call the notes, in lower case."""
+    return notes.select(F.explode(F.array(F.lower("title"), F.lower("stem"))).alias("name")).filter("name is not null").distinct()
+
+
+def linking_to(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """(note_id): notes with a link to one of ``names`` (name)."""
+    return notes.select("note_id", F.explode("links").alias("link")).join(names, F.lower("link") == F.col("name"), "left_semi").select("note_id").distinct()
+
+
 def backlinks(edges: DataFrame) -> DataFrame:
     """(note_id, backlinks, n): sorted sources of each target; self-links do not count."""
     return edges.filter("src <> dst").groupBy(F.col("dst").alias("note_id")).agg(F.array_sort(F.collect_set("src")).alias("backlinks")).withColumn("n", F.size("backlinks").cast("long"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.scoring import cosine_distance, expansion_score, l2_squared, relation_weight, row_similarity
 from noteloom.functions.text import tag_relevance, text_relevance
-from noteloom.operators.graph import chunk_neighbors, first_neighbors
+from noteloom.operators.graph import chunk_neighbors, first_neighbors, onward
+from noteloom.operators.pivots import celled, nearest
 from noteloom.tables import written
 
 
@@ -21,59 +21,13 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", wher
     return rows.select("chunk_id", *keep, F.round(dist, 9).alias("distance")).orderBy("distance", "chunk_id").limit(k)
 
 
-#: Query vectors that are searched in one pass over the rows.
-QUERY_BLOCK = 2048
-
-
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
     """(qid, chunk_id, distance): the ``k`` nearest rows of every query (qid, embedding), ties by id.
 
-    Queries are broadcast in blocks of QUERY_BLOCK; each batch of rows keeps its own
-    k best a query, so what is exchanged grows with batches, not rows.  Null vectors
+    One pass over the rows whatever the number of queries (see ``pivots``).  Null vectors
     are neither found nor asked for; a vector of zeros has cosine distance 1 from all.
     """
-    rows = (vectors if where is None else vectors.filter(where)).filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    spark = vectors.sparkSession
-    out, block = None, []
-
-    def searched(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r.qid for r in block]), np.array([r.embedding for r in block], dtype=float)))
-
-        def run(batches):
-            qid, q = sent.value
-            if not len(qid):
-                return
-            norm = np.sqrt((q * q).sum(axis=1))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy())
-                ids = pdf["chunk_id"].to_numpy()
-                by_id = np.argsort(ids, kind="stable")
-                x, ids = x[by_id], ids[by_id]
-                dot = q @ x.T
-                if metric == "l2":
-                    dist = np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * dot, 0)
-                else:
-                    size = norm[:, None] * np.sqrt((x * x).sum(axis=1))
-                    dist = 1 - np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
-                dist = np.round(dist, 9) + 0.0
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qid, best.shape[1]), "chunk_id": ids[best.ravel()], "distance": np.take_along_axis(dist, best, 1).ravel()})
-
-        kinds = ", ".join(f"{c} {t}" for c, t in (("qid", queries.schema["qid"].dataType.simpleString()), ("chunk_id", rows.schema["chunk_id"].dataType.simpleString())))
-        near = rows.mapInPandas(run, f"{kinds}, distance double")
-        place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "chunk_id"))
-        return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")
-
-    for r in queries.filter("embedding is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = (searched(block) if out is None else out.unionByName(searched(block))), []
-    if block or out is None:
-        last = searched(block)
-        out = last if out is None else out.unionByName(last)
-    return out
+    return nearest(celled(vectors, metric, where), queries, k)
 
 
 def settled(hits: DataFrame) -> DataFrame:
@@ -131,7 +85,7 @@ def rank(hits: DataFrame, k: int) -> DataFrame:
 def graph_search(near: DataFrame, edges: DataFrame, chunks: DataFrame, per_hit: int = 3) -> DataFrame:
     """Vector hits and the first neighbours of each, scored by importance: (chunk_id, distance, final_score, retrieval_method, relationships, ord)."""
     direct = near.select("chunk_id", "distance", (1 - F.col("distance")).alias("final_score"), F.lit("vector_search").alias("retrieval_method"), F.array().cast("array<string>").alias("relationships"), F.lit(0).alias("ord"))
-    listed = first_neighbors(chunk_neighbors(edges, chunks, near), per_hit)
+    listed = first_neighbors(chunk_neighbors(edges, chunks, near, per_hit), per_hit)
     around = listed.select(F.col("dst").alias("chunk_id"), (1 - F.col("importance_score")).alias("distance"), F.col("importance_score").alias("final_score"), F.lit("graph_traversal").alias("retrieval_method"), F.array("rel").alias("relationships"), F.col("ord"))
     return direct.unionByName(around)
 
@@ -184,7 +138,7 @@ def expand_rank(near: DataFrame, edges: DataFrame, chunks: DataFrame, query: str
     level = seen = written(level, "level")
     info = chunks.select("chunk_id", "importance_score").withColumnRenamed("chunk_id", "dst")
     for d in range(depth):
-        step = level.select(F.col("chunk_id").alias("src"), "score").join(edges, "src").join(info, "dst").filter(F.coalesce("importance_score", F.lit(0.5)) >= least)
+        step = onward(edges, level.select(F.col("chunk_id").alias("src"), "score"), F.desc("score")).join(info, "dst").filter(F.coalesce("importance_score", F.lit(0.5)) >= least)
         step = step.join(seen.select(F.col("chunk_id").alias("dst")), "dst", "left_anti")
         step = step.withColumn("score", F.round(F.col("score") * 0.4 + F.coalesce("importance_score", F.lit(0.5)) * 0.4 + relation_weight(F.col("rel"), F.lit(d)) * 0.2, 12)).filter("score > 0.3")
         w = Window.partitionBy("dst").orderBy(F.desc("score"), "ord", "src")

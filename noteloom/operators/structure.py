@@ -9,6 +9,7 @@ from noteloom.functions.scoring import importance
 
 #: Order in which a chunk's neighbours are listed.
 RELATIONS = ("sequential_next", "sequential_prev", "parent", "child", "sibling")
+SIBLING = "sibling"
 LEVELS = 6
 
 
@@ -39,25 +40,42 @@ def child_edges(chunks: DataFrame) -> DataFrame:
     return p.select(F.col("parent_id").alias("src"), F.col("chunk_id").alias("dst"), F.lit("child").alias("rel"))
 
 
+def _class_name():
+    return F.concat_ws("|", F.lit(SIBLING), F.col("header_level").cast("string"), F.coalesce("parent_id", F.lit("")), "note_id")
+
+
+def sibling_classes(chunks: DataFrame) -> DataFrame:
+    """(class, chunk_id, note_id, header_level, parent_id, seq): chunks of one note with equal level and parent, a row each.
+
+    The class is named after its parent and level, so it has no member's name.
+    """
+    p = with_parent(chunks).filter("header_level is not null")
+    return p.select(_class_name().alias("class"), "chunk_id", "note_id", "header_level", "parent_id", "seq")
+
+
 def sibling_edges(chunks: DataFrame) -> DataFrame:
-    """Between chunks of one note with equal level and parent."""
+    """Between chunks of one note with equal level and parent: all pairs, for small tables; ``sibling_classes`` says the same in a row for each chunk."""
     p = with_parent(chunks).filter("header_level is not null").select("note_id", "header_level", F.coalesce("parent_id", F.lit("")).alias("p"), "chunk_id")
     a, b = p.withColumnRenamed("chunk_id", "src"), p.withColumnRenamed("chunk_id", "dst")
     return a.join(b, ["note_id", "header_level", "p"]).filter("src <> dst").select("src", "dst", F.lit("sibling").alias("rel"))
 
 
 def chunk_edges(chunks: DataFrame) -> DataFrame:
-    """All relations, with ``ord``: place of the relation in a chunk's list of neighbours."""
+    """(src, dst, rel, ord): all relations, with the place of the relation in a chunk's list of neighbours; a few rows for each chunk.
+
+    Siblings are not listed pair by pair: a row of relation ``sibling`` leads from a
+    chunk to the class (``sibling_classes``) that it shares with its siblings.  ``graph.steps`` reads both kinds.
+    """
     w = _by_note()
     rows = with_parent(chunks.select("chunk_id", "note_id", "seq", "header_level").withColumn("sequential_next", F.lead("chunk_id").over(w)).withColumn("sequential_prev", F.lag("chunk_id").over(w)))
+    rows = rows.withColumn("class", F.when(F.col("header_level").isNotNull(), _class_name()))
     edge = lambda src, dst, rel: F.struct(src.alias("src"), F.col(dst).alias("dst"), F.lit(rel).alias("rel"))
     here = F.col("chunk_id")
     own = F.array(
         edge(here, "sequential_next", "sequential_next"), edge(here, "sequential_prev", "sequential_prev"), edge(here, "parent_id", "parent"),
-        edge(F.when(F.col("header_level") == F.col("parent_level") + 1, F.col("parent_id")), "chunk_id", "child"),
+        edge(F.when(F.col("header_level") == F.col("parent_level") + 1, F.col("parent_id")), "chunk_id", "child"), edge(here, "class", "sibling"),
     )
-    near = rows.select(F.explode(F.filter(own, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())).alias("e")).select("e.src", "e.dst", "e.rel")
-    every = near.unionByName(sibling_edges(chunks))
+    every = rows.select(F.explode(F.filter(own, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())).alias("e")).select("e.src", "e.dst", "e.rel")
     return every.withColumn("ord", F.array_position(F.array(*[F.lit(r) for r in RELATIONS]), F.col("rel")).cast("int"))
 
 

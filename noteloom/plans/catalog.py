@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noteloom import tables
 from noteloom.functions import intent as intents
 from noteloom.functions import scoring, text, timerange
-from noteloom.operators import chunking, filters, graph, mutations, search, stats, structure
+from noteloom.operators import chunking, filters, graph, mutations, questions, search, stats, structure
 from noteloom.operators import notes as note_ops
 from noteloom.plans import base as bases
 from noteloom.plans.bridge import EDGES, LINKS, NEAR, NOTE_TAGS, NOTES, PASSAGES, TURNS, links, notes, passages, table, turns
@@ -442,6 +442,33 @@ def traverse_summary(spark, d):
     return graph.traverse_summary(_walk(spark, d))
 
 
+@query(f"""WITH {TURNS}, p AS (SELECT c.*, (SELECT max(p.seq) FROM chunks p WHERE p.note_id = c.note_id AND p.seq < c.seq AND p.header_level < c.header_level) AS parent_seq FROM chunks c)
+  SELECT note_id, header_level, 'conv-' || split_part(note_id, '-', 2) || '/chunk_' || parent_seq AS parent_id, min(seq) AS first, max(seq) AS last, count(*) AS members FROM p GROUP BY note_id, header_level, parent_seq""")
+def sibling_classes(spark, d):
+    """Classes of siblings, each with its range of places; no pairs."""
+    return structure.sibling_classes(turns(spark, d)).groupBy("class", "note_id", "header_level", "parent_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("members")).drop("class")
+
+
+_LINKING = f"""{TURNS}, {EDGES}, starts AS (SELECT chunk_id, conv_id, turn FROM (SELECT conv_id, turn, 'conv-' || conv_id || '/chunk_' || turn AS chunk_id FROM conversations WHERE conv_id % 50 = 0 AND turn = 1)),
+linked AS (SELECT DISTINCT s.chunk_id AS src, c.chunk_id AS dst, 'content_link' AS rel, 6 AS ord FROM starts s, unnest([2, 3, 4]) t(m)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY seq, chunk_id) AS head FROM chunks) c ON c.note_id = 'conv-' || (s.conv_id * m + s.turn) AND head <= 2 WHERE s.chunk_id <> c.chunk_id),
+l0 AS (SELECT chunk_id, 0 AS depth, 'start' AS rel, NULL::VARCHAR AS via FROM starts),
+l1 AS (SELECT dst AS chunk_id, 1 AS depth, rel, src AS via FROM (SELECT src, dst, rel, ord FROM edges UNION ALL SELECT src, dst, rel, ord FROM linked) WHERE src IN (SELECT chunk_id FROM l0) AND dst NOT IN (SELECT chunk_id FROM l0) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY ord, src) = 1),
+l2 AS (SELECT dst AS chunk_id, 2 AS depth, rel, src AS via FROM edges WHERE src IN (SELECT chunk_id FROM l1) AND dst NOT IN (SELECT chunk_id FROM l0 UNION ALL SELECT chunk_id FROM l1) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY ord, src) = 1)"""
+
+
+@query(f"WITH {_LINKING} SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2")
+def traverse_linked(spark, d):
+    """From the second turn of every fiftieth conversation: chunk relations, and at the first level the conversations that it names."""
+    c = turns(spark, d)
+    conv, turn = F.regexp_extract("chunk_id", r"^conv-(\d+)/", 1).cast("long"), F.col("seq")
+    # every turn names four conversations, in other letters; the first three count
+    c = c.withColumn("contains_links", F.transform(F.sequence(F.lit(2), F.lit(5)), lambda m: F.concat(F.lit("CONVERSATION "), (conv * m + turn).cast("string"))))
+    n = c.select("note_id").distinct().withColumns({"title": F.replace("note_id", F.lit("conv-"), F.lit("conversation ")), "stem": F.col("note_id")})
+    starts = c.filter((conv % 50 == 0) & (turn == 1)).select("chunk_id")
+    return graph.traverse(structure.chunk_edges(c), starts, 2, graph.content_links(starts, c, n))
+
+
 @query(f"""WITH {TURNS}, {EDGES}, here AS (SELECT note_id AS n, seq AS s FROM chunks WHERE chunk_id = 'conv-1/chunk_1')
   SELECT chunk_id, CASE WHEN seq = s THEN 'target' WHEN seq < s THEN 'previous' ELSE 'next' END AS role, abs(seq - s)::BIGINT AS distance FROM chunks, here WHERE note_id = n AND abs(seq - s) <= 2
   UNION ALL SELECT dst, rel, 0 FROM edges WHERE src = 'conv-1/chunk_1' AND rel IN ('parent', 'child')""")
@@ -574,7 +601,7 @@ _WEIGHT = "CASE rel WHEN 'sequential_next' THEN 0.8 WHEN 'sequential_prev' THEN
 
 @query(f"WITH {TURNS}, {EDGES} SELECT src, dst, rel, round(({_WEIGHT})::DOUBLE * pow(0.8::DOUBLE, ord - 1), 9) AS weight FROM edges")
 def rel_weight(spark, d):
-    return structure.chunk_edges(turns(spark, d)).select("src", "dst", "rel", F.round(scoring.relation_weight(F.col("rel"), F.col("ord") - 1), 9).alias("weight"))
+    return graph.steps(structure.chunk_edges(turns(spark, d))).select("src", "dst", "rel", F.round(scoring.relation_weight(F.col("rel"), F.col("ord") - 1), 9).alias("weight"))
 
 
 _NAMED = " OR ".join(f"contains(lower(header_text), '{t}')" for t in QUERY_TEXT.lower().split())
@@ -753,6 +780,71 @@ def expand_context(spark, d):
     return table(spark, d, "documents").select("doc_id", text.sentences_with(F.col("text"), ["the", "que"], False).alias("found"))
 
 
+# --- many questions in one plan -------------------------------------------------------------------
+
+_W = "[\\pL\\pN_]+"
+_ENTITY = f"list_transform(regexp_extract_all(question, '(?i)(?:#{_W}|tag[s]?\\s*[:=]\\s*{_W}|tagged\\s+with\\s+{_W})'), lambda m: regexp_extract(m, '({_W})$', 1))"
+
+
+def _tag_score_of(e: str) -> str:
+    """The score of tag t for the entity in column ``e``, in lower case."""
+    return _tag_score("@").replace("'@'", e)
+
+
+def _routing(c: str) -> str:
+    hit = {n: f"regexp_matches({c}, '(?i){p}')" for n, p in _INTENT.items()}
+    none = " AND ".join(f"NOT {h}" for h in hit.values())
+    return f"""CASE WHEN {hit['categorical']} THEN 'categorical' WHEN {hit['relationship']} THEN 'graph' WHEN {none} THEN 'semantic' WHEN {hit['specific']} THEN 'specific' ELSE 'semantic' END AS kind,
+      CASE WHEN {hit['categorical']} AND {hit['semantic']} THEN 'hybrid' WHEN {hit['categorical']} THEN 'tag' WHEN {hit['relationship']} THEN 'graph' ELSE 'vector' END AS strategy"""
+
+
+#: Turns of every fiftieth conversation as questions of four kinds, with the vector of the same number.
+_MANY = f"""{PASSAGES}, {EDGES}, q0 AS (SELECT conv_id || '-' || turn AS qid, ['', 'notes tagged with src3 ', 'what links to ', 'explain the idea of #de '][1 + turn % 4] || coalesce(text, '') AS question, e.embedding::DOUBLE[] AS a
+  FROM conversations LEFT JOIN embeddings e ON e.vec_id = conv_id + turn WHERE conv_id % 50 = 0),
+q AS (SELECT *, {_routing('question')}, CASE WHEN len({_ENTITY}) > 0 THEN {_ENTITY} ELSE list_filter(regexp_split_to_array(question, '\\s+'), lambda w: length(w) > 2)[1:3] END AS entities FROM q0),
+pairs AS (SELECT qid, strategy, chunk_id, round(list_cosine_distance(a, embedding::DOUBLE[]), 9) AS distance FROM q JOIN chunks ON a IS NOT NULL AND strategy <> 'tag'),
+found AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) <= CASE strategy WHEN 'vector' THEN 6 ELSE 3 END),
+ents AS (SELECT qid, strategy, len(entities) AS many, unnest(range(1, len(entities) + 1)) AS i, lower(unnest(entities)) AS e FROM q WHERE strategy IN ('tag', 'hybrid')),
+kinds AS (SELECT DISTINCT lower(tag) AS t FROM (SELECT unnest(tags) AS tag FROM chunks)), of_chunk AS (SELECT DISTINCT chunk_id, lower(unnest(tags)) AS t FROM chunks),
+matched AS (SELECT e, t, {_tag_score_of('e')} AS s FROM (SELECT DISTINCT e FROM ents) JOIN kinds ON true),
+best_tag AS (SELECT qid, strategy, many, i, chunk_id, max(s) AS s FROM ents JOIN matched USING (e) JOIN of_chunk USING (t) GROUP BY ALL),
+tagged AS (SELECT qid, strategy, chunk_id, round(sum(s)::DOUBLE / many, 9) AS score FROM best_tag GROUP BY qid, strategy, many, chunk_id HAVING sum(s) > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 6),
+beside AS (SELECT src, dst, rel, ord, c.importance_score AS i, row_number() OVER (PARTITION BY src ORDER BY ord, dst) AS n FROM edges JOIN chunks c ON c.chunk_id = dst),
+hits AS (SELECT qid, chunk_id, distance, 1 - distance AS final_score, 'vector_search' AS retrieval_method, []::VARCHAR[] AS relationships, 0 AS ord FROM found
+  UNION ALL SELECT qid, chunk_id, 1 - score, score, 'tag_search', []::VARCHAR[], 0 FROM tagged WHERE strategy = 'tag'
+  UNION ALL SELECT qid, chunk_id, 1 - score, score, 'tag_search', []::VARCHAR[], 9 FROM (SELECT * FROM tagged WHERE strategy = 'hybrid' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 2)
+  UNION ALL SELECT qid, dst, 1 - i, i, 'graph_traversal', [rel], ord FROM found JOIN beside ON src = chunk_id WHERE strategy = 'graph' AND n <= 3
+  UNION ALL SELECT qid, dst, 1 - i, i, 'graph_traversal', [rel], ord FROM (SELECT * FROM found WHERE strategy = 'hybrid' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) = 1) JOIN beside ON src = chunk_id WHERE n <= 5),
+one AS (SELECT qid, chunk_id, distance, final_score, retrieval_method FROM hits QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY coalesce(final_score, 0) DESC, ord) = 1),
+rels AS (SELECT qid, chunk_id, list_sort(list_distinct(flatten(list(relationships)))) AS relationships FROM hits GROUP BY qid, chunk_id),
+top AS (SELECT *, round(coalesce(final_score, 1 - distance, 0)::DOUBLE, 9) AS rank_score, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(final_score, 1 - distance, 0)::DOUBLE, 9) DESC, chunk_id) AS place FROM one JOIN rels USING (qid, chunk_id))"""
+
+
+def _questions(spark, d):
+    c = table(spark, d, "conversations").filter("conv_id % 50 = 0")
+    lead = F.element_at(F.array(F.lit(""), F.lit("notes tagged with src3 "), F.lit("what links to "), F.lit("explain the idea of #de ")), (1 + F.col("turn") % 4).cast("int"))
+    asked = c.select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("question"), (F.col("conv_id") + F.col("turn")).alias("vec_id"))
+    return asked.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+
+
+@query(f"WITH {_MANY} SELECT qid, chunk_id, place::INT AS place, round(rank_score, 6) AS rank_score, retrieval_method, relationships FROM top WHERE place <= 6")
+def smart_search_many(spark, d):
+    """Every turn of every fiftieth conversation as a question, each by its own strategy, in one plan."""
+    c = passages(spark, d)
+    found = questions.answered(_questions(spark, d), c, structure.chunk_edges(c), 6)
+    return found.select("qid", "chunk_id", "place", F.round("rank_score", 6).alias("rank_score"), "retrieval_method", "relationships")
+
+
+@query(f"""WITH {_MANY}, m AS (SELECT qid, avg(distance) AS mean, count(*) AS n FROM top WHERE place <= 6 GROUP BY qid), c AS (SELECT qid, kind, mean, coalesce(n, 0) AS n, coalesce(greatest(0.0, least(1.0, 1 - mean)), 0) AS confidence FROM q LEFT JOIN m USING (qid))
+  SELECT qid, round(confidence, 6)::DOUBLE AS confidence, CASE WHEN n = 0 OR confidence < 0.55 THEN 'degraded' ELSE 'ok' END AS status,
+  CASE WHEN n = 0 OR confidence < 0.55 THEN list_concat(['rephrase_question'], CASE WHEN coalesce(mean, 1) > 0.55 THEN ['add_entities'] ELSE [] END, CASE WHEN kind IN ('categorical', 'graph') THEN ['narrow_with_tag'] ELSE [] END) END AS advice FROM c""")
+def smart_status_many(spark, d):
+    """Confidence, status and advice of each of those questions."""
+    c, asked = passages(spark, d), _questions(spark, d)
+    found = questions.answered(asked, c, structure.chunk_edges(c), 6)
+    return questions.statuses(asked, found).withColumn("confidence", F.round("confidence", 6))
+
+
 # --- time ---------------------------------------------------------------------------------------
 
 for _name, _phrase, _sql in (
@@ -1041,7 +1133,7 @@ def protected_paths(spark, d):
 @query(f"WITH {TURNS}, {EDGES} SELECT src, dst, rel, row_number() OVER (PARTITION BY src ORDER BY ord, dst)::INT AS place FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY ord, dst) <= 3")
 def first_neighbors(spark, d):
     c = turns(spark, d)
-    return graph.first_neighbors(structure.chunk_edges(c), 3).select("src", "dst", "rel", "place")
+    return graph.first_neighbors(graph.steps(structure.chunk_edges(c), per_class=3), 3).select("src", "dst", "rel", "place")
 
 
 @query()

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom import tables
 from noteloom.operators import chunking, structure
-from noteloom.operators.mutations import upsert_notes
-from noteloom.operators.notes import note_tags, resolve_links
+from noteloom.operators.mutations import archived_path, unclashed, upsert_notes
+from noteloom.operators.notes import linking_to, names_of, note_tags, resolve_links
+from noteloom.schema import ARCHIVE_FOLDER
 from noteloom.sources import vault
+from noteloom.store import BUCKETS, Change, Store
+from noteloom.tables import written
 
 
 @dataclass(frozen=True)
@@ -71,3 +74,65 @@ def refreshed(index: Index, fresh: DataFrame) -> Index:
     notes = upsert_notes(index.notes, fresh.select(index.notes.columns))
     chunks = upsert_notes(index.chunks, chunked(fresh).select(index.chunks.columns))
     return Index(notes, note_tags(notes), resolve_links(notes), chunks, structure.chunk_edges(chunks))
+
+
+# --- the index as a store that is changed note by note -------------------------------------------
+
+#: What the rows of each table are dealt by: their note.
+KEYS = {"notes": "note_id", "tags": "note_id", "edges": "src", "chunks": "note_id", "chunk_edges": "regexp_extract(src, '^(.*)/chunk_[0-9]+$', 1)"}
+
+
+def store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Store:
+    return Store(spark, root, KEYS, buckets)
+
+
+def put(to: Store, index: Index) -> int:
+    """A whole index as a version of the store."""
+    before = {n: to.read(n).select(F.expr(KEYS[n]).alias("key")) for n in KEYS} if to.versions() else {}
+    return to.commit({n: Change(before.get(n), df) for n, df in vars(index).items()})
+
+
+def get(of: Store, version: int | None = None) -> Index:
+    """The index as of a version, by default the newest."""
+    return Index(*[of.read(n, version=version) for n in KEYS])
+
+
+def refresh(to: Store, fresh: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+    """Notes replaced or added (``fresh``), and notes deleted (``gone``: note_id), as one version over all tables.
+
+    Links are resolved anew for the fresh notes and for those whose links name one of
+    the notes concerned, as it was or as it is; only the buckets of these are written.
+    """
+    notes = to.read("notes")
+    fresh = to.spark.createDataFrame([], notes.schema) if fresh is None else written(fresh.select(notes.columns), "fresh")
+    ids = fresh.select(F.col("note_id").alias("key"))
+    ids = written((ids if gone is None else ids.unionByName(gone.select(F.col("note_id").alias("key")))).distinct(), "changed")
+    rest = notes.join(ids, notes["note_id"] == ids["key"], "left_anti")
+    old = notes.join(ids, notes["note_id"] == ids["key"], "left_semi")
+    touched = written(linking_to(rest, names_of(old.select("title", "stem").unionByName(fresh.select("title", "stem")))), "touched")
+    after = rest.unionByName(fresh)
+    sources = fresh.unionByName(rest.join(touched, "note_id", "left_semi").select(notes.columns))
+    chunks = written(chunked(fresh).select(to.read("chunks").columns), "chunks")
+    return to.commit({
+        "notes": Change(ids, fresh),
+        "tags": Change(ids, note_tags(fresh)),
+        "edges": Change(ids.unionByName(touched.select(F.col("note_id").alias("key"))), resolve_links(after, sources)),
+        "chunks": Change(ids, chunks),
+        "chunk_edges": Change(ids, structure.chunk_edges(chunks)),
+    })
+
+
+def archive(to: Store, ids: DataFrame, folder: str = ARCHIVE_FOLDER, stamp: str = "archived") -> int:
+    """Notes (note_id) moved to the archive folder: path, tags, chunks and the links of and to them change together or not at all.
+
+    Where a path is taken already, also by another note that moves, the name gets a stamp or a number.
+    """
+    notes = to.read("notes")
+    moving = written(notes.join(ids.select("note_id").distinct(), "note_id", "left_semi").select(notes.columns), "moving")
+    named = moving.select(F.col("note_id").alias("old"), archived_path(F.col("note_id"), folder).alias("path"))
+    staying = notes.join(moving.select("note_id"), "note_id", "left_anti").select(F.col("note_id").alias("path"))
+    named = unclashed(named, staying, stamp)
+    again = F.row_number().over(Window.partitionBy("path").orderBy("old"))
+    named = named.withColumn("again", again).select("old", F.when(F.col("again") > 1, F.regexp_replace("path", F.lit(r"^(.*?)(\.[^./]*)?$"), F.concat(F.lit("$1 "), F.col("again").cast("string"), F.lit("$2")))).otherwise(F.col("path")).alias("new"))
+    fresh = moving.join(named, moving["note_id"] == named["old"]).withColumns({"note_id": F.col("new"), **({"path": F.col("new")} if "path" in notes.columns else {})})
+    return refresh(to, fresh.select(notes.columns), moving.select("note_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom import tables
+from noteloom.store import BUCKETS, Change, Store
 
 
 def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64, name: str = "*.parquet") -> DataFrame:
@@ -35,31 +36,27 @@ def matching(batch: DataFrame, extensions: tuple[str, ...] = (".md",), path: str
     return batch.filter(suffix.isin([e.lower() for e in extensions]) & ~at.rlike(r"(^|/)\.[^/]"))
 
 
-def upsert_sink(table: str, key: str = "note_id", time: str = "changed_at", gone: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch becomes one version of the table (folder v{n}), old rows kept unless changed.
+def upsert_sink(table: str, key: str = "note_id", time: str = "changed_at", gone: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch becomes one version of the table, of which only the buckets with changed keys are written.
 
     ``gone`` names a boolean column that marks deletions: a key whose last change
-    is one leaves the table.  A version depends only on its batch and the version
-    before, so a batch that is run again writes the same; ``current`` reads the
+    is one leaves the table.  A batch that is run again finds its version complete; ``current`` reads the
     newest complete version, and all but two are dropped.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_change(batch, key, time)
-        before = current(spark, table, number)
+        fresh = tables.written(last_change(batch, key, time), "fresh")
         here = fresh if gone is None else fresh.filter(~F.coalesce(F.col(gone), F.lit(False)))
-        merged = here if before is None else before.join(fresh.select(key), key, "left_anti").select(fresh.columns).unionByName(here)
-        merged.write.mode("overwrite").parquet(f"{table}/v{number}")
-        tables.expired(spark, table)
+        Store(batch.sparkSession, table, {"rows": key}, buckets).commit({"rows": Change(fresh.select(F.col(key).alias("key")), here)}, number)
+        tables.discard(fresh)
 
     return run
 
 
-def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
-    """Newest complete version (below a number) of an upserted table."""
-    done = tables.versions(spark, table, below)
-    return spark.read.parquet(f"{table}/v{done[-1]}") if done else None
+def current(spark: SparkSession, table: str, version: int | None = None) -> DataFrame | None:
+    """The newest complete version (or a given one) of an upserted table; none before the first."""
+    store = Store(spark, table, {"rows": ""})
+    return store.read("rows", version=version) if store.versions() else None
 
 
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "note_id", time: str = "changed_at", gone: str | None = None) -> None:

@@ -92,6 +92,18 @@ def test_structure_against_loops(chunks):
     up = lambda c: parent.get(c[0], (None,))[0]
     pairs = {(a[0], b[0]) for cs in by_note.values() for a in cs for b in cs if a[0] != b[0] and a[3] and a[3] == b[3] and up(a) == up(b)}
     assert {(r.src, r.dst) for r in structure.sibling_edges(df).collect()} == pairs
+    # the same as classes: a row each, spelled out only for chunks that are asked for
+    edges = structure.chunk_edges(df)
+    assert edges.filter("rel = 'sibling'").count() == sum(c[3] is not None for c in rows)
+    assert {(r.src, r.dst) for r in graph.steps(edges).filter("rel = 'sibling'").collect()} == pairs
+    asked = df.filter("seq < 2").select(F.col("chunk_id").alias("src"))
+    ids = {r.src for r in asked.collect()}
+    assert {(r.src, r.dst) for r in graph.steps(edges, asked).filter("rel = 'sibling'").collect()} == {p for p in pairs if p[0] in ids}
+    few = {}
+    for a, b in sorted(pairs):
+        few.setdefault(a, []).append(b)
+    got = graph.first_neighbors(graph.steps(edges, asked, 2).filter("rel = 'sibling'"), 2).collect()
+    assert {(r.src, r.dst) for r in got} == {(a, b) for a, bs in few.items() if a in ids for b in bs[:2]}
     steps = {(a[0], b[0]) for cs in by_note.values() for a, b in zip(cs, cs[1:])}
     seq = structure.sequential_edges(df)
     assert {(r.src, r.dst) for r in seq.filter("rel = 'sequential_next'").collect()} == steps
@@ -131,7 +143,7 @@ def test_traversal_depth(chunks):
     start = df.filter("seq = 0").select("chunk_id").limit(1)
     depth = {r.chunk_id: r.depth for r in graph.traverse(edges, start, 2).collect()}
     ends: dict = {}
-    for r in edges.collect():
+    for r in graph.steps(edges).collect():
         ends.setdefault(r.src, set()).add(r.dst)
     seen = {start.first().chunk_id: 0}
     frontier = set(seen)
