@@ -212,19 +212,25 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Chain:
     return chain
 
 
+#: Bytes of a text that a classifier may be fitted on.
+TRAIN_BYTES = 1 << 16
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Whole texts and labels of at most ``per_class`` training rows of each class, the least by hash of the id.
 
     Training rows: crc32 of the id as text is not 0 modulo 5.  The ids are chosen
     from the narrow label table before any text is read.  Of rows that share an id
-    the text with the least hash is taken, however the rows are dealt out.
+    the text with the least hash is taken, however the rows are dealt out.  Texts of
+    more than TRAIN_BYTES are not learnt from (they are scored like all others), so
+    what reaches the driver is bounded by 2 per_class TRAIN_BYTES.
     """
     marked = labels.select("doc_id", F.col(name).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
         part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = texts_of(docs, id_col, text_col).filter("doc_id is not null").join(F.broadcast(chosen), "doc_id")
+    texts = texts_of(docs, id_col, text_col).filter("doc_id is not null").filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
     rows = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").toArrow()
     return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(int)
 

@@ -2,10 +2,11 @@
 
 A word enters as two vectors: its own (frequent training words; all others share
 one) and the mean of its hashed character trigrams, so unseen spellings still
-carry signal.  Overlapping windows of ``WINDOW`` words at every ``STRIDE`` words
+carry signal.  All windows of ``WINDOW`` words, one from every word on,
 run through a forward and a backward GRU; attention pools their states, a
 logistic unit scores the pool, and a document's score is that of its most toxic
-window.  Everything is numpy; gradients are written out below.
+window.  Neighbouring windows advance side by side, so that step t of all of
+them reads one stretch of the text.  Everything is numpy; gradients are written out below.
 
 Training uses a bounded sample of labelled documents (``TRAIN_ROWS`` per class,
 the least by hash of their ids).  Labels are of documents, so windows are mined:
@@ -21,7 +22,7 @@ tables give no rows; labels, language, source and id are no inputs.
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from noteloom.llm.quality_crf import Adam, labelled_sample
 
 #: Labelled documents of each class that the network is fitted on, at most.
 TRAIN_ROWS = 2000
-WINDOW, STRIDE = 32, 16
+WINDOW = 8
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 6, 6
 #: Words with vectors of their own, and buckets of character trigrams.
 VOCABULARY, TRIGRAMS = 20_000, 1 << 15
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 4, 3, 256, 0.02, 11
-#: Windows that run through the network at a time.
-CHUNK = 8192
+#: Windows that run through the network at a time, so that their states stay in a core's cache.
+CHUNK = 4096
 
 _KEEP = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 or b in b"@$!*" else 32 for b in range(256))
 
@@ -67,12 +68,9 @@ def trigrams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), np.cumsum(n) - n
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """(start, end) of overlapping windows of n words, one at every STRIDE words and one at the end; together they cover every word."""
-    if n <= WINDOW:
-        return [(0, n)]
-    out = [(s, s + WINDOW) for s in range(0, n - WINDOW, STRIDE)]
-    return [*out, (n - WINDOW, n)]
+def windows(n: int) -> int:
+    """Number of windows of a text of n words: one from every word on that has WINDOW words left, or one of all words."""
+    return max(1, n - WINDOW + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -167,30 +165,62 @@ class Network:
             d_x += d_gates @ p[f"W{k}"].T
         return g, d_x
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-        """(logit per window, first window of each text, (text, start, end) per window) over whole texts."""
+    def sliding(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logit of the window from every place of ``ids`` (numbers of words, WINDOW at least); what ``forward`` gives for each.
+
+        States stand feature by feature; the gates' sigmoid is a tangent of half
+        the input, so the halves are taken of the weights once.
+        """
+        half = np.concatenate([np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
+        gates = {k: np.ascontiguousarray(((x @ self.p[f"W{k}"] + self.p[f"c{k}"]) * half).T) for k in "fb"}
+        own = {k: np.ascontiguousarray((self.p[f"U{k}"] * half).T) for k in "fb"}
+        attend, a, v, w = np.ascontiguousarray(self.p["A"].T), self.p["a"][:, None], self.p["v"], self.p["w"]
+        out = np.empty(len(ids) - WINDOW + 1, np.float32)
+        for begin in range(0, len(out), CHUNK):
+            m = min(CHUNK, len(out) - begin)
+            part = ids[begin : begin + m + WINDOW - 1]
+            states = np.empty((WINDOW, 2 * HIDDEN, m), np.float32)
+            for k, row, steps in (("f", 0, range(WINDOW)), ("b", HIDDEN, range(WINDOW - 1, -1, -1))):
+                g, u, h = gates[k][:, part], own[k], np.zeros((HIDDEN, m), np.float32)
+                for t in steps:
+                    zr = np.tanh(g[: 2 * HIDDEN, t : t + m] + u[: 2 * HIDDEN] @ h)
+                    zr = 0.5 * zr + np.float32(0.5)
+                    c = np.tanh(g[2 * HIDDEN :, t : t + m] + u[2 * HIDDEN :] @ (zr[HIDDEN:] * h))
+                    h = h + zr[:HIDDEN] * (c - h)
+                    states[t, row : row + HIDDEN] = h
+            e = np.stack([v @ np.tanh(attend @ s + a) for s in states])
+            e = np.exp(e - e.max(axis=0))
+            out[begin : begin + m] = (e * np.stack([w @ s for s in states])).sum(axis=0) / e.sum(axis=0) + self.p["b"][0]
+        return out
+
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(logit of every window, first window of each text) over whole texts."""
         number: dict[bytes, int] = {}
-        flat: list[int] = []
-        spans, first, begin = [], [], 0
-        for k, t in enumerate(texts):
-            w = words(t) or [b" "]
-            flat += [number.setdefault(x, len(number)) for x in w]
-            first.append(len(spans))
-            spans += [(k, begin + s, begin + e) for s, e in windows(len(w))]
-            begin += len(w)
+        held = [[number.setdefault(x, len(number)) for x in words(t) or [b" "]] for t in texts]
         x = self.embed(self.lookup(list(number)))
-        flat_at = np.array(flat + [0] * WINDOW, dtype=np.int64)
-        span = np.array(spans, dtype=np.int64)
-        out = np.empty(len(span), np.float32)
-        for i in range(0, len(span), CHUNK):
-            at = flat_at[span[i : i + CHUNK, 1, None] + np.arange(WINDOW)]
-            mask = (np.arange(WINDOW) < (span[i : i + CHUNK, 2] - span[i : i + CHUNK, 1])[:, None]).astype(np.float32)
-            out[i : i + CHUNK] = self.forward(x, at, mask)
-        return out, np.array(first), spans
+        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+        many = np.maximum(1, size - WINDOW + 1)
+        first = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.float32)
+        long = np.flatnonzero(size >= WINDOW)
+        if len(long):
+            every = self.sliding(x, np.fromiter(chain.from_iterable(held[k] for k in long), dtype=np.int64))
+            # windows that run from one text into the next are left out
+            begin = np.cumsum(size[long]) - size[long]
+            of = np.repeat(np.arange(len(long)), many[long])
+            step = np.arange(len(of)) - np.repeat(np.cumsum(many[long]) - many[long], many[long])
+            out[first[long][of] + step] = every[begin[of] + step]
+        short = np.flatnonzero(size < WINDOW)
+        for i in range(0, len(short), CHUNK):
+            part = short[i : i + CHUNK]
+            at, mask = np.zeros((len(part), WINDOW), np.int64), (np.arange(WINDOW) < size[part, None]).astype(np.float32)
+            at[mask > 0] = np.concatenate([held[k] for k in part])
+            out[first[part]] = self.forward(x, at, mask)
+        return out, first
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of each text's most toxic window."""
-        logit, first, _ = self.logits(texts)
+        logit, first = self.logits(texts)
         return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, first).astype(float), -40, 40)))
 
 
@@ -213,13 +243,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, epochs: in
     for turn in range(rounds):
         picked, target = [], []
         for i in range(0, len(texts), 100):
-            logit, first, _ = net.logits(texts[i : i + 100]) if turn else (np.empty(0), np.zeros(len(texts[i : i + 100]), int), [])
+            logit, first = net.logits(texts[i : i + 100]) if turn else (np.empty(0), np.zeros(len(texts[i : i + 100]), int))
             for ids, value, y in zip(flat[i : i + 100], np.split(logit, first[1:]), labels[i : i + 100]):
-                cut = windows(len(ids))
-                v = value if turn else np.array([hint[ids[s:e]].max() for s, e in cut])
+                wide = min(WINDOW, len(ids))
+                v = value if turn else np.lib.stride_tricks.sliding_window_view(hint[ids], wide).max(axis=1)
                 order = np.argsort(-v, kind="stable")
-                for k in order[:1] if y else {*order[:2].tolist(), int(r.integers(len(cut)))}:
-                    picked.append(ids[cut[k][0] : cut[k][1]])
+                for k in order[:1] if y else {*order[:2].tolist(), int(r.integers(windows(len(ids))))}:
+                    picked.append(ids[k : k + wide])
                     target.append(y)
         target = np.array(target, dtype=np.float32)
         weight = np.where(target == 1, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)

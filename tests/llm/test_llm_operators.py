@@ -391,13 +391,23 @@ def test_network_gradients():
     assert (hi - value()) / 2e-4 == pytest.approx(d_x[0, 1], abs=2e-3)
 
 
-def test_windows_cover_everything():
-    for n in (0, 1, 31, 32, 33, 47, 48, 49, 500):
-        spans = tox.windows(n)
-        assert spans[0][0] == 0
-        assert spans[-1][1] == n
-        assert all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
-        assert all(e - s <= tox.WINDOW for s, e in spans)
+def test_every_window_is_scored():
+    """One window from every word on, each with the logit that it has by itself; short texts are one window."""
+    net = tox.Network([b"aa", b"bb", b"cc"], np.array([1.0, -1.0, 0.5]), seed=2)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", "dd", "é", "x1"]) for _ in range(n)) for n in (0, 1, tox.WINDOW - 1, tox.WINDOW, tox.WINDOW + 1, 40, 5, 3 * tox.CHUNK // 2)]
+    logit, first = net.logits(texts)
+    assert first.tolist() == np.concatenate([[0], np.cumsum([tox.windows(len(tox.words(t))) for t in texts])[:-1]]).tolist()
+    for k, t in enumerate(texts):
+        w = tox.words(t) or [b" "]
+        for s in range(tox.windows(len(w))) if len(w) < 1000 else (0, 1, tox.CHUNK - 1, tox.CHUNK, len(w) - tox.WINDOW):
+            own = w[s : s + tox.WINDOW]
+            at = np.zeros((1, tox.WINDOW), np.int64)
+            at[0, : len(own)] = np.arange(len(own))
+            mask = (np.arange(tox.WINDOW) < len(own)).astype(np.float32)[None, :]
+            alone = net.forward(net.embed(net.lookup(own)), at, mask)[0]
+            assert abs(alone - logit[first[k] + s]) < 1e-4
+    assert len(logit) == sum(tox.windows(len(tox.words(t))) for t in texts)
 
 
 # --- 5 ------------------------------------------------------------------------------------------
