@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noteloom import tables
 from noteloom.functions import intent as intents
 from noteloom.functions import scoring, text, timerange
-from noteloom.operators import chunking, filters, graph, mutations, questions, search, stats, structure
+from noteloom.operators import chunking, filters, graph, mutations, questions, search, sections, stats, structure
 from noteloom.operators import notes as note_ops
 from noteloom.plans import base as bases
 from noteloom.plans.bridge import EDGES, LINKS, NEAR, NOTE_TAGS, NOTES, PASSAGES, TURNS, links, notes, passages, table, turns
@@ -356,14 +356,34 @@ def block_runs(spark, d):
     return chunking.block_runs(chunking.line_types(table(spark, d, "documents"), "doc_id"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n FROM documents),
+  ends(doc_id, k, b1, stop) AS (
+    SELECT doc_id, 0, 0, CASE WHEN n <= 1800 THEN n ELSE CASE WHEN 1800 - strpos(reverse(translate(substr(x, 1, 1800), chr(10), ' ')), ' ') > 0 AND strpos(translate(substr(x, 1, 1800), chr(10), ' '), ' ') > 0
+      THEN 1800 - strpos(reverse(translate(substr(x, 1, 1800), chr(10), ' ')), ' ') ELSE 1800 END END FROM t
+    UNION ALL SELECT doc_id, k + 1, b2, CASE WHEN b2 + 1800 >= n THEN n WHEN strpos(w, ' ') > 0 AND 1800 - strpos(reverse(w), ' ') > 0 THEN b2 + 1800 - strpos(reverse(w), ' ') ELSE b2 + 1800 END
+      FROM (SELECT e.doc_id, k, n, greatest(b1 + 1, stop - 200) AS b2, translate(substr(x, greatest(b1 + 1, stop - 200) + 1, 1800), chr(10), ' ') AS w FROM ends e JOIN t USING (doc_id) WHERE b1 + 1800 < n)),
+  cut AS (SELECT doc_id, k, CASE WHEN n <= 1800 THEN x ELSE regexp_replace(substr(x, b1 + 1, stop - b1), '^\s+|\s+$', '', 'g') END AS content, n FROM ends JOIN t USING (doc_id)),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq FROM cut WHERE n <= 1800 OR content <> '')
+  SELECT doc_id::VARCHAR AS note_id, doc_id || '#chunk=' || seq AS chunk_id, seq::INT AS seq, content FROM kept""")
 def chunk_char(spark, d):
     return chunking.character_chunks(table(spark, d, "documents"), "doc_id")
 
 
+@query(r"""WITH l AS (SELECT doc_id AS note_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+  f AS (SELECT *, sum(starts_with(content, '```')::INT) OVER (PARTITION BY note_id ORDER BY line) AS fences FROM l),
+  h AS (SELECT *, fences % 2 = 0 AND regexp_matches(content, '^#{1,6}\s+.+$') AS head FROM f), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY note_id ORDER BY line) AS section FROM h),
+  g AS (SELECT note_id, section::INT AS section, min(line)::INT AS start_line, max(line)::INT AS end_line, (sum(length(content) + 1) - 1)::BIGINT AS size, max(CASE WHEN head THEN length(regexp_extract(content, '^(#{1,6})\s', 1)) END)::INT AS level,
+    max(CASE WHEN head THEN regexp_replace(regexp_extract(content, '^#{1,6}\s+(.+)$', 1), '^\s+|\s+$', '', 'g') END) AS title FROM s GROUP BY note_id, section)
+  SELECT g.*, (SELECT p.title FROM g p WHERE p.note_id = g.note_id AND p.section < g.section AND p.level < g.level ORDER BY p.section DESC LIMIT 1) AS above FROM g""")
+def note_sections(spark, d):
+    """Every document's sections: lines, size, header and the header above it."""
+    found = sections.sections(sections.lines_in_sections(table(spark, d, "documents"), "doc_id"))
+    return found.select(F.col("note_id").cast("long").alias("note_id"), "section", "start_line", "end_line", "size", "level", "title", F.try_element_at("above", F.lit(-1)).alias("above"))
+
+
 @query()
 def chunk_semantic(spark, d):
-    return structure.with_importance(chunking.chunk_notes(table(spark, d, "documents"), "doc_id"))
+    return structure.with_importance(sections.chunk_notes(table(spark, d, "documents"), "doc_id"))
 
 
 @query("SELECT 'doc-' || doc_id AS note_id, '## Intro' || chr(10) || chr(10) || 'new' || chr(10) || chr(10) || '## Body' || chr(10) || coalesce(text, '') AS text FROM documents")
@@ -1083,27 +1103,16 @@ def stream_debounced(spark, d):
 @query()
 def pack_paragraphs(spark, d):
     """(doc_id, place, content): texts above the chunk limit split at natural boundaries."""
-    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame([(i, k, c) for i, t in zip(pdf.doc_id, pdf.text) for k, c in enumerate(chunking.split_large(t))], columns=["doc_id", "place", "content"])
-
-    return rows.mapInPandas(run, "doc_id long, place int, content string")
+    text_ = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(sections.split_large(text_)).alias("place", "content"))
 
 
 @query(r"""SELECT conv_id, turn, regexp_matches(lower(text), 'how.*(?:relate|connect|influence|lead|cause)') OR regexp_matches(lower(text), 'what.*(?:relationship|connection|difference|similarity)')
   OR regexp_matches(lower(text), 'explain.*(?:why|how|relationship|connection)') OR regexp_matches(lower(text), 'compare.*(?:and|with|to|between)') OR regexp_matches(lower(text), 'trace.*(?:development|evolution|history|progression)')
-  OR regexp_matches(lower(text), 'analyze.*(?:impact|effect|influence|relationship)') OR length(text) - length(replace(text, '?', '')) > 1 OR contains(lower(text), ' and ') AS plain FROM conversations""")
+  OR regexp_matches(lower(text), 'analyze.*(?:impact|effect|influence|relationship)') OR length(text) - length(replace(text, '?', '')) > 1 OR contains(lower(text), ' and ')
+  OR len(list_filter(string_split(regexp_replace(regexp_replace(' ' || regexp_replace(text, '([\pL\pN_]+)', ' \1 ', 'g') || ' ', ' [A-Z][a-z]+ (?:\s*)', chr(1), 'g'), chr(1) || '+', chr(1), 'g'), chr(1)), lambda x: true)) > 3 AS agent FROM conversations""")
 def wants_agent(spark, d):
-    """Without the test for names, which SQL has no look-behind for."""
-    low = F.lower("text")
-    from functools import reduce
-
-    pattern = reduce(lambda a, b: a | b, [low.rlike(p) for p in intents.AGENT_PATTERNS])
-    return table(spark, d, "conversations").select("conv_id", "turn", (pattern | (F.regexp_count("text", F.lit(r"\?")) > 1) | low.contains(" and ")).alias("plain"))
+    return table(spark, d, "conversations").select("conv_id", "turn", intents.wants_agent(F.col("text")).alias("agent"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(coalesce(text, ''), '[^\pL\pN_]+'))) AS w FROM documents)

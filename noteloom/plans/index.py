@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom import tables
-from noteloom.operators import chunking, structure
+from noteloom.operators import chunking, sections, structure
 from noteloom.operators.mutations import archived_path, unclashed, upsert_notes
 from noteloom.operators.notes import linking_to, names_of, note_tags, resolve_links
 from noteloom.schema import ARCHIVE_FOLDER
@@ -48,7 +48,7 @@ def chunked(notes: DataFrame, strategy: str = "semantic") -> DataFrame:
     if strategy != "semantic":
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     front = F.when(F.size("frontmatter") > 0, F.array_join(F.transform(F.map_entries("frontmatter"), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null")))), "\n"))
-    rows = chunking.chunk_notes(full.withColumn("front", front) if "frontmatter" in full.columns else full, front_col="front" if "frontmatter" in full.columns else None)
+    rows = sections.chunk_notes(full.withColumn("front", front) if "frontmatter" in full.columns else full, front_col="front" if "frontmatter" in full.columns else None)
     scored = structure.with_importance(rows)
     return scored.join(structure.context_links(scored), "chunk_id")
 

