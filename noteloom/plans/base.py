@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import re
 from dataclasses import dataclass, field
@@ -224,6 +225,21 @@ class Plan:
         at = F.array_position(listed, F.col("group"))
         return n.withColumn("place", F.row_number().over(Window.orderBy(F.when(at == 0, 1 << 30).otherwise(at), "group")))  # a row per group
 
+    def grouped(self, view_id: str | None = None, tie: str | None = None, limit: int | None = None) -> DataFrame:
+        """The view's rows under their groups: group, place (of the group), n (rows of the group), then the view's columns; in order of group and view.
+
+        With ``limit`` the first rows of the view are taken, and the groups are those of these rows.
+        """
+        v = self.view(view_id)
+        df = self.rows if limit is None else self.ordered(v, tie).limit(limit)
+        own = copy.copy(self)
+        own.rows = df
+        named = df.withColumn("__group", self.group_key(v))
+        sizes = own.groups(view_id).withColumnRenamed("group", "__group").withColumnsRenamed({"n": "__n", "place": "__place"})
+        keys = self.keys(v) + ([F.col(tie)] if tie else [])
+        rows = named.join(sizes, "__group").orderBy("__place", *keys)
+        return rows.select(F.col("__group").alias("group"), F.col("__place").alias("place"), F.col("__n").alias("n"), *[self.value(c["source"]).alias(c["id"]) for c in v.columns])
+
     def counts(self) -> DataFrame:
         return self.rows.agg(F.count(F.lit(1)).alias("filtered_count"))
 

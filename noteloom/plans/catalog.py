@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from noteloom import tables
 from noteloom.functions import intent as intents
 from noteloom.functions import scoring, text, timerange
-from noteloom.operators import chunking, filters, graph, mutations, questions, search, sections, stats, structure
+from noteloom.operators import chunking, examples, filters, graph, mutations, questions, rounds, search, sections, stats, structure
 from noteloom.operators import notes as note_ops
 from noteloom.plans import base as bases
+from noteloom.plans import index
 from noteloom.plans.bridge import EDGES, LINKS, NEAR, NOTE_TAGS, NOTES, PASSAGES, TURNS, links, notes, passages, table, turns
 from noteloom.plans.expr import Compiler, parse, schema_resolver
 from noteloom.streaming import feed, run
@@ -235,6 +236,13 @@ def base_group(spark, d):
     return _plan(spark, d).groups("main")
 
 
+@query(f"""WITH {_ORDERS}, g AS (SELECT o_orderstatus AS s, count(*) AS n, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderstatus)::INT AS place FROM o GROUP BY 1)
+  SELECT o_orderstatus AS "group", place, n, o_orderkey AS key, kilo, kilo > 300 AS large, label AS "label-text", date_diff('day', o_orderdate::DATE, DATE '2024-01-20')::DOUBLE AS days FROM o JOIN g ON s = o_orderstatus""")
+def base_grouped(spark, d):
+    """The rows of the view under their groups."""
+    return _plan(spark, d).grouped("main", "o_orderkey")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type ASC NULLS LAST, value DESC NULLS FIRST, event_id) AS place FROM events")
 def base_sort(spark, d):
     from pyspark.sql import Window
@@ -957,6 +965,84 @@ def eval_examples(spark, d):
     return turns(spark, d).filter("header_text <> ''").select("chunk_id", F.concat(F.lit("What does "), "header_text", F.lit(" say?")).alias("question"), F.lit("specific").alias("expected_intent"))
 
 
+_WAY = "(concat('0x', substr(md5(key), 1, 8))::BIGINT % 4)::INT + 1"
+
+
+@query(f"""WITH {TURNS}, {NOTE_TAGS.replace("notes AS", "doc_notes AS", 1).replace("FROM notes)", "FROM doc_notes)")},
+  n AS (SELECT DISTINCT note_id, replace(note_id, 'conv-', 'conversation ') AS title FROM chunks), first AS (SELECT note_id, min(chunk_id) AS chunk_id FROM chunks GROUP BY note_id),
+  e AS (SELECT a.note_id AS src, b.note_id AS dst FROM n a JOIN n b ON b.note_id = 'conv-' || (split_part(a.note_id, '-', 2)::BIGINT * 2 + 1)),
+  header AS (SELECT chunk_id AS key, header_text AS a, lower(header_text) AS l, chunk_id FROM chunks WHERE header_text <> '' ORDER BY chunk_id LIMIT 20),
+  link AS (SELECT src || '>' || dst AS key, x.title AS a, y.title AS b, f.chunk_id FROM (SELECT * FROM e WHERE src <> dst ORDER BY src, dst LIMIT 20) JOIN n x ON x.note_id = src JOIN n y ON y.note_id = dst LEFT JOIN first f ON f.note_id = src),
+  tag AS (SELECT tag AS key, f.chunk_id FROM (SELECT tag, min(note_id) AS note_id FROM note_tags GROUP BY tag ORDER BY tag LIMIT 20) t LEFT JOIN first f USING (note_id)),
+  factual AS (SELECT n.note_id AS key, title, f.chunk_id FROM (SELECT * FROM n ORDER BY note_id LIMIT 20) n LEFT JOIN first f USING (note_id))
+  SELECT 'header' AS kind, key, ['What is ' || l || '?', 'Tell me about ' || l, 'Explain ' || l, 'What does the section on ' || l || ' cover?'][{_WAY}] AS question, 'Information about ' || a AS ideal_answer, 'semantic' AS expected_intent, chunk_id FROM header
+  UNION ALL SELECT 'link', key, ['How is ' || a || ' related to ' || b || '?', 'What is the connection between ' || a || ' and ' || b || '?', 'Show me the relationship between ' || a || ' and ' || b, 'What links ' || a || ' to ' || b || '?'][{_WAY}], 'Relationship between ' || a || ' and ' || b, 'graph', chunk_id FROM link
+  UNION ALL SELECT 'tag', key, ['What notes are tagged with #' || key || '?', 'Show me everything tagged #' || key, 'Find notes with tag ' || key, 'What content is categorized as ' || key || '?'][{_WAY}], 'Notes and content tagged with ' || key, 'categorical', chunk_id FROM tag
+  UNION ALL SELECT 'factual', key, ['What specific information is in ' || title || '?', 'What are the key points from ' || title || '?', 'Summarize the main ideas in ' || title, 'What details does ' || title || ' provide?'][{_WAY}], 'Specific information from ' || title, 'specific', chunk_id FROM factual""")
+def eval_example_kinds(spark, d):
+    """Questions of four kinds (concepts, which SQL has no look-behind for, are tested apart), twenty of each."""
+    c = turns(spark, d)
+    n = c.select("note_id").distinct().withColumn("title", F.replace("note_id", F.lit("conv-"), F.lit("conversation ")))
+    other = F.concat(F.lit("conv-"), (F.split_part("note_id", F.lit("-"), F.lit(2)).cast("long") * 2 + 1).cast("string"))
+    e = n.select(F.col("note_id").alias("src"), other.alias("dst")).join(n.select(F.col("note_id").alias("dst")), "dst", "left_semi")
+    return examples.examples(c, n, e, note_ops.note_tags(notes(spark, d)), 20, ("header", "link", "tag", "factual"))
+
+
+# --- an index that is changed note by note --------------------------------------------------------
+
+#: Documents as notes that link to two others, in other letters.
+_LINKED_NOTES = "docs AS (SELECT doc_id, source || '/doc-' || doc_id || '.md' AS note_id, 'doc-' || doc_id AS name, ['DOC-' || (doc_id * 7 % 1009), 'doc-' || (doc_id + 1)] AS links FROM documents)"
+
+
+def _kept_index(spark, d):
+    n = notes(spark, d).select("doc_id", "note_id", "title", "stem", F.coalesce("text", F.lit("")).alias("text"), "tags")
+    doc = F.col("doc_id")
+    n = n.withColumn("links", F.array(F.concat(F.lit("DOC-"), (doc * 7 % 1009).cast("string")), F.concat(F.lit("doc-"), (doc + 1).cast("string"))))
+    chunks = tables.written(index.chunked(n), "chunks")
+    kept = index.store(spark, tables.scratch(spark, "index"), 16)
+    index.put(kept, index.Index(n, note_ops.note_tags(n), note_ops.resolve_links(n), chunks, structure.chunk_edges(chunks)))
+    return kept
+
+
+@query(f"""WITH {_LINKED_NOTES}, moved AS (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 'Archive/doc-' || doc_id || '.md' ELSE note_id END AS now FROM docs)
+  SELECT s.now AS src, (i - 1)::INT AS ord, t.now AS dst FROM moved s, unnest([1, 2]) u(i) JOIN moved t ON lower(s.links[i]) = t.name""")
+def archive_index(spark, d):
+    """Links after every fiftieth note has moved to the archive: all name notes where they are now."""
+    kept = _kept_index(spark, d)
+    index.archive(kept, notes(spark, d).filter("doc_id % 50 = 0").select("note_id"))
+    return index.get(kept).edges.select("src", "ord", "dst")
+
+
+@query(f"""WITH {_LINKED_NOTES}, now AS (SELECT doc_id, note_id, links, CASE WHEN doc_id % 50 = 1 THEN 'doc-' || (doc_id + 1) ELSE name END AS name FROM docs WHERE doc_id % 50 <> 2),
+  keys AS (SELECT name, min(note_id) AS dst FROM now GROUP BY name)
+  SELECT note_id AS src, (i - 1)::INT AS ord, dst FROM now, unnest([1, 2]) u(i) JOIN keys ON lower(links[i]) = keys.name""")
+def refresh_index(spark, d):
+    """Links after some notes were deleted and others took their names, in one version."""
+    kept = _kept_index(spark, d)
+    old = kept.read("notes")
+    named = F.concat(F.lit("doc-"), (F.col("doc_id") + 1).cast("string"))
+    index.refresh(kept, old.filter("doc_id % 50 = 1").withColumns({"title": named, "stem": named}), old.filter("doc_id % 50 = 2").select("note_id"))
+    return index.get(kept).edges.select("src", "ord", "dst")
+
+
+def _class_by_size(texts):
+    """A stand-in for a model: refuses short texts."""
+    if any(len(t) < 100 for t in texts):
+        raise ValueError("too short")
+    return ["project" if len(t) % 2 else "area" for t in texts]
+
+
+@query(r"""SELECT doc_id::VARCHAR AS note_id, CASE WHEN length(text) >= 100 THEN CASE WHEN length(text) % 2 = 1 THEN 'project' ELSE 'area' END END AS class, CASE WHEN length(text) >= 100 THEN 1 ELSE 2 END AS attempts
+  FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""")
+def enrichment_state(spark, d):
+    """Every document classified in two runs, of which the second tries only what failed in the first."""
+    state = rounds.enrichment(spark, tables.scratch(spark, "enrichment"), 8)
+    n = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_id"), "text")
+    for _ in range(2):
+        rounds.enrich(n, state, _class_by_size, "by size", parts=2)
+    return state.read("state").select("note_id", "class", "attempts")
+
+
 # --- changes ------------------------------------------------------------------------------------
 
 

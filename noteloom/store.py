@@ -55,10 +55,8 @@ class Store:
             return {}
         return json.loads(self.spark.read.text(f"{self.root}/v{done[-1] if version is None else version}/manifest.json", wholetext=True).first()[0])
 
-    def _of(self, name: str, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame | None:
-        held = manifest.get(name)
-        if held is None:
-            return None
+    def _of(self, name: str, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        held = manifest[name]
         schema = T.StructType.fromJson(held["schema"])
         wanted = held["files"] if buckets is None else {str(b): held["files"][str(b)] for b in buckets if str(b) in held["files"]}
         paths = [f"{self.root}/{p}" for p in wanted.values()]
@@ -67,7 +65,7 @@ class Store:
     def read(self, name: str, ids: list | None = None, version: int | None = None) -> DataFrame:
         """A table; with ``ids`` (a short list of keys) only the buckets that can hold them are read, and their rows returned."""
         manifest = self.manifest(version)
-        if name not in manifest:
+        if manifest.get(name, {}).get("schema") is None:
             raise FileNotFoundError(f"no complete version of {name} in {self.root}")
         if ids is None:
             return self._of(name, manifest)
@@ -78,16 +76,23 @@ class Store:
     def _written(self, name: str, change: Change, manifest: dict, commit: str) -> dict:
         """The table's entry in the next manifest, its touched buckets written."""
         key = F.expr(self.keys[name]).cast("string")
-        fresh = None if change.fresh is None else tables.written(change.fresh, "fresh")
-        named = [d for d in (None if change.gone is None else change.gone.select(F.col("key").cast("string").alias("key")), None if fresh is None else fresh.select(key.alias("key"))) if d is not None]
-        keys = tables.written(named[0].unionByName(named[-1]).distinct(), "keys") if named else None
-        held = manifest.get(name, {"schema": None if fresh is None else json.loads(fresh.schema.json()), "files": {}})
-        touched = sorted(r.b for r in keys.select(self.bucket(F.col("key")).alias("b")).distinct().collect()) if keys is not None else []
-        schema = T.StructType.fromJson(held["schema"])
-        columns = schema.fieldNames()
-        before = self._of(name, {name: held}, touched)
-        kept = before.join(keys, key.eqNullSafe(keys["key"]), "left_anti").select(columns)
-        rows = kept if fresh is None else kept.unionByName(fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]))
+        held = manifest.get(name)
+        held = held if held and held["schema"] else None
+        if held is None and change.fresh is None:
+            return {"schema": None, "files": {}}
+        if held is None:  # the first rows: nothing to keep
+            held, touched, rows = {"schema": json.loads(change.fresh.schema.json()), "files": {}}, [], change.fresh
+        else:
+            schema = T.StructType.fromJson(held["schema"])
+            fresh = None if change.fresh is None else tables.written(change.fresh, "fresh")
+            named = [d for d in (None if change.gone is None else change.gone.select(F.col("key").cast("string").alias("key")), None if fresh is None else fresh.select(key.alias("key"))) if d is not None]
+            if not named:
+                return held
+            keys = tables.written((named[0] if len(named) == 1 else named[0].unionByName(named[1])).distinct(), "keys")
+            touched = sorted(r.b for r in keys.select(self.bucket(F.col("key")).alias("b")).distinct().collect())
+            rows = self._of(name, {name: held}, touched).join(keys, key.eqNullSafe(keys["key"]), "left_anti").select(*[f"`{c}`" for c in schema.fieldNames()])
+            if fresh is not None:
+                rows = rows.unionByName(fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]))
         path = f"files/{name}/{commit}"
         # rebalanced by bucket: a large bucket may be written by several tasks
         rows.withColumn("__bucket", self.bucket(key)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{path}")

@@ -136,3 +136,21 @@ def test_a_run_that_dies_is_taken_up_behind_its_last_part(spark, tmp_path, monke
     assert 0 < done < 40
     assert rounds.enrich(notes, state, lambda ts: ["area"] * len(ts), "m", parts=4) == 40 - done
     assert state.read("state").filter("attempts = 1").count() == 40
+
+
+def test_example_questions(spark):
+    """Every kind, in one of its phrasings, the same each time; concepts are capitalised words that are no stop words."""
+    from noteloom.operators import examples
+
+    chunks = spark.createDataFrame([("n1/c0", "n1", "Head One", "The Mars Rover met Venus. This is From Earth"), ("n1/c1", "n1", "", "nothing"), ("n2/c0", "n2", None, None)], "chunk_id string, note_id string, header_text string, content string")
+    notes = spark.createDataFrame([("n1", "First"), ("n2", "Second"), ("n3", None)], "note_id string, title string")
+    edges = spark.createDataFrame([("n1", "n2"), ("n1", "n2"), ("n2", "n2")], "src string, dst string")
+    tags = spark.createDataFrame([("n2", "a/b"), ("n1", "a/b")], "note_id string, tag string")
+    got = [tuple(r) for r in examples.examples(chunks, notes, edges, tags).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in examples.examples(chunks, notes, edges, tags).collect())
+    about = {"header": [("Head One",)], "link": [("First", "Second")], "tag": [("a/b",)], "concept": [("Earth",), ("From Earth",), ("The Mars Rover",), ("Venus",)], "factual": [("First",), ("Second",)]}
+    for kind, _, question, ideal, intent, _ in got:
+        want, answer, ways = examples.KINDS[kind]
+        low = [tuple(x.lower() for x in a) if kind == "header" else a for a in about[kind]]
+        assert intent == want and any(question == w.format(*a) for w in ways for a in low) and ideal in {answer.format(*a) for a in about[kind]}
+    assert {k: sum(g[0] == k for g in got) for k in ("header", "link", "tag", "factual")} == {"header": 1, "link": 1, "tag": 1, "factual": 2}
