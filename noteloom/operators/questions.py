@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import intent as intents
 from noteloom.functions import scoring
+from noteloom.functions.scoring import cosine_distance
 from noteloom.functions.text import tag_match
 from noteloom.operators.graph import chunk_neighbors
 from noteloom.operators.search import knn_many
@@ -111,6 +112,31 @@ def answered(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int =
     return ranked.select("qid", "chunk_id", "place", "rank_score", "distance", "retrieval_method", "relationships")
 
 
+#: Hits of a question for something specific, neighbours that a relationship question takes of each hit, and their distance.
+SPECIFIC, OF_EACH, BESIDE = 4, 2, 0.5
+
+
+def retrieved(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 6) -> DataFrame:
+    """(qid, chunk_id, distance): retrieval by intent for a table of questions (qid, question, embedding).
+
+    Relationship questions take neighbours of their nearest chunks along, tag
+    questions the nearest among chunks with one of their tags, specific ones fewer.
+    """
+    q = written(routed(questions.select("qid", "question", "embedding")), "routed")
+    kind = F.col("intent_type")
+    near = knn_many(chunks.select("chunk_id", "embedding"), q.filter(kind != "categorical").select("qid", "embedding"), k, "cosine").join(q.select("qid", "intent_type"), "qid")
+    many = F.when(kind == "relationship", max(1, k // 2)).when(kind == "specific", min(k, SPECIFIC)).otherwise(k)
+    near = written(_first(near, many, F.col("distance"), F.col("chunk_id")), "near")
+    around = _around(near.filter(kind == "relationship"), edges, chunks, OF_EACH).select("qid", "chunk_id", F.lit(BESIDE).alias("distance"))
+    # questions meet chunks by tag, so only chunks that carry one are compared
+    wanted = q.filter(kind == "categorical").select("qid", F.explode("entities").alias("tag"))
+    own = wanted.join(chunks.select("chunk_id", F.explode("tags").alias("tag")), "tag").select("qid", "chunk_id").distinct()
+    both = own.join(q.filter("embedding is not null").select("qid", F.col("embedding").alias("a")), "qid").join(chunks.filter("embedding is not null").select("chunk_id", "embedding"), "chunk_id")
+    tagged_ = _first(both.select("qid", "chunk_id", F.round(cosine_distance(F.col("embedding"), F.col("a")), DIGITS).alias("distance")), k, F.col("distance"), F.col("chunk_id"))
+    every = near.select("qid", "chunk_id", "distance").unionByName(around).unionByName(tagged_)
+    return _first(every.groupBy("qid", "chunk_id").agg(F.min("distance").alias("distance")), k, F.col("distance"), F.col("chunk_id"))
+
+
 def statuses(questions: DataFrame, hits: DataFrame, fallback: bool = False) -> DataFrame:
     """(qid, confidence, status, advice): of every question, also of those without hits."""
     q = routed(questions.select("qid", "question")).select("qid", F.when(F.col("intent_type") == "relationship", "graph").otherwise(F.col("intent_type")).alias("kind"))

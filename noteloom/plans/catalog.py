@@ -518,6 +518,15 @@ def ext_component_of_least(spark, d):
     return c.join(c.agg(F.min("component").alias("component")), "component", "left_semi").select("node", "component")
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'd' || doc_id AS a, 'd' || (doc_id + 3) AS b FROM documents WHERE doc_id % 7 <> 0), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
+def ext_components(spark, d):
+    """All components of a graph of many short chains."""
+    e = table(spark, d, "documents").filter("doc_id % 7 <> 0")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    return graph.connected(e.select(name(F.col("doc_id")).alias("src"), name(F.col("doc_id") + 3).alias("dst")))
+
+
 @query("SELECT 1 AS step, 'x' AS node WHERE false UNION ALL SELECT 0, 's1' UNION ALL SELECT 1, (SELECT min('p' || a.l_partkey) FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_suppkey = 1 AND b.l_suppkey = 2) UNION ALL SELECT 2, 's2'")
 def ext_shortest_path(spark, d):
     return graph.shortest_path(links(spark, d), "s1", "s2", 3)
@@ -873,6 +882,18 @@ def smart_status_many(spark, d):
     return questions.statuses(asked, found).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"""WITH {_MANY}, both_of AS (SELECT qid, kind, chunk_id, round(list_cosine_distance(a, embedding::DOUBLE[]), 9) AS distance, list_has_any(flatten(list_transform(tags, lambda t: string_split(t, '/'))), entities) AS shared FROM q JOIN chunks ON a IS NOT NULL),
+  r_near AS (SELECT * FROM both_of WHERE kind <> 'categorical' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) <= CASE kind WHEN 'graph' THEN 3 WHEN 'specific' THEN 4 ELSE 6 END),
+  r_tagged AS (SELECT * FROM both_of WHERE kind = 'categorical' AND shared QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) <= 6),
+  r_all AS (SELECT qid, chunk_id, distance FROM r_near UNION ALL SELECT qid, dst, 0.5 FROM r_near JOIN beside ON src = chunk_id WHERE kind = 'graph' AND n <= 2 UNION ALL SELECT qid, chunk_id, distance FROM r_tagged)
+  SELECT qid, chunk_id, round(min(distance), 6)::DOUBLE AS distance FROM r_all GROUP BY qid, chunk_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY min(distance), chunk_id) <= 6""")
+def retrieve_many(spark, d):
+    """Retrieval by intent for those questions; a chunk's tags are the parts of its tag paths."""
+    c = passages(spark, d)
+    parted = c.withColumn("tags", F.flatten(F.transform("tags", lambda t: F.split(t, "/"))))
+    return questions.retrieved(_questions(spark, d), parted, structure.chunk_edges(c), 6).withColumn("distance", F.round("distance", 6))
+
+
 # --- time ---------------------------------------------------------------------------------------
 
 for _name, _phrase, _sql in (
