@@ -1,16 +1,18 @@
-"""Language-model scores: words weighted over all their segmentations.
+"""Language-model scores: a text's probability over all its segmentations into vocabulary pieces.
 
-Vocabulary: the pieces of a public byte-level rank file, and beside them every
-word of the training rows as one piece.  Subword weights start from the file's
-ranks and are re-estimated on all training words by forward-backward sums; word
-weights are their absolutely discounted counts, the discount's mass going to
-the subword paths.  The probability of a word is the sum over all its paths,
+``score`` is the dealt model: the pieces of a public byte-level rank file, weighted
+by the vocabulary's own ranks, with its end piece closing each text.  A text's
+probability is the sum over all segmentations, by forward recursion in log space (``lattice``);
+pieces hold no space after their first byte, so it is the product over the words and the end.
+
+``fitted_score`` beside it learns from the training rows: every training word is a piece
+too, subword weights are re-estimated on all training words by forward-backward
+sums, word weights are absolutely discounted counts, the discount's mass going to
+the subword paths,
 
     P(w) = max(c(w) - D, 0) / N + (D * types / N) * sum over segmentations,
 
-by forward recursion in log space (``lattice``); a text's is the product over
-its words and one end token.  As P sums to 1 over words and the end, scores of
-different texts compare.
+and P sums to 1 over words and the end.
 
 Flow: (1) word counts, combined per task, then one exchange; (2) estimation and
 word scores over the table of distinct words, task by task; only the bounded
@@ -137,9 +139,18 @@ def totals(counts: DataFrame) -> Totals:
 
 
 def rank_weights(table: PieceTable) -> np.ndarray:
-    """Natural-log piece weights of the vocabulary alone, aligned with ``table.ids``: in inverse proportion to rank."""
+    """Natural-log piece weights of the vocabulary alone, aligned with ``table.ids``.
+
+    A rank file holds an order and no probabilities; merges are ranked by frequency,
+    so by Zipf's law a piece of rank r weighs 1 / (r + 1).  The end piece follows the last rank.
+    """
     weight = 1.0 / (table.ids + 1.0)
-    return np.log(weight / weight.sum())
+    return np.log(weight / (weight.sum() + 1.0 / (table.size + 1.0)))
+
+
+def end_weight(table: PieceTable) -> float:
+    """Natural log of the end piece's weight, beside ``rank_weights``."""
+    return math.log(1.0 / (table.size + 1.0)) - math.log((1.0 / (table.ids + 1.0)).sum() + 1.0 / (table.size + 1.0))
 
 
 def estimate(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
@@ -147,7 +158,7 @@ def estimate(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> np
     spark = counts.sparkSession
     table = PieceTable(pieces)
     shared = spark.sparkContext.broadcast(pieces)
-    weight = np.exp(rank_weights(table))
+    weight = 1.0 / (table.ids + 1.0)
     known = counts.filter((F.col("c") > 0) & (F.col("word") != F.lit(b" ")))
     for _ in range(rounds):
         logp = np.log(weight / weight.sum())
@@ -187,10 +198,10 @@ def word_scores(counts: DataFrame, t: Totals, pieces: list[bytes], logp: np.ndar
 
 
 def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, fitted_score.
 
-    ``score`` is the fitted model's; ``lattice_score`` is the marginal of the words
-    by the vocabulary's own weights, which no training row touches (no end token).
+    ``score`` is the marginal of the words and the end by the vocabulary's own
+    weights; ``fitted_score`` is that of the model fitted to the training rows.
     ``training`` says over doc_id which rows are learnt from; without it, those
     whose crc32 of the id as text is not 2 modulo 7.
     """
@@ -263,7 +274,7 @@ def lm_scores(docs: DataFrame, training: Column | None = None, id_col: str = "do
             "doc_id", "held_out", "n_tokens", "n_known",
             F.lit(t.tokens).cast("long").alias("train_tokens"),
             (F.col("base") + math.log10(t.ends + 1) - F.col("n_tokens") * math.log10(t.tokens + t.distinct + 1)).alias("base_score"),
-            (F.col("score") + t.end_log10).alias("score"),
-            "lattice_score",
+            (F.col("lattice_score") + end_weight(PieceTable(pieces)) / LOG10).alias("score"),
+            (F.col("score") + t.end_log10).alias("fitted_score"),
         )
     )

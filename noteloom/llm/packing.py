@@ -1,8 +1,8 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 Each partition of the documents is one stream of ids, in the order in which it
-is stored.  Cuts may fall at the ends of documents and of sentences, and inside a
-sentence only where it alone exceeds the window.  The cost of a cutting is the padding of its
+is stored.  Cuts may fall at the ends of documents, lines and sentences (a mark that
+white space or the text's end follows), and inside a sentence only where it alone exceeds the window.  The cost of a cutting is the padding of its
 windows plus a penalty for each cut inside a document; a window whose length is
 a power of two is not padded.  With b the position of a
 boundary,
@@ -48,6 +48,11 @@ EACH = 4.0
 END = 0
 
 
+# What an id's bytes show: they end with a sentence's mark, or with a line break; they begin with white space.
+MARK, LINE, BLANK = 1, 2, 4
+BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+
+
 class Encoder:
     """Byte-level BPE over a public rank file; strings of special tokens are ordinary text."""
 
@@ -57,9 +62,9 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.closes = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.signs = np.zeros(max(ranks.values()) + 1, dtype=np.uint8)
         for piece, rank in ranks.items():
-            self.closes[rank] = piece[-1:] in (b".", b"!", b"?", b"\n")
+            self.signs[rank] = MARK * (piece[-1:] in (b".", b"!", b"?")) | LINE * (piece[-1:] == b"\n") | BLANK * (piece[:1] in BLANKS)
 
     def __call__(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
@@ -72,9 +77,17 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def boundaries(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def sentence_ends(ids: np.ndarray, doc_ends: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Positions behind a line break, or behind a mark (. ! ?) that white space or the text's end follows: not inside numbers and addresses."""
+    own = signs[ids]
+    follows = np.append(own[1:] & BLANK > 0, False)
+    follows[doc_ends[doc_ends > 1] - 2] = True  # the id at a document's end is no text
+    return np.flatnonzero((own & LINE > 0) | ((own & MARK > 0) & follows)) + 1
+
+
+def boundaries(ids: np.ndarray, doc_ends: np.ndarray, signs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, and the penalty of cutting there; 0 comes first."""
-    sentence = np.flatnonzero(closes[ids]) + 1
+    sentence = sentence_ends(ids, doc_ends, signs)
     at = np.unique(np.concatenate([[0], sentence, doc_ends, [len(ids)]]))
     gap = np.diff(at)
     wide = np.flatnonzero(gap > size)
@@ -139,8 +152,8 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, free_tail: bool) -> lis
 class Packer:
     """Packs a stream of documents; ``add`` and ``finish`` yield pieces as they are settled."""
 
-    def __init__(self, closes: np.ndarray, size: int = SIZE, block: int = BLOCK, first_id: int = 0):
-        self.closes, self.size, self.block, self.next_id = closes, size, block, first_id
+    def __init__(self, signs: np.ndarray, size: int = SIZE, block: int = BLOCK, first_id: int = 0):
+        self.signs, self.size, self.block, self.next_id = signs, size, block, first_id
         self.docs: list[list] = []  # [doc_id, ids, ids already settled]
         self.held = 0
 
@@ -157,7 +170,7 @@ class Packer:
     def _settle(self, last: bool) -> Iterator[tuple]:
         stream = np.concatenate([d[1][d[2] :] for d in self.docs])
         ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
-        at, penalty = boundaries(stream, ends, self.closes, self.size)
+        at, penalty = boundaries(stream, ends, self.signs, self.size)
         places = [int(at[j]) for j in cuts(at, penalty, self.size, not last)]
         if not last:
             places = [p for p in places if p <= len(stream) - TAIL * self.size]
@@ -188,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     def run(batches):
         encode = Encoder(path, pattern)
-        packer = Packer(encode.closes, size, first_id=TaskContext.get().partitionId() << 40)
+        packer = Packer(encode.signs, size, first_id=TaskContext.get().partitionId() << 40)
         out: list[tuple] = []
         arrow = None
 
