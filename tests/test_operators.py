@@ -304,13 +304,13 @@ def test_components_and_common_neighbors(spark):
 def test_many_nearest_in_blocks(spark, monkeypatch):
     import random
 
-    from noteloom.operators import search
+    from noteloom.operators import pivots, search
 
     r = random.Random(1)
     rows = [(f"c{i:03d}", [float(r.randrange(3)) for _ in range(4)] if i % 9 else None) for i in range(120)]
     v = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
     queries = spark.createDataFrame([(i, e) for i, (_, e) in enumerate(rows) if i % 10 == 1], "qid long, embedding array<float>")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(pivots, "QUERY_BLOCK", 5)
     for metric in ("l2", "cosine"):
         got = {}
         for x in search.knn_many(v, queries, 4, metric).collect():
