@@ -77,7 +77,7 @@ class Store:
         """The table's entry in the next manifest, its touched buckets written."""
         key = F.expr(self.keys[name]).cast("string")
         held = manifest.get(name)
-        held = held if held and held["schema"] else None
+        held, own = held if held and held["schema"] else None, []
         if held is None and change.fresh is None:
             return {"schema": None, "files": {}}
         if held is None:  # the first rows: nothing to keep
@@ -89,6 +89,7 @@ class Store:
             if not named:
                 return held
             keys = tables.written((named[0] if len(named) == 1 else named[0].unionByName(named[1])).distinct(), "keys")
+            own = [keys] if fresh is None else [keys, fresh]
             touched = sorted(r.b for r in keys.select(self.bucket(F.col("key")).alias("b")).distinct().collect())
             rows = self._of(name, {name: held}, touched).join(keys, key.eqNullSafe(keys["key"]), "left_anti").select(*[f"`{c}`" for c in schema.fieldNames()])
             if fresh is not None:
@@ -96,6 +97,7 @@ class Store:
         path = f"files/{name}/{commit}"
         # rebalanced by bucket: a large bucket may be written by several tasks
         rows.withColumn("__bucket", self.bucket(key)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{path}")
+        tables.discard(*own)
         at, fs = tables.file_system(self.spark, f"{self.root}/{path}")
         made = {n.rpartition("=")[2] for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("__bucket=")}
         files = {b: p for b, p in held["files"].items() if int(b) not in touched} | {b: f"{path}/__bucket={b}" for b in sorted(made)}
