@@ -12,7 +12,8 @@ the subword paths,
 
     P(w) = max(c(w) - D, 0) / N + (D * types / N) * sum over segmentations,
 
-and P sums to 1 over words and the end.
+and P sums to 1 over words and the end.  The op1 query reports it as its score,
+because that is to learn from the training rows.
 
 Flow: (1) word counts, combined per task, then one exchange; (2) estimation and
 word scores over the table of distinct words, task by task; only the bounded

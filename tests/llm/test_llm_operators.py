@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -75,6 +76,19 @@ def test_lm_empty_and_untrained(docs_of, spark):
     assert (r.train_tokens, r.n_known, r.held_out) == (0, 0, True)
 
 
+def test_query_scores_by_what_it_learnt(spark):
+    """Held-out scores stay near the base, though they spell unknown words out; the vocabulary's own are far below."""
+    from noteloom.llm.registry import op1_lm_score
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are absent")
+    rows = [r for r in op1_lm_score(spark, sf).collect() if r.held_out]
+    assert rows and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    assert sum(r.score for r in rows) > 1.5 * sum(r.base_score for r in rows)
+    assert sum(r.score for r in rows) > 0.75 * sum(r.vocabulary_score for r in rows)
+
+
 def test_lattice_against_enumeration():
     pieces = [bytes([b]) for b in range(97, 101)] + [b" ", b" a", b"ab", b"abc", b"bc", b" ab", b"cc"]
     table = lattice.PieceTable(pieces, bits=8)
