@@ -1,28 +1,23 @@
-"""Changes that are held until their path has been quiet, with keyed state and event-time timers.
+"""Changes that are held until their path has been quiet, as two aggregations over event time.
 
-Changes of a key closer than ``quiet`` form a burst, of which the last counts.
-State holds a key's open bursts (first and last time, and the last change); a change, in whatever
-order it arrives, joins the bursts it touches.  A timer at a burst's last time plus
-``quiet`` fires once the watermark is there: then nothing that could still join it can
-arrive, so the result does not depend on how the changes were cut into batches.
+Changes of a key closer than ``quiet`` form a burst, of which the last counts: a
+burst is a session of its key with that gap.  The first aggregation holds a change
+until the watermark is past it and drops those that come behind; the second holds a key's open
+sessions, and gives one out once the watermark is within a microsecond of its last time plus ``quiet``: then nothing
+that could still join it can arrive, so the result does not depend on how the changes were cut into batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 #: Time without a change after which a path counts as settled.
 QUIET_MS = 1000
-STATE = "first long, last long, rank long, body string"
 
 
 def merged(bursts: list[tuple], quiet: int) -> list[tuple]:
-    """Bursts (first, last, rank, body), any order, with those less than ``quiet`` apart made one; each keeps its last change."""
+    """What a key's sessions come to, plainly: bursts (first, last, rank, body), any order, with those less than ``quiet`` apart made one; each keeps its last change."""
     out: list[tuple] = []
     for b in sorted(bursts):
         if out and b[0] - out[-1][1] < quiet:
@@ -33,59 +28,18 @@ def merged(bursts: list[tuple], quiet: int) -> list[tuple]:
     return out
 
 
-class Settling(StatefulProcessor):
-    """Holds the open bursts of each key; emits (body) when their timers fire.  Times are microseconds."""
-
-    def __init__(self, quiet: int):
-        self.quiet = quiet
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", STATE)
-
-    def _due(self, burst: tuple) -> int:
-        """The first millisecond at which a burst is settled."""
-        return -(-(burst[1] + self.quiet) // 1000)
-
-    def _keep(self, bursts: list[tuple]) -> None:
-        if bursts:
-            self.open.put(bursts)
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(r) for r in self.open.get()]
-        new = [(int(at), int(at), int(rank), body) for pdf in rows for at, rank, body in zip(pdf["micros"], pdf["rank"], pdf["body"])]
-        after = merged(before + new, self.quiet)
-        old, due = {self._due(b) for b in before}, {self._due(b) for b in after}
-        for at in old - due:
-            self.handle.deleteTimer(at)
-        for at in due - old:
-            self.handle.registerTimer(at)
-        self._keep(after)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        bursts = [tuple(r) for r in self.open.get()]
-        done = [b for b in bursts if self._due(b) <= now]
-        if done:
-            self._keep([b for b in bursts if self._due(b) > now])
-            yield pd.DataFrame({"body": [b[3] for b in done]})
-
-    def close(self) -> None:
-        pass
-
-
 def debounced(changes: DataFrame, key: str = "note_id", time: str = "changed_at", quiet_ms: int = QUIET_MS, late: str = "1 minute", rank: str | None = None) -> DataFrame:
     """Of each burst of changes (a stream) the last, once its key has been quiet for ``quiet_ms``.
 
     Of changes at one time the one with the largest ``rank`` (a whole number; by
     default a hash of the row) counts.  Changes later than ``late`` are dropped by the
-    watermark.  The state store must be the RocksDB one (see ``run.drained``).
+    watermark.  State is native, a row for each time and session that is still open.
     """
     schema = changes.schema
     order = F.col(rank).cast("long") if rank else F.xxhash64(*[c for c in changes.columns if "map<" not in schema[c].dataType.simpleString()])
-    rows = changes.withWatermark(time, late).select(F.col(key).alias("key"), F.col(time).alias("moment"), F.unix_micros(F.col(time)).alias("micros"), order.alias("rank"), F.to_json(F.struct(*changes.columns)).alias("body"))
-    out = rows.groupBy("key").transformWithStateInPandas(Settling(quiet_ms * 1000), "body string", "append", "eventTime")
-    return out.select(F.from_json("body", schema).alias("c")).select("c.*")
+    rows = changes.withWatermark(time, late).select(F.col(key).alias("key"), F.col(time).alias("moment"), order.alias("rank"), F.to_json(F.struct(*changes.columns)).alias("body"))
+    # grouped by the time itself: a change behind the watermark is late, whatever session it would fall in
+    moments = rows.groupBy("key", "moment").agg(F.max(F.struct("rank", "body")).alias("change"))
+    # sessions that touch are one to Spark; changes exactly ``quiet_ms`` apart are two bursts, so the gap is a microsecond less
+    bursts = moments.groupBy("key", F.session_window("moment", f"{quiet_ms * 1000 - 1} microseconds")).agg(F.max(F.struct("moment", "change")).alias("last"))
+    return bursts.select(F.from_json("last.change.body", schema).alias("c")).select("c.*")

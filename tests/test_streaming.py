@@ -110,3 +110,11 @@ def test_sessions_and_duplicates_across_batches(spark, tmp_path):
 def test_tables_are_deduplicated_too(spark):
     rows = spark.createDataFrame([(1, at(0), 1, "a", 0.0)] * 3 + [(2, at(1), 1, "a", 0.0)], EVENTS)
     assert feed.deduplicated(rows, ["event_id"]).agg(F.count(F.lit(1)).alias("n")).first().n == 2
+
+
+def test_debounce_is_native(spark, tmp_path):
+    """No Python worker holds a key's bursts: state and timers of one key cost a call each there, which a large table cannot pay."""
+    spark.createDataFrame([("a", at(0), 1, None)], SCHEMA).write.parquet(f"{tmp_path}/in")
+    stream = debounced(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "path", "at", 1000, "10 seconds", "n")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Session" in plan.replace("session", "Session")
