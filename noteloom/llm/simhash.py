@@ -16,7 +16,8 @@ spanning forest; only its edges leave the task.  A block value held by so many
 fingerprints that its group would be large is split by another round of blocks
 over its other 48 bits, on the same argument, and again until no group is large.
 
-The pipeline's stage (``near_dedup``) does not use fingerprints: see ``near_links``.
+The pipeline's stage (``near_dedup``) asks the same index for its first candidates, with
+fingerprints of its own shingles; an exact check follows, and what links at more bits is found by prefixes: see ``near_links``.
 
 Defined results: A-Z is lower-cased; null or empty texts have fingerprint zero
 and link like any other; the component is named by the least id in it (null ids
@@ -71,7 +72,11 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: str, size: int = SHINGLE, step: int = 1 << 16) -> int:
-    h = shingle_hashes(text, size)
+    return voted(shingle_hashes(text, size), step)
+
+
+def voted(h: np.ndarray, step: int = 1 << 16) -> int:
+    """The fingerprint of hashes: a bit is set where over half of them have it."""
     votes = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), step):
         bits = np.unpackbits(h[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -330,15 +335,15 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes[order], got.column("n").to_numpy()[order], int(total * share)
 
 
-SETS = "doc_id {id}, mark long, fp long, n long, sketch binary, rare array<long>, often array<long>"
+SETS = "doc_id {id}, mark long, fp long, code long, n long, sketch binary, rare array<long>, often array<long>"
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, mark, fp, n, sketch, rare, often) of each row (doc_id, text, mark).
+    """(doc_id, mark, fp, code, n, sketch, rare, often) of each row (doc_id, text, mark).
 
-    fp is the digest of the row's shingle set, n its size; rare and often make up
+    fp is the digest of the row's shingle set, code its SimHash, n its size; rare and often make up
     the set's prefix, often being what a sample finds in HOT_SHARE of the texts or
-    more.  Of equal sets in one task the first alone carries a prefix.
+    more.  Of equal sets in one task the first alone carries a code and a prefix.
     """
     shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows.select("text")))
 
@@ -352,17 +357,19 @@ def _sets(rows: DataFrame) -> DataFrame:
                 s = shingle_set(text)
                 fp = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
                 rare = often = s[:0]
+                code = None if len(s) else 0
                 if len(s) and fp not in seen:
                     seen.add(fp)
+                    code = int(np.uint64(voted(s)).view(np.int64))
                     c = np.zeros(len(s), dtype=np.int64)
                     if len(hashes):
                         at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                         c = np.where(hashes[at] == s, count[at], 0)
                     first = np.lexsort((s, c))[: len(s) + 1 - -(-NEAR[0] * len(s) // NEAR[1])]
                     rare, often = s[first[c[first] < hot]], s[first[c[first] >= hot]]
-                out.append((fp, len(s), parity_sketch(s), rare.view(np.int64), often.view(np.int64)))
-            fp, n, sketch, rare, often = zip(*out)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "n", "sketch", "rare", "often"])
+                out.append((fp, code, len(s), parity_sketch(s), rare.view(np.int64), often.view(np.int64)))
+            fp, code, n, sketch, rare, often = zip(*out)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp, pa.int64()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "code", "n", "sketch", "rare", "often"])
 
     return rows.mapInArrow(run, SETS.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -552,12 +559,25 @@ def _with_hubs(sets: DataFrame) -> DataFrame:
     return written(rare.unionByName(often.join(hubs, "key").filter("fp <> hub").select("key", "fp", "n", "hub", "hub_n")), "shared")
 
 
+def indexed(coded: DataFrame) -> DataFrame:
+    """(fp, n, hub, hub_n): candidates by the Gray-order index over the SimHash codes of sets (fp, code, n), distinct.
+
+    A code's least set stands for it: the other sets of the code meet it, and so do the least sets of codes that the index links.
+    """
+    heads = written(coded.groupBy("code").agg(F.min(F.struct("fp", "n")).alias("h")).select("code", F.col("h.fp").alias("hub"), F.col("h.n").alias("hub_n")), "heads")
+    alike = coded.join(heads, "code").filter("fp <> hub").select("fp", "n", "hub", "hub_n")
+    found = written(links(heads.select(F.col("code").alias("fp"))).distinct(), "indexed")
+    left = found.join(heads.select(F.col("code").alias("a"), F.col("hub").alias("fp"), F.col("hub_n").alias("n")), "a")
+    return alike.unionByName(left.join(heads.withColumnRenamed("code", "b"), "b").select("fp", "n", "hub", "hub_n"))
+
+
 def near_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) that connect whatever ``sets`` have Jaccard similarity NEAR or more; ``rows`` (doc_id, text, mark) are their texts.
 
-    Under any one order of all shingles, two such sets of n and m share one of the
+    Sets whose SimHash codes the Gray-order index links are candidates first, and checked exactly.
+    Pairs at NEAR may differ in more bits than any 64-bit index can search, so prefixes find the rest. Under any one order of all shingles, two such sets of n and m share one of the
     first n - ceil(NEAR n) + 1 and m - ceil(NEAR m) + 1 (prefix filter), so none is
-    missed; the order puts those last that a sample finds common.  First each set is
+    missed; the order puts those last that a sample finds common.  Besides the index's candidates each set is
     compared with the least one under each shared key; then only pairs that are in
     different components still are listed.  Of keys that the same sets hold one
     is searched, and a key with more than GROUP_ROWS sets is searched in pairs of blocks.
@@ -566,9 +586,11 @@ def near_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """
     shared = _with_hubs(sets)
     fits = (F.greatest("n", "hub_n") * NEAR[0]) <= (F.least("n", "hub_n") * NEAR[1])
-    sketches = written(sets.groupBy("fp").agg(F.any_value("sketch").alias("sketch")), "sketches")
+    coded = written(sets.groupBy("fp").agg(F.any_value("sketch").alias("sketch"), F.max("code").alias("code"), F.any_value("n").alias("n")), "sketches")
+    sketches = coded.select("fp", "sketch")
     low = F.col("fp") < F.col("hub")
-    stars = shared.filter(fits).select(F.when(low, F.col("fp")).otherwise(F.col("hub")).alias("a"), F.when(low, F.col("hub")).otherwise(F.col("fp")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("n"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("m")).distinct()
+    candidates = indexed(coded.select("fp", "code", "n")).unionByName(shared.select("fp", "n", "hub", "hub_n"))
+    stars = candidates.filter(fits).select(F.when(low, F.col("fp")).otherwise(F.col("hub")).alias("a"), F.when(low, F.col("hub")).otherwise(F.col("fp")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("n"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("m")).distinct()
     stars = stars.join(sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
     stars = written(stars.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible, "a long, b long"), "stars")
     edges = _verified(stars, sets, rows)

@@ -573,6 +573,18 @@ def test_near_dedup_takes_similarity_not_bits(docs_of, spark, monkeypatch):
             assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(want)
 
 
+def test_near_dedup_goes_through_the_index(docs_of, monkeypatch):
+    """What the Gray-order index over SimHash codes links is among the pairs that are checked: without prefixes, copies with one word changed still fold."""
+    words_ = [f"w{k}" for k in range(400)]
+    near = " ".join([*words_[:399], "other"])
+    docs = docs_of([(1, " ".join(words_)), (2, near), (3, "quite another text of a few words only"), (4, None)])
+    a, b = (simhash.voted(simhash.shingle_set(t)) for t in (" ".join(words_), near))
+    assert (a ^ b).bit_count() <= simhash.DISTANCE
+    shared = simhash._with_hubs
+    monkeypatch.setattr(simhash, "_with_hubs", lambda sets: shared(sets).limit(0))
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [1, 3, 4]
+
+
 def test_near_dedup_keeps_clashing_columns(spark):
     text = prose(3, 30)
     rows = [(1, text, 7, "a"), (1, text, 7, "b"), (2, text + " tail", 8, None), (None, text, 9, "c")]
