@@ -75,3 +75,17 @@ def test_nothing_to_search_or_to_ask(spark, data):
     for metric in ("l2", "cosine"):
         assert search.knn_many(none, queries, 3, metric).collect() == []
         assert search.knn_many(df, queries.limit(0), 3, metric).collect() == []
+
+
+def test_plan_rows_are_made_of_few_queries(spark, data, monkeypatch):
+    """A query has a row for each pivot: batches of them stay small, and hold no vectors."""
+    x, df = data
+    queries = spark.createDataFrame([(k % 7, [float(a) for a in x[k]]) for k in range(60, 260)], "qid int, embedding array<float>").coalesce(1)
+    cells = pivots.celled(df, pivots=16)
+    asked = queries.selectExpr("qid", "cast(embedding as array<double>) AS embedding", "cast(qid as long) AS ask")
+    plan = pivots._asked(cells, asked, 200)
+    assert "embedding" not in plan.columns
+    sizes = plan.mapInArrow(lambda batches: batches, plan.schema).count()
+    assert sizes > pivots.MEET * 16
+    # rows of one query id are asked each, as a search of a table with repeats is
+    assert pivots.nearest(cells, queries, 3).count() == 7 * 3
