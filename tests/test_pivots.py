@@ -89,3 +89,19 @@ def test_plan_rows_are_made_of_few_queries(spark, data, monkeypatch):
     assert sizes > pivots.MEET * 16
     # rows of one query id are asked each, as a search of a table with repeats is
     assert pivots.nearest(cells, queries, 3).count() == 7 * 3
+
+
+def test_nearest_within_cells_by_brute_force(spark, data, monkeypatch):
+    """Pairs are compared in blocks: no join of queries with rows stands in the plan."""
+    x, df = data
+    monkeypatch.setattr(pivots, "ROW_BLOCK", 16)
+    monkeypatch.setattr(pivots, "QUERY_BLOCK", 3)
+    rows = spark.createDataFrame([(f"t{t}", f"v{k:03d}", [float(a) for a in x[k]]) for k in range(300) for t in (k % 3, k % 5)], "cell string, chunk_id string, embedding array<float>")
+    asked = [(f"t{t}", k) for k in (0, 9, 41, 120, 299) for t in (1, 4)]
+    queries = spark.createDataFrame([(t, k, [float(a) for a in x[k]]) for t, k in asked], "cell string, qid int, embedding array<float>")
+    got = {}
+    for r in pivots.nearest_within(rows, queries, 20).collect():
+        got.setdefault(r.qid, []).append((r.distance, r.chunk_id))
+    keep = [k for k in range(300) if k % 3 == 1 or k % 5 in (1, 4)]
+    for k in {k for _, k in asked}:
+        assert [(c, round(d, 6)) for d, c in sorted(got[k])] == full(x[keep], [f"v{j:03d}" for j in keep], x[k], 20, "cosine")
