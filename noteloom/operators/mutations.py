@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from noteloom.schema import ARCHIVE_FOLDER, INBOX_FOLDER
 
 # Fixed values of the metadata sanitiser.
 STRING_LIMIT, LIST_LIMIT, KEY_LIMIT, CUT_MARK = 50_000, 100, 100, "...[truncated]"
+#: Texts that a Python worker holds changed at a time.
+TEXTS = 128
 
 
 def upsert_notes(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -97,17 +100,20 @@ def replace_sections(notes: DataFrame, heading: str, content: str, level: int |
     """Every note (note_id, text) that has the section, with it replaced; others as they are."""
     rows = notes.select("note_id", "text")
 
+    def changed(text: str | None) -> str | None:
+        try:
+            return replaced_section(text or "", heading, content, level)
+        except ValueError:
+            return text
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                try:
-                    out.append(replaced_section(t or "", heading, content, level))
-                except ValueError:
-                    out.append(t)
-            yield pdf.assign(text=out)
-
-    return rows.mapInPandas(run, rows.schema)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                texts = pa.array([changed(t.as_py()) for t in part.column("text")], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("note_id"), texts], ["note_id", "text"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def enrich_tags(tags: Column, para_type: Column, category: Column) -> Column:
