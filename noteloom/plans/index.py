@@ -49,8 +49,8 @@ def chunked(notes: DataFrame, strategy: str = "semantic") -> DataFrame:
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     front = F.when(F.size("frontmatter") > 0, F.array_join(F.transform(F.map_entries("frontmatter"), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null")))), "\n"))
     rows = sections.chunk_notes(full.withColumn("front", front) if "frontmatter" in full.columns else full, front_col="front" if "frontmatter" in full.columns else None)
-    scored = structure.with_importance(rows)
-    return scored.join(structure.context_links(scored), "chunk_id")
+    # in the partitioning by note that the rows have; a join by chunk would make them twice and move every text again
+    return structure.with_context(structure.with_importance(rows))
 
 
 def build(spark: SparkSession, root: str, name: str, strategy: str = "semantic") -> Index:

@@ -126,3 +126,26 @@ def test_quoted_values_survive_public_filters():
     both = bases.quoted("a\"b'c")
     assert parse(both).value == "concat" and "".join(a.value for a in parse(both).args) == "a\"b'c"
     assert bases.method_calls('title == "a.contains(b" && tags.contains("x")') == 'title == "a.contains(b" && contains(tags, "x")'
+
+
+def test_chunks_are_made_once(spark):
+    """Contexts come from windows over the chunks, not from a second making of them that is joined."""
+    from noteloom.operators import sections, structure
+    from noteloom.plans import index
+
+    notes = spark.createDataFrame([("a", "# H\nsome words\n# I\nmore words here")], "note_id string, text string")
+    once = structure.with_importance(sections.chunk_notes(notes))
+    explodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+    assert explodes(index.chunked(notes)) == explodes(once)
+
+
+def test_sections_are_replaced_in_slices(spark):
+    """Texts are changed a few at a time, whatever the batch holds."""
+    from noteloom.operators import mutations
+
+    rows = [(str(k), None if k % 7 == 0 else f"## A\nold {k}\n## B\nx" if k % 2 else "none") for k in range(3 * mutations.TEXTS + 5)]
+    notes = spark.createDataFrame(rows, "note_id string, text string").coalesce(1)
+    made = mutations.replace_sections(notes, "a", "new")
+    assert "Pandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.note_id: r.text for r in made.collect()}
+    assert got == {i: t if not t or t == "none" else "## A\n\nnew\n\n## B\nx" for i, t in rows}
