@@ -149,3 +149,14 @@ def test_sections_are_replaced_in_slices(spark):
     assert "Pandas" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {r.note_id: r.text for r in made.collect()}
     assert got == {i: t if not t or t == "none" else "## A\n\nnew\n\n## B\nx" for i, t in rows}
+
+
+def test_components_exchange_numbers(spark, monkeypatch):
+    """Names meet the edges once; rounds hold numbers in the order of the names."""
+    from noteloom.operators import graph
+
+    kept, kinds = graph.written, {}
+    monkeypatch.setattr(graph, "written", lambda df, name: kinds.setdefault(name, df.dtypes) and kept(df, name))
+    edges = spark.createDataFrame([("b", "c"), ("d", "c"), ("x", "y"), ("z", "z"), ("y", "a")], "src string, dst string")
+    assert {tuple(r) for r in graph.connected(edges).collect()} == {("b", "b"), ("c", "b"), ("d", "b"), ("a", "a"), ("x", "a"), ("y", "a"), ("z", "z")}
+    assert all(t == "bigint" for name in ("stars", "least", "large", "low") for _, t in kinds[name])
