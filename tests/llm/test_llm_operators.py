@@ -174,6 +174,18 @@ def test_suffix_arrays():
             assert shared[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
 
+def test_repeats_of_many_words_but_few_bytes(docs_of):
+    """The length counts bytes: a passage of over 50 words and 399 bytes in several documents stays, one byte more and it goes."""
+    passage = "".join(f"{k} " for k in range(100, 200))
+    assert len(passage) == 400 and len(passage.split()) > 50
+    # what stands around the passage differs from document to document
+    cases = lambda p: [(i, f"{chr(97 + i) * 60}{p}{chr(107 + i) * 60}") for i in range(3)]
+    removed = lambda p, **k: [r.n_removed for r in suffix_dedup.repeat_report(docs_of(cases(p)), **k).collect()]
+    assert removed(passage[1:]) == [0, 0, 0]
+    assert removed(passage) == [400, 400, 400]
+    assert removed(passage[1:], length=300, gram=96) == [399, 399, 399]
+
+
 def test_repeats_empty_and_texts(docs_of):
     assert suffix_dedup.repeat_report(docs_of([])).collect() == []
     a = prose(5, 40)
